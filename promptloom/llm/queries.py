@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import exact, mixing, secrets
+from promptloom.llm import decontam, exact, mixing, secrets, urltree
 from promptloom.llm.common import read
 
 
@@ -14,6 +14,14 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.url_filter(read(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -46,6 +54,59 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN per USING (doc_id)
 """
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_TERM}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOW}, '{_TERM}') AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS phrase, least(10, len(w)) AS size
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM b WHERE len(w) > 0)
+),
+doc_windows AS (
+  SELECT doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d CROSS JOIN (SELECT DISTINCT size FROM item_windows) WHERE len(w) >= size)
+),
+hits AS (SELECT doc_id, s, size, item_id FROM doc_windows JOIN item_windows USING (phrase, size)),
+words_hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY doc_id),
+items_hit AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
+"""
+
+_SHAPE = r"regexp_replace(x, '^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}-[0-9]{2})((\.[a-z]{2,5})?)$', '*\2')"
+
+
+def _level(at: int) -> str:
+    return f"""t{at} AS (
+  SELECT t.* EXCLUDE (template), CASE WHEN len(shape) < {at} THEN template ELSE template || '/' || CASE WHEN children > 16 THEN '*' ELSE shape[{at}] END END AS template
+  FROM t{at - 1} t JOIN (SELECT host, template, count(DISTINCT shape[{at}]) AS children FROM t{at - 1} GROUP BY ALL) USING (host, template)
+)"""
+
+
+OP3_SQL = rf"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS r(ruled, rhost, rpath)),
+fit AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(ruled, length(rhost || rpath)) AS ruled FROM hp JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+j AS (SELECT hp.*, rule, ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> '')[1:3], lambda x: {_SHAPE}) || CASE WHEN len(list_filter(string_split(path, '/'), lambda x: x <> '')) > 3 THEN ['**'] ELSE [] END AS shape FROM hp LEFT JOIN fit USING (page_id)),
+t0 AS (SELECT host, shape, count(*) FILTER (ruled = 'block') AS blocked, count(ruled) AS labelled, '' AS template FROM j GROUP BY host, shape),
+{_level(1)},
+{_level(2)},
+{_level(3)},
+t AS (SELECT host, shape, blocked, labelled, template || CASE WHEN len(shape) > 3 THEN '/**' ELSE '' END AS template FROM t3),
+leaf AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, sum(blocked)::DOUBLE AS b, sum(labelled)::DOUBLE AS n FROM t GROUP BY host, template),
+p AS (SELECT *, sum(b) OVER (PARTITION BY host, parent) AS pb, sum(n) OVER (PARTITION BY host, parent) AS pn FROM leaf),
+m AS (SELECT *, CASE WHEN n > 0 AND pn > n THEN abs(b / n - (pb - b) / (pn - n)) <= 1.96 * sqrt(pb / pn * (1 - pb / pn) * (1 / n + 1 / (pn - n))) ELSE false END AS alike FROM p),
+q AS (SELECT *, sum(b) FILTER (alike) OVER (PARTITION BY host, parent) AS sb, sum(n) FILTER (alike) OVER (PARTITION BY host, parent) AS sn FROM m),
+prior AS (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) AS prior FROM leaf),
+purity AS (SELECT host, template, (CASE WHEN alike THEN sb ELSE b END + 4.0 * prior) / (CASE WHEN alike THEN sn ELSE n END + 4.0) AS purity FROM q CROSS JOIN prior)
+SELECT page_id, j.host AS host, path, rule, coalesce(ruled, CASE WHEN purity.purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, t.template AS template, round(purity.purity, 6) AS purity
+FROM j JOIN t ON j.host = t.host AND j.shape = t.shape JOIN purity ON purity.host = t.host AND purity.template = t.template
+"""
+
 OP7_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -74,7 +135,9 @@ SELECT doc_id, size, source_size, target, (times * size + greatest(0, least(size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_url_filters": op3_url_filters,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_mixing": op9_mixing,
 }
-ORACLES: dict[str, str] = {"op1_secret_scans": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scans": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_url_filters": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
