@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import decontam, exact, mixing, secrets, urltree
+from promptloom.llm import bpecount, decontam, exact, mixing, secrets, urltree
 from promptloom.llm.common import read
 
 
@@ -22,6 +22,17 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.url_filter(read(spark, sf_dir, "pages"))
 
 
+def vocabulary_path() -> str:
+    """The public vocabulary file that op6 counts with; it stays where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpecount.token_counts(read(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -137,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
+    "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_mixing": op9_mixing,
 }
