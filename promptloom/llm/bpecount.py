@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm import textnum as tn
+from promptloom.llm.common import ship
 
 #: Fixed values of the vocabulary file: what counts as a pre-token, and the end mark.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -135,6 +136,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     the workers in a broadcast. Null and empty texts have no bytes and no tokens; rows
     that repeat are counted each; other columns are not read.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
