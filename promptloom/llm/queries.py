@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import bpecount, decontam, exact, mixing, secrets, urltree
+from promptloom.llm import bpecount, decontam, exact, jaccard, mixing, secrets, toxicity, urltree
 from promptloom.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.url_filter(read(spark, sf_dir, "pages"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def vocabulary_path() -> str:
     """The public vocabulary file that op6 counts with; it stays where it is installed."""
     import public_tokenizers
@@ -41,6 +45,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _PEM = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
 
@@ -148,8 +156,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_toxicity": op10_toxicity,
     "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {"op1_secret_scans": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_url_filters": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
