@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promptloom.llm import bpecount, decontam, exact, jaccard, mixing, secrets, toxicity, urltree
+from promptloom.llm import bpecount, decontam, exact, jaccard, mixing, secrets, subtrees, toxicity, urltree
 from promptloom.llm.common import read
 
 
@@ -26,6 +27,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = subtrees.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def vocabulary_path() -> str:
     """The public vocabulary file that op6 counts with; it stays where it is installed."""
     import public_tokenizers
@@ -157,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_toxicity": op10_toxicity,
