@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import bpecount, decontam, exact, jaccard, mixing, secrets, subtrees, toxicity, urltree
+from promptloom.llm import bpecount, decontam, exact, jaccard, mixing, secrets, subtrees, sufarr, toxicity, urltree
 from promptloom.llm.common import read
 
 
@@ -47,6 +47,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sufarr.remove_strings(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -167,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {"op1_secret_scans": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op3_url_filters": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
