@@ -10,8 +10,8 @@ are only ever merged after a comparison of all their bytes:
 
 Full content was compared when the winners were made, and a digest under which
 two contents were found raises an error, so the winners can be joined back to
-all rows by digest alone: only ids and digests move in that join, and adaptive
-execution splits a hot digest there.
+all rows by digest alone. They are written first, so only ids and digests move in
+that join, and adaptive execution splits a hot digest there.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import whole
+from promptloom.llm.common import stash, whole
 
 SALTS = 16
 
@@ -45,16 +45,23 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     light = docs.select("doc_id", F.sha2(whole(F.col("text")), 256).alias("digest"))
     copies = Window.partitionBy("doc_id", "digest").orderBy("digest")
     light = light.withColumn("copy", F.row_number().over(copies))
-    return light.join(winners(docs, salts), "digest", "left").select(
+    best = stash(winners(docs, salts), "exact-winners")
+    return light.join(best, "digest", "left").select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
 def keep_one(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one for each distinct text."""
-    names = docs.columns
-    best = winners(docs, salts).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id"))
-    rows = docs.withColumn("__digest", F.sha2(whole(F.col("text")), 256))
-    rows = rows.join(best, (rows["doc_id"].eqNullSafe(best["__keep_id"])) & (rows["__digest"] == best["__digest"])).select(*[rows[c] for c in names], rows["__digest"])
-    copies = Window.partitionBy("doc_id", "__digest").orderBy("__digest")
-    return rows.withColumn("__copy", F.row_number().over(copies)).filter("__copy = 1").select(*[F.col(f"`{c}`") for c in names])
+    """The rows of ``docs`` that stay, one for each distinct text, with all their columns.
+
+    The same stages carry the other columns of the best row along, so no text is
+    shuffled again to fetch them. A text that is null in the row that stays is null.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)], F.col("text").isNull().alias("absent"))
+    rows = docs.select(whole(F.col("text")).alias("content"), F.struct("doc_id").alias("rank"), row.alias("row"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    rows = rows.withColumn("digest", F.sha2("content", 256))
+    best = lambda: (F.max_by("row", "rank").alias("row"), F.max("rank").alias("rank"))
+    merged = rows.groupBy("digest", "salt", "content").agg(*best()).groupBy("digest", "content").agg(*best())
+    back = {"text": F.when(F.col("row.absent"), F.lit(None)).otherwise(F.col("content")), **{c: F.col(f"row.c{i}") for i, c in enumerate(others)}}
+    return merged.select(*[back[c].alias(c) for c in docs.columns])
