@@ -6,20 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import exact
+from promptloom.llm import decontam, exact, jaccard, mixing, toxicity
 from promptloom.llm.common import DOCUMENT_COLUMNS, read, stash
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network rejects go."""
+    return toxicity.clean_rows(docs.select(*DOCUMENT_COLUMNS), read(spark, sf_dir, "labels"))
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exact.keep_one(docs.select(*DOCUMENT_COLUMNS))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays."""
+    return jaccard.keep_one_of_each_group(docs.select(*DOCUMENT_COLUMNS))
+
+
+def contaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontam.clean_rows(docs.select(*DOCUMENT_COLUMNS), read(spark, sf_dir, "benchmark"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes words of stay, with the number of words taken."""
+    return mixing.mixed_rows(docs.select(*DOCUMENT_COLUMNS))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic_documents),
     ("exact dedup", exact_duplicates),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", contaminated_documents),
+    ("mixing to target weights", mixed_sources),
 ]
 
-#: A trained network and sampled signatures take part, which SQL cannot express.
+#: A trained network and MinHash signatures take part, which SQL cannot express.
 ORACLE_SQL = None
 
 

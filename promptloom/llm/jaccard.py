@@ -85,7 +85,7 @@ def set_prints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """doc_id, print (two longs), shingles, bands for every row."""
+    """doc_id, anonymous, print (two longs), shingles, bands for every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +94,9 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
             found = band_hashes(h, first, bands, rows).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, bands, dtype=np.int32)), pa.array(found.ravel()))
             p, q = set_prints(h, first)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(q), pa.array(np.diff(first)), lists], ["doc_id", "p", "q", "shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array(q), pa.array(np.diff(first)), lists], ["doc_id", "anonymous", "p", "q", "shingles", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, p long, q long, shingles long, bands array<long>")
+    return docs.select("doc_id", "anonymous", "text").mapInArrow(run, "doc_id long, anonymous boolean, p long, q long, shingles long, bands array<long>")
 
 
 def bucket_members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -218,12 +218,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     with a similarity of ``threshold`` or more, copies included).
 
     Documents without words, null texts among them, are linked with nothing. Rows that
-    repeat are copies of each other. A null id is replaced by a hash of the text. An empty table
-    gives an empty result; other columns are not read.
+    repeat are copies of each other. A null id stays null, and stands in other
+    rows' columns as a hash of its text. An empty table gives an empty result; other columns are not read.
     """
     bands = bands or bands_for(threshold, RECALL, rows)
-    # a stand-in for null ids, the same wherever it is computed
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit("no id"))).alias("doc_id"), "text")
+    docs = docs.select(_identity().alias("doc_id"), F.col("doc_id").isNull().alias("anonymous"), "text")
     signed = stash(signatures(docs, bands, rows, size), "signatures")
     filled = signed.filter("shingles > 0")
     reps = filled.groupBy("p", "q").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
@@ -238,6 +237,25 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     grouped = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("id").agg(F.sum("documents").alias("documents"))
     summary = stash(reps.join(totals, "id", "left").join(grouped.withColumnRenamed("node", "id"), "id", "left").select("p", "q", F.col("id").alias("copy_id"), F.coalesce("label", "id").alias("class_id"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    named = signed.select("doc_id", "p", "q", "shingles").join(summary, ["p", "q"], "left")
+    named = signed.select("doc_id", "anonymous", "p", "q", "shingles").join(summary, ["p", "q"], "left")
     alone = F.col("shingles") == 0
-    return named.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return named.select(F.when(~F.col("anonymous"), F.col("doc_id")).alias("doc_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.col("doc_id").alias(IDENTITY))
+
+
+#: The column with each row's id or what stands for it.
+IDENTITY = "identity"
+
+
+def _identity():
+    """The id, or a hash of the text where it is null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", F.lit("no id")))
+
+
+def keep_one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for those in a group with a smaller
+    id. The ids to drop are written first, so that few of them are broadcast and many
+    are joined in a shuffle."""
+    groups = jaccard_join(docs, threshold, size)
+    dropped = stash(groups.filter(F.col(IDENTITY) != F.col("class_id")).select(F.col(IDENTITY).alias("__dropped")).distinct(), "dropped")
+    names = docs.columns
+    return docs.withColumn("__id", _identity()).join(dropped, F.col("__id") == F.col("__dropped"), "left_anti").select(*[F.col(f"`{c}`") for c in names])

@@ -28,9 +28,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUCKET_DIGITS = 3
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, source and size (words split at white space; null texts have none)."""
-    return docs.select("doc_id", "source", F.regexp_count(whole(F.col("text")), F.lit(WORD)).cast("long").alias("size"))
+    return docs.select("doc_id", *carry, "source", F.regexp_count(whole(F.col("text")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, max_epochs: float = 3.0) -> DataFrame:
@@ -52,8 +52,9 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return leveled.withColumn("water", water).select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("water")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes of the document).
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, max_epochs: float = 3.0, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words the mix takes of the document),
+    and the columns of ``docs`` named in ``carry``.
 
     ``taken`` is size times the whole repetitions, plus size for documents inside the
     fractional repetition, plus part of the size for the one at its end. Reruns agree:
@@ -61,7 +62,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
     interchangeable. Null ids and sources are ordinary values. An empty table gives an
     empty result.
     """
-    sized = stash(sizes(docs), "mix-sizes")
+    sized = stash(sizes(docs, carry), "mix-sizes")
     targets = source_targets(sized, weights, share, max_epochs).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     targets = targets.withColumn("rest", F.round(F.col("target")) - F.col("times") * F.col("source_size")).withColumn("rest", F.greatest(F.col("rest"), F.lit(0.0)).cast("long"))
     hashed = sized.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS))
@@ -70,10 +71,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
     sums = sums.withColumn("upto", F.sum("words").over(run)).withColumn("from", F.col("upto") - F.col("words"))
     t = targets.alias("t")
     ends = sums.alias("s").join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select(F.col("s.source").alias("source"), "bucket", "from", "upto", "source_size", "target", "times", "rest")
-    rows = hashed.alias("d").join(ends.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.bucket") == F.col("e.bucket"))).select("doc_id", "d.source", "d.bucket", "draw", "size", "source_size", "target", "times", "rest", "from", "upto")
+    rows = hashed.alias("d").join(ends.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.bucket") == F.col("e.bucket"))).select("doc_id", *carry, "d.source", "d.bucket", "draw", "size", "source_size", "target", "times", "rest", "from", "upto")
     last = (F.col("from") < F.col("rest")) & (F.col("upto") > F.col("rest"))
     inside = rows.filter(~last).withColumn("part", F.when(F.col("upto") <= F.col("rest"), F.col("size")).otherwise(F.lit(0)))
     order = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size")
     at_end = rows.filter(last).withColumn("before", F.col("from") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     at_end = at_end.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))).drop("before")
-    return inside.unionByName(at_end).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    return inside.unionByName(at_end).select("doc_id", *carry, "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, with all their columns and size,
+    target and taken. Columns of ``docs`` with these names are replaced."""
+    marked = docs.withColumn("__print", F.xxhash64("text", "source"))
+    part = mix(marked, weights, share, max_epochs, seed, carry=("__print",)).filter("taken > 0").dropDuplicates(["doc_id", "__print"]).alias("m")
+    names = [c for c in docs.columns if c not in ("size", "target", "taken")]
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.__print") == F.col("m.__print"))
+    return marked.alias("d").join(part, same).select(*[F.col(f"d.`{c}`").alias(c) for c in names], "m.size", "m.target", "m.taken")

@@ -24,7 +24,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(read(spark, sf_dir, "documents"))
+    return jaccard.jaccard_join(read(spark, sf_dir, "documents")).drop(jaccard.IDENTITY)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
