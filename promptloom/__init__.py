@@ -1,0 +1,2 @@
+"""Semantic (model-in-SQL) analytics on Spark: prompts, inference and what surrounds
+them as ordinary DataFrame operators."""
