@@ -42,6 +42,8 @@ def column_order(df: DataFrame, *names: str, discard: float = 1.0) -> list[str]:
     """Columns by score, best first (ties in their order); those with more than ``discard`` of
     the rows distinct come last, by score among themselves."""
     rows = column_stats(df, *names).collect()  # one row per column
+    if not rows:  # an empty table
+        return list(names or df.columns)
     rank = lambda r: (r["n_distinct"] > r["n_rows"] * discard, -r["score"], r["place"])
     return [r["column"] for r in sorted(rows, key=rank)]
 
@@ -261,7 +263,8 @@ def greedy_layout(df: DataFrame, key: str, *names: str, early_stop: float = 0, d
     """
     ship(df.sparkSession)
     chosen = [c for c in (names or df.columns) if c != key]
-    stats = {r["column"]: r for r in column_stats(df, *chosen).collect()}  # one row per column
+    blank = {c: {"score": 0.0, "place": i, "n_distinct": 0, "n_rows": 0} for i, c in enumerate(chosen)}
+    stats = blank | {r["column"]: r for r in column_stats(df, *chosen).collect()}  # one row per column
     order = sorted(chosen, key=lambda c: (-stats[c]["score"], stats[c]["place"]))
     kept = [c for c in order if stats[c]["n_distinct"] <= stats[c]["n_rows"] * discard]
     last = [c for c in order if c not in kept]

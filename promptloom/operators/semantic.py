@@ -185,11 +185,11 @@ def rendered_rows(template: pd.Series, args: Sequence[Any], named: Mapping[str,
         return []
     if len(args) == 1 and isinstance(args[0], pd.DataFrame):
         named, args = {**{c: args[0][c] for c in args[0].columns}, **named}, ()
-    parts = [template]
-    while len(args) and len(tp.places("".join(str(p.iloc[0]) for p in parts))) != len(args) and not named:
-        parts, args = [*parts, args[0]], args[1:]  # another leading string of the template
-        if not len(args):
-            break
+    parts, args = [template], list(args)
+    found = lambda: tp.places("".join(str(p.iloc[0]) for p in parts))
+    # further leading strings belong to the template until it has its fields
+    while args and not named and len(found()) != len(args) and (not found() or tp.FIELD.search(str(args[0].iloc[0]))):
+        parts.append(args.pop(0))
     texts = [("".join(map(str, row))) for row in zip(*parts, strict=True)]
     places = tp.places(texts[0])
     if named:
