@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,21 +58,3 @@ def fold_ascii(text: Column) -> Column:
 
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application, however the driver came
-    by it; needed before any operator that runs Python on the executors."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="promptloom-ship-")
-    atexit.register(shutil.rmtree, folder, True)
-    ignored = shutil.ignore_patterns("__pycache__")
-    shutil.copytree(package, f"{folder}/tree/{package.name}", ignore=ignored)
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/tree"))
-    _shipped.add(app)
