@@ -24,7 +24,8 @@ YES_NO = ("Yes", "No")
 class Backend(Protocol):
     def complete(self, prompts: Sequence[str], choices: Sequence[Sequence[str] | None], json_schema: Mapping[str, Any] | None = None) -> list[str | None]:
         """A reply for each prompt, in order; None where there is none. ``choices`` has for
-        each prompt the replies allowed, or None."""
+        each prompt the replies allowed, or None. A backend that takes images has a further
+        argument ``images``, an encoded image or None for each prompt."""
         ...
 
 
@@ -70,9 +71,9 @@ class CountingBackend:
     def __init__(self, inner: Backend, calls: Accumulator) -> None:
         self.inner, self.calls = inner, calls
 
-    def complete(self, prompts, choices, json_schema=None):
+    def complete(self, prompts, choices, json_schema=None, **images):
         self.calls.add(len(prompts))
-        return self.inner.complete(prompts, choices, json_schema)
+        return self.inner.complete(prompts, choices, json_schema, **images)
 
 
 class HttpBackend:
@@ -104,11 +105,11 @@ class HttpBackend:
         except (OSError, ValueError):
             return False
 
-    def _one(self, prompt: str | None, choices: Sequence[str] | None, json_schema: Mapping[str, Any] | None) -> str | None:
+    def _one(self, prompt: str | None, choices: Sequence[str] | None, json_schema: Mapping[str, Any] | None, image: str | None) -> str | None:
         if prompt is None:
             return None
         try:
-            return self._post("/chat/completions", self.payload(prompt, choices, json_schema))["choices"][0]["message"]["content"] or None
+            return self._post("/chat/completions", self.payload(prompt, choices, json_schema, image))["choices"][0]["message"]["content"] or None
         except (OSError, ValueError, KeyError, IndexError, TypeError):
             return None
 
@@ -120,10 +121,11 @@ class HttpBackend:
             found = []
         return found if len(found) == len(prompts) else [None] * len(prompts)
 
-    def complete(self, prompts, choices, json_schema=None):
+    def complete(self, prompts, choices, json_schema=None, images=None):
         with ThreadPoolExecutor(max(1, self.threads)) as pool:
             if self.chunk == 1:
-                return list(pool.map(lambda x: self._one(x[0], x[1], json_schema), zip(prompts, choices, strict=True)))
+                shown = images or [None] * len(prompts)
+                return list(pool.map(lambda x: self._one(x[0], x[1], json_schema, x[2]), zip(prompts, choices, shown, strict=True)))
             parts = [slice(i, i + self.chunk) for i in range(0, len(prompts), self.chunk)]
             return [r for part in pool.map(lambda s: self._many(prompts[s], choices[s.start], json_schema), parts) for r in part]
 

@@ -22,30 +22,37 @@ from promptloom.operators.vectors import cosine
 from promptloom.shipping import ship
 
 
-def infer(df: DataFrame, prompt: str, out: str, backend: Backend, choices: Sequence[str] | None = None, choices_col: str | None = None, json_schema: Mapping[str, Any] | None = None, dedup: bool = True) -> DataFrame:
+def infer(df: DataFrame, prompt: str, out: str, backend: Backend, choices: Sequence[str] | None = None, choices_col: str | None = None, json_schema: Mapping[str, Any] | None = None, dedup: bool = True, image_col: str | None = None) -> DataFrame:
     """``df`` with the reply to each prompt in ``out``. ``choices_col`` holds each row's own
-    choices. Null prompts, and failed requests, have null replies."""
+    choices, ``image_col`` its encoded image (a cached embedding, joined by key) for backends
+    that take images. Null prompts, and failed requests, have null replies."""
     options = F.col(choices_col) if choices_col else F.array(*[F.lit(c) for c in choices]) if choices else None
-    if hasattr(backend, "expression"):
+    if hasattr(backend, "expression") and image_col is None:
         return df.withColumn(out, backend.expression(F.col(prompt), options, json_schema))
     ship(df.sparkSession)
     reply = _udf(backend, json_schema)
     options = F.lit(None).cast("array<string>") if options is None else options
+    image = F.col(image_col).cast("string") if image_col else F.lit(None).cast("string")
     if not dedup:
-        return df.withColumn(out, reply(F.col(prompt), options))
-    keyed = df.withColumn("__prompt", F.col(prompt)).withColumn("__options", options)
-    once = keyed.select("__prompt", "__options").distinct().withColumn(out, reply("__prompt", "__options"))
+        return df.withColumn(out, reply(F.col(prompt), options, image))
+    keyed = df.withColumn("__prompt", F.col(prompt)).withColumn("__options", options).withColumn("__image", image)
+    asked = ["__prompt", "__options", "__image"]
+    once = keyed.select(*asked).distinct().withColumn(out, reply(*asked))
     a, b = keyed.alias("a"), once.alias("b")
-    same = F.col("a.__prompt").eqNullSafe(F.col("b.__prompt")) & F.col("a.__options").eqNullSafe(F.col("b.__options"))
+    same = F.lit(True)
+    for c in asked:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     return a.join(b, same, "left").select(*[F.col(f"a.`{c}`") for c in df.columns if c != out], F.col(f"b.`{out}`"))
 
 
 def _udf(backend: Backend, json_schema: Mapping[str, Any] | None):
     @F.pandas_udf("string")
-    def reply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for prompts, options in batches:
+    def reply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for prompts, options, images in batches:
             lists = [None if o is None else list(o) for o in options]
-            yield pd.Series(backend.complete([None if p is None or p != p else p for p in prompts], lists, json_schema), dtype=object)
+            texts = [None if p is None or p != p else p for p in prompts]
+            shown = {"images": images.tolist()} if images.notna().any() else {}
+            yield pd.Series(backend.complete(texts, lists, json_schema, **shown), dtype=object)
 
     return reply.asNondeterministic()
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from promptloom.functions import templates as tp
 from promptloom.functions import text as tx
 from promptloom.functions.backends import HashBackend
-from promptloom.operators import cachesim, grouping, layout, scoring, semantic, tokens, vectors
+from promptloom.operators import cachesim, embedding, grouping, layout, scoring, semantic, tokens, vectors
 from promptloom.plans import benchmarks, context
 from promptloom.sources import io
 
@@ -306,6 +306,13 @@ def dataset_stats(spark, sf_dir):
 # ---- grouping and tokens
 
 
+@query("""WITH d AS (SELECT p_partkey, list_transform(range(0, 16), lambda i: ('0x' || substr(md5(p_name), 2 * i + 1, 2))::INT - 127.5) AS v FROM part)
+SELECT p_partkey, list_transform(v, lambda x: round(((x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT)::DOUBLE, 5)) AS vec FROM d""")
+def embed_text(spark, sf_dir):
+    e = embedding.embed(table(spark, sf_dir, "part"), "p_name", embedding.HashEncoder())
+    return e.select("p_partkey", F.transform(F.col("p_name_embedding").cast("array<double>"), lambda x: F.round(x, 5)).alias("vec"))
+
+
 @query("SELECT l_partkey, count(*) AS redundancy FROM lineitem GROUP BY l_partkey")
 def redundancy(spark, sf_dir):
     return grouping.redundancy(table(spark, sf_dir, "lineitem"), "l_partkey")

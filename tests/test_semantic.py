@@ -171,3 +171,32 @@ def test_text_helpers(spark):
     assert bytes(got.b) == b"z" and got.p == "p.png"
     nested = spark.createDataFrame([(["a", "b"], None)], "xs array<string>, s string")
     assert nested.select(tx.flatten_text(nested, "xs").alias("x"), tx.flatten_text(nested, "s").alias("s")).first() == ("a b", "")
+
+
+def test_embeddings(spark):
+    from promptloom.operators.embedding import HashEncoder, embed
+
+    class Failing:
+        dims = 2
+
+        def encode(self, values):
+            if "bad" in values:
+                raise ValueError("no")
+            return [[3.0, 4.0] for _ in values]
+
+    df = spark.createDataFrame([("a",), ("bad",), ("",), (None,)], "t string").coalesce(1)
+    got = {r.t: [round(x, 3) for x in r.t_embedding] for r in embed(df, "t", Failing()).collect()}
+    assert got == {"a": [0.6, 0.8], "bad": [0.0, 0.0], "": [0.0, 0.0], None: [0.0, 0.0]}
+    v = embed(df.filter("t = 'a'"), "t", HashEncoder()).first().t_embedding
+    assert abs(sum(x * x for x in v) - 1) < 1e-5
+
+
+def test_images_reach_the_backend_by_row(spark):
+    class Seeing:
+        def complete(self, prompts, choices, json_schema=None, images=None):
+            return [f"{p}/{i}" for p, i in zip(prompts, images or [None] * len(prompts), strict=True)]
+
+    df = spark.createDataFrame([("p", "i1"), ("p", "i2"), ("q", None)], "prompt string, image string")
+    for dedup in (True, False):
+        got = sorted(r.r for r in sem.infer(df.coalesce(1), "prompt", "r", Seeing(), dedup=dedup, image_col="image").collect())
+        assert got == ["p/i1", "p/i2", "q/None"]
