@@ -46,9 +46,12 @@ def stand_in(doc_id: Column, text: Column) -> Column:
 
 
 def group_count(docs: DataFrame, group: int = GROUP) -> int:
-    """Groups of about ``group`` bytes of text, from the size of the files to be read."""
-    stats = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(8, min(int(str(stats)) * 2 // group, 1 << 20))
+    """Groups of about ``group`` bytes of text, from the size of the files to be read, or if
+    Spark does not know that, from the lengths of the texts."""
+    size = 2 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 60:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, min(size // group, 1 << 20))
 
 
 def lowest(values: np.ndarray, span: int) -> np.ndarray:
