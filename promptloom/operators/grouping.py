@@ -7,9 +7,10 @@ from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptloom.shared import numbered
 from promptloom.shipping import ship
 
 #: Fixed value: how the questions on one image are put to the encoder.
@@ -36,7 +37,7 @@ def key_ids(df: DataFrame, key: str, out: str = "key_id", dense: bool = False) -
     over the distinct keys and joined back, so rows are never sorted as a whole."""
     if not dense:
         return df.withColumn(out, F.xxhash64(key))
-    ranks = df.select(key).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(F.col(key))))
+    ranks = numbered(df.select(key).distinct(), key, out=out).withColumn(out, (F.col(out) + 1).cast("int"))
     a, b = df.alias("a"), ranks.alias("b")
     return a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))).select("a.*", out)
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions.text import stats_text
+from promptloom.shared import ranged
 from promptloom.shipping import ship
 
 CHUNK_ROWS = 2000
@@ -138,11 +139,11 @@ def char_hits(df: DataFrame, prompt: Column) -> DataFrame:
     two rows a range, settle the borders.
     """
     rows = df.select(F.coalesce(prompt, F.lit("")).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("c"))
-    ranged = rows.repartitionByRange("p").withColumn("part", F.spark_partition_id())
-    inside = ranged.withColumn("prev", F.lag("p").over(Window.partitionBy("part").orderBy("p")))
+    cut = ranged(rows, "p", part="part")
+    inside = cut.withColumn("prev", F.lag("p").over(Window.partitionBy("part").orderBy("p")))
     own = F.col("c") * F.length("p")
     body = inside.agg(F.sum(own).alias("chars"), F.sum((F.col("c") - 1) * F.length("p") + F.coalesce(common_prefix(F.col("p"), F.col("prev")), F.lit(0))).alias("hits"))
-    edges = ranged.groupBy("part").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    edges = cut.groupBy("part").agg(F.min("p").alias("low"), F.max("p").alias("high"))
     border = edges.withColumn("prev", F.lag("high").over(Window.orderBy("part"))).agg(F.coalesce(F.sum(common_prefix(F.col("low"), F.col("prev"))), F.lit(0)).alias("border"))
     total = body.crossJoin(border)
     return total.select("chars", (F.col("hits") + F.col("border")).alias("hits"), ((F.col("hits") + F.col("border")) * 100 / F.nullif(F.col("chars"), F.lit(0))).alias("hit_rate"))

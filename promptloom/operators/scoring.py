@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.text import answer_index, json_answer, like_any
+from promptloom.shared import numbered
 
 
 def _flag(c: Column) -> Column:
@@ -82,13 +83,13 @@ def sweep(df: DataFrame, by: str, flag: str, total: str, part: str) -> DataFrame
 def cdf(df: DataFrame, value: str) -> DataFrame:
     """The empirical distribution: i / n for each value in order; nulls and NaN are left out.
 
-    Values are counted first, so the windows run over distinct values. Equal values keep
-    their own steps, as many rows as they occur.
+    Values are counted first and numbered by range. Equal values keep their own steps, as
+    many rows as they occur.
     """
     v = F.col(value).cast("double")
     counts = df.select(v.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("value").agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("value"))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    return upto.select("value", F.explode(F.sequence(F.col("upto") - F.col("c") + 1, F.col("upto"))).alias("i"), "n").select("value", (F.col("i") / F.col("n")).alias("share"))
+    upto = numbered(counts, "value", out="before", total="n", weight="c")
+    return upto.select("value", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("c"))).alias("i"), "n").select("value", (F.col("i") / F.col("n")).alias("share"))
 
 
 def outlier_share(df: DataFrame, value: str) -> DataFrame:

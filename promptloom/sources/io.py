@@ -7,10 +7,12 @@ from typing import Any
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptloom.shared import numbered
+
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
@@ -94,14 +96,7 @@ def shuffled(df: DataFrame, *keys: str, seed: int = 42) -> DataFrame:
 
 
 def ordered_split(df: DataFrame, order: Sequence[str], parts: int, out: str = "part") -> DataFrame:
-    """Rows numbered into ``parts`` consecutive ranges of equal size, the last with the rest.
-
-    Ranges are dealt by key and counted per partition, so no task sees all rows.
-    """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").count()
-    before = counts.withColumn("__before", F.sum("count").over(Window.orderBy("__p")) - F.col("count")).withColumn("__n", F.sum("count").over(Window.partitionBy())).drop("count")
-    number = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) + F.col("__before") - 1
+    """Rows numbered into ``parts`` consecutive ranges of equal size, the last with the rest."""
     size = F.greatest(F.lit(1), F.floor(F.col("__n") / parts))
-    numbered = ranged.join(F.broadcast(before), "__p")  # a row per partition
-    return numbered.withColumn(out, F.least(F.floor(number / size), F.lit(parts - 1)).cast("int")).drop("__p", "__before", "__n")
+    rows = numbered(df, *order, out="__at", total="__n")
+    return rows.withColumn(out, F.least(F.floor(F.col("__at") / size), F.lit(parts - 1)).cast("int")).drop("__at", "__n")
