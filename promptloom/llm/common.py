@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptloom.shared import stash
+
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "DOCUMENT_COLUMNS", "WHITE", "WORD", "fold_ascii", "read", "stash", "whole"]
+
 WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,35 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where that is unset (tests) a local temporary folder is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="promptloom-")
-        spark.sparkContext.setCheckpointDir(f"file://{found}")
-        spark.conf.set("spark.checkpoint.dir", f"file://{found}")
-    return found
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet under the shared folder and read
-    it back. Losing an executor loses nothing of it. Removed when the driver exits."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z and leave every other character as it is; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)
