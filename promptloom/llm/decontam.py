@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import fold_ascii, whole
+from promptloom.llm.common import fold_ascii, stash, whole
 
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words counted in text that is not lower-cased yet.
@@ -76,7 +76,7 @@ def anchors(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
 def phrase_matches(docs: DataFrame, windows: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Every exact occurrence: doc_id, print, start, size, phrase."""
     small = _fits(windows, max_windows)
-    anchored = anchors(windows, docs, small)
+    anchored = stash(anchors(windows, docs, small), "anchors")
     if small:
         found = _exploded(_addressed(docs))
         tests = F.broadcast(anchored.withColumnRenamed("words", "wanted"))
@@ -110,7 +110,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, max_w
     nothing is hit. Rows that repeat with the same id and text have the same result;
     other columns are not read."""
     windows, of_items = test_windows(items, length)
-    hits = phrase_matches(docs, windows, max_windows)
+    hits = stash(phrase_matches(docs, stash(windows, "windows"), max_windows), "hits")
     spans = hits.groupBy("doc_id", "print", "start").agg(F.max("size").alias("size")).withColumn("end", F.col("start") + F.col("size"))
     before = Window.partitionBy("doc_id", "print").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = spans.withColumn("seen", F.coalesce(F.max("end").over(before), F.lit(0))).withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen")))
@@ -126,5 +126,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, max_w
 def clean_rows(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs`` in which no test window occurs, with all their columns."""
     windows, _ = test_windows(items, length)
-    dirty = phrase_matches(docs, windows).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
+    # written first, so that its size is known when the join is planned: few are broadcast
+    dirty = stash(phrase_matches(docs, stash(windows, "windows")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct(), "dirty")
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__id"]) & (F.xxhash64(whole(docs["text"])) == dirty["__print"]), "left_anti")
