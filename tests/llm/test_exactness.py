@@ -91,6 +91,12 @@ def test_secrets(spark):
     assert secrets.secret_scan(empty(spark)).count() == 0
 
 
+def test_secrets_in_repeated_rows(spark):
+    t = "token=" + "k" * 12 + " secret: " + "m" * 14
+    got = secrets.secret_scan(frame(spark, [t] * 4, [2, 2, None, None])).collect()
+    assert {r.spans for r in got} == {secret_spans(t)} and [r.n_assign for r in got] == [2] * 4
+
+
 def test_ledger_scans_only_what_is_new(spark):
     old, new = frame(spark, SECRETS[:4]), frame(spark, SECRETS)
     found, ledger = secrets.scan_increment(old)
