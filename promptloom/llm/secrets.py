@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import whole
+from promptloom.llm.common import stash, whole
 
 
 @dataclass(frozen=True)
@@ -60,30 +60,36 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: str = RU
     texts = versions.select("doc_id", whole(F.col("text")).alias("content")).withColumn("blob", F.sha2("content", 256))
     picked = chosen.select(F.col("blob").alias("b"), F.col("doc_id").alias("d"))
     rows = texts.join(picked.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(picked["d"]) & (texts["blob"] == picked["b"]))
-    return rows.select("blob", "content")
+    # filters stay above a projection with the partition's id: else the optimizer would apply
+    # the rules below the join, to all texts and not only to unseen blobs
+    return rows.select("blob", F.when(F.spark_partition_id() >= 0, F.col("content")).alias("content"))
 
 
 def scan(contents: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
     """Findings (blob, rule_version, kind, start, end) in ``contents`` (blob, content).
     Rows of one blob that come twice give each finding once."""
     found = contents.select("blob", "content", *[F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0)).alias(f"m_{r.kind}") for r in rules]).filter(" OR ".join(f"size(m_{r.kind}) > 0" for r in rules))
+    hit = "struct<kind:string,gap:bigint,len:bigint,x:string>"
     per_rule = []
     for r in rules:
         matched = f"m_{r.kind}"
-        pieces = F.split("content", r.pattern, -1)
-        measure = F.transform(F.arrays_zip(F.col(matched).alias("m"), F.slice(F.transform(pieces, F.length), 1, F.size(matched)).alias("p")), lambda z: F.struct(F.lit(r.kind).alias("kind"), F.lit(r.group).alias("grp"), z["p"].cast("long").alias("gap"), F.length(z["m"]).cast("long").alias("len"), z["m"].alias("x")))
-        per_rule.append(F.when(F.size(matched) > 0, measure).otherwise(F.array().cast("array<struct<kind:string,grp:int,gap:bigint,len:bigint,x:string>>")))
-    rows = found.select("blob", *[F.struct(p.alias("hits")).alias(r.kind) for p, r in zip(per_rule, rules, strict=True)])
-    rows = rows.select("blob", F.explode(F.array(*[F.col(f"{r.kind}.hits") for r in rules])).alias("hits")).select("blob", F.posexplode("hits").alias("at", "hit")).select("blob", "at", "hit.*")
+        # the text before each match, and the match; what follows the last one is of no use
+        gaps = F.slice(F.transform(F.split("content", r.pattern, -1), F.length), 1, F.size(matched))
+        pairs = F.arrays_zip(F.col(matched).alias("m"), gaps.alias("p"))
+        kind = F.lit(r.kind)
+        listed = F.transform(pairs, lambda z: F.struct(kind.alias("kind"), z["p"].cast("long").alias("gap"), F.length(z["m"]).cast("long").alias("len"), z["m"].alias("x")))  # noqa: B023
+        per_rule.append(F.when(F.size(matched) > 0, listed).otherwise(F.array().cast(f"array<{hit}>")))
+    rows = found.select("blob", F.explode(F.array(*per_rule)).alias("hits")).select("blob", F.posexplode("hits").alias("at", "hit")).select("blob", "at", "hit.*")
     least = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.least))])
     value = F.col("len")
     for r in rules:
         if r.group:
             value = F.when(F.col("kind") == r.kind, F.length(F.regexp_extract("x", r.pattern, r.group))).otherwise(value)
     upto = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("value", value).withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto))
+    rows = rows.withColumn("value", value).drop("x").distinct()  # a row that comes twice counts once
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto))
     rows = rows.filter(F.col("value") >= least[F.col("kind")])
-    return rows.select("blob", F.lit(rule_version).alias("rule_version"), "kind", (F.col("end") - F.col("len")).alias("start"), "end").distinct()
+    return rows.select("blob", F.lit(rule_version).alias("rule_version"), "kind", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
 def scan_increment(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -100,6 +106,7 @@ def report(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = R
     base = [r.kind for r in rules if r.base]
     shown = lambda keep: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("start", rank[F.col("kind")].alias("rank"), "end", "kind"))), keep), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     per_blob = findings.groupBy("blob").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in base], shown(lambda s: s["kind"].isin(base)).alias("base"), shown(lambda s: s["kind"].isNotNull()).alias("spans"))
+    per_blob = stash(per_blob, "findings")  # a plain shuffle on both sides, so a hot blob can be split
     return blobs(versions).join(per_blob, "blob", "left").select(
         "doc_id", *[F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in base], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans")
     )
