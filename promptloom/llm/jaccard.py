@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from promptloom.llm import textnum as tn
 from promptloom.llm.common import stash
 from promptloom.llm.graph import components
+from promptloom.llm.packing import packed_texts, unpacked
 from promptloom.shipping import ship
 
 SHINGLE = 5
@@ -103,10 +104,10 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
 def bucket_members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """Representatives with their sets, a row for each pair of blocks they take part in.
     wanted: id, p, q, copies, bands, buckets (array of bucket, band, blocks)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("id")).select("text", "id", "p", "q", "copies", "bands", "buckets")
+    rows = packed_texts(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").join(wanted, F.col("doc") == F.col("id")).select("packed", "id", "p", "q", "copies", "bands", "buckets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in tn.chunks(batches):
+        for part, data, offsets in unpacked(batches):
             h, first = shingle_sets(data, offsets, size)
             p, q = set_prints(h, first)
             cols = {n: part.column(part.schema.get_field_index(n)).to_pylist() for n in ("id", "p", "q", "copies", "bands", "buckets")}
@@ -114,7 +115,7 @@ def bucket_members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for i, buckets in enumerate(cols["buckets"]):
                 if p[i] != cols["p"][i] or q[i] != cols["q"][i]:
                     continue  # another text under the same id
-                packed, bands = h[first[i] : first[i + 1]].tobytes(), np.array(cols["bands"][i], np.int64).tobytes()
+                packed, bands = squeeze(h[first[i] : first[i + 1]]), np.array(cols["bands"][i], np.int64).tobytes()
                 for b in buckets:
                     own = int(tn.mix(np.array([cols["id"][i]], np.int64).view(U))[0] % U(b["blocks"]))
                     for other in range(b["blocks"]):
@@ -129,6 +130,18 @@ def bucket_members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, low int, high int, block int, band int, id long, copies long, bands binary, hashes binary")
 
 
+def squeeze(hashes: np.ndarray) -> bytes:
+    """The upper five bytes of each hash: two sets of a thousand shingles take a wrong one
+    for equal with a probability of 1e-6."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def widen(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(U).ravel()
+
+
 def _members(out: dict[str, list]) -> pa.RecordBatch:
     kinds = {"low": pa.int32(), "high": pa.int32(), "block": pa.int32(), "band": pa.int32(), "bands": pa.binary(), "hashes": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()], list(out))
@@ -165,7 +178,7 @@ def verify(members: list[tuple], threshold: float) -> list[tuple[int, int, int,
         return []
     block, copies = np.array([m[0] for m in members]), np.array([m[3] for m in members], np.int64)
     bands = np.stack([np.frombuffer(m[4], np.int64) for m in members])
-    sets = [np.frombuffer(m[5], U) for m in members]
+    sets = [widen(m[5]) for m in members]
     pair = ~np.eye(len(ids), dtype=bool)
     if block.min() != block.max():
         pair &= block[:, None] != block[None, :]

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from promptloom.llm import textnum as tn
 from promptloom.llm.common import stash
+from promptloom.llm.packing import packed_texts
 from promptloom.llm.subtrees import anchors, group_count, stand_in
 from promptloom.shipping import ship
 
@@ -168,18 +169,6 @@ def _sent(bucket: np.ndarray, payload: list[bytes], known: pa.Table) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy() % 1024), pa.nulls(b.num_rows, pa.binary()), *b.columns], schema=SENT)
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """id and the text, compressed, for the two joins that texts take part in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for part, data, offsets in tn.chunks(batches):
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([squeeze.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["id", "packed"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, packed binary")
-
-
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, groups: int | None = None) -> DataFrame:
     """id, lo, hi: bytes covered by repeated windows; spans may overlap. ``docs`` has id, text."""
     ship(docs.sparkSession)
