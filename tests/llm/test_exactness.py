@@ -356,3 +356,35 @@ def test_gradients_match_differences():
         model[name][at] += 1e-2 * np.sign(moved[at])
         assert loss() < before + 1e-9, name  # the step goes downhill in this weight
         model.update(after)
+
+
+def test_every_window_start_is_scored():
+    import pyarrow as pa
+
+    model = toxicity.fresh_model(np.random.default_rng(3))
+    model["line"] = 0.0
+    passage = prose(5, toxicity.WINDOW, 4000)
+    alone = toxicity.row_logits(model, pa.array([passage]))[0]
+    texts = [f"{prose(50, 24, 30)} {prose(60, k, 30)} {passage} {prose(70, 60 - k, 30)}" for k in range(24)]
+    assert (toxicity.row_logits(model, pa.array(texts)) >= alone - 1e-5).all()  # wherever the passage lies, one window is the passage
+
+
+def test_row_logits_are_the_largest_of_all_windows():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    model = toxicity.fresh_model(rng)
+    for name in ("a", "bias", "bf", "bb"):
+        model[name] = rng.normal(size=model[name].shape).astype(np.float32)
+    model["v"] *= 3
+    W = toxicity.WINDOW
+    for sizes in ([0, 5, W - 1, W, W + 1, 200, 3000, 1], [W, W], [W], [300, W], [3]):
+        texts = pa.array([prose(80 + i, n, 500) or None for i, n in enumerate(sizes)])
+        first, which, spans = toxicity.encode(texts)
+        per_word = toxicity.project(model, toxicity.features(spans, model)[0]).astype(np.float32)
+        per_word, which = np.vstack([per_word, np.zeros((1, per_word.shape[1]), np.float32)]), np.append(which, len(per_word))
+        for i, best in enumerate(toxicity.row_logits(model, texts)):
+            starts = range(first[i], max(first[i + 1] - W, first[i]) + 1)
+            size = min(sizes[i], W)
+            index = np.array([[s + t for s in starts] for t in range(size)], int).reshape(size, -1) if size else np.full((1, 1), len(which) - 1)
+            assert abs(toxicity.forward(model, per_word, which[index], np.full(len(starts), size))[0].max() - best) < 1e-4, (sizes, i)
