@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import ASCII_LOWER, ASCII_UPPER
+from promptloom.llm.common import ASCII_LOWER, ASCII_UPPER, stash
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,8 @@ RULES = (
 )
 #: A segment of one of these shapes is variable: digits, long hexadecimal, with or without an extension.
 VARIABLE = r"^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}-[0-9]{2})((\.[a-z]{2,5})?)$"
-DEPTH = 3
+#: Levels of the tree between two written tables.
+LEVELS = 3
 MAX_CHILDREN = 16
 SMOOTHING = 4.0
 THRESHOLD = 0.5
@@ -67,24 +69,36 @@ def by_rule(host: Column, path: Column, rules: Sequence[UrlRule], value) -> Colu
     return out
 
 
-def shape(path: Column, depth: int) -> Column:
-    """Segments of the path with variable ones as '*'; those below ``depth`` are one '**'."""
+def shape(path: Column) -> Column:
+    """Segments of the path with variable ones as '*'."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    seen = F.transform(F.slice(segments, 1, depth), lambda s: F.regexp_replace(s, VARIABLE, "*$2"))
-    return F.when(F.size(segments) > depth, F.concat(seen, F.array(F.lit("**")))).otherwise(seen)
+    return F.transform(segments, lambda s: F.regexp_replace(s, VARIABLE, "*$2"))
 
 
-def template_tree(shapes: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN) -> DataFrame:
+def template_tree(shapes: DataFrame, levels: int = LEVELS, max_children: int = MAX_CHILDREN) -> DataFrame:
     """``shapes`` (host, shape, blocked, labelled) with ``template``: level by level, places
-    with more than ``max_children`` different segments become wildcards."""
-    tree = shapes.withColumn("template", F.lit(""))
-    for level in range(depth):
-        segment = F.get("shape", F.lit(level))
-        children = tree.groupBy("host", "template").agg(F.count_distinct(segment).alias("children"))
-        tree = tree.join(children, ["host", "template"])
-        step = F.when(F.col("children") > max_children, F.lit("*")).otherwise(segment)
-        tree = tree.withColumn("template", F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("children")
-    return tree.withColumn("template", F.when(F.size("shape") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+    with more than ``max_children`` different segments become wildcards. Goes on until no
+    shape has a segment left; a shape that is alone at its place has no siblings further
+    down and ends there with its own segments."""
+    columns = [*shapes.columns, "template"]
+    tree, level, done = stash(shapes.withColumn("template", F.lit("")), "urltree"), 0, []
+    while True:
+        done.append(tree.filter(F.size("shape") <= level).select(columns))
+        tree = tree.filter(F.size("shape") > level)
+        if not tree.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+        for at in range(level, level + levels):
+            segment = F.get("shape", F.lit(at))
+            children = tree.groupBy("host", "template").agg(F.count_distinct(segment).alias("children"))
+            tree = tree.join(children, ["host", "template"])
+            step = F.when(F.col("children") > max_children, F.lit("*")).otherwise(segment)
+            tree = tree.withColumn("template", F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("children")
+        level += levels
+        alone = tree.filter(F.size("shape") > level).groupBy("host", "template").agg((F.count("*") == 1).alias("alone"))
+        rest = F.concat("template", F.lit("/"), F.array_join(F.slice("shape", level + 1, F.size("shape")), "/"))
+        tree = stash(tree.join(alone, ["host", "template"], "left").withColumn("alone", F.col("alone") & (F.size("shape") > level)).withColumn("template", F.when(F.col("alone"), rest).otherwise(F.col("template"))), "urltree")
+        done.append(tree.filter("alone").select(columns))
+        tree = tree.filter(~F.coalesce("alone", F.lit(False))).select(columns)
 
 
 def template_purity(tree: DataFrame, smoothing: float = SMOOTHING, z: float = Z) -> DataFrame:
@@ -105,7 +119,7 @@ def template_purity(tree: DataFrame, smoothing: float = SMOOTHING, z: float = Z)
     return with_pool.select("host", "template", ((b + smoothing * F.col("prior")) / (n + smoothing)).alias("purity"))
 
 
-def url_filter(pages: DataFrame, rules: Sequence[UrlRule] = RULES, depth: int = DEPTH, max_children: int = MAX_CHILDREN, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[UrlRule] = RULES, levels: int = LEVELS, max_children: int = MAX_CHILDREN, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row of ``pages``.
 
     Null urls and urls without :// have empty host and path and are judged together.
@@ -114,8 +128,8 @@ def url_filter(pages: DataFrame, rules: Sequence[UrlRule] = RULES, depth: int =
     """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    judged = parsed.withColumn("rule", by_rule(F.col("host"), F.col("path"), rules, lambda r: r.text)).withColumn("ruled", by_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict)).withColumn("shape", shape(F.col("path"), depth))
+    judged = parsed.withColumn("rule", by_rule(F.col("host"), F.col("path"), rules, lambda r: r.text)).withColumn("ruled", by_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict)).withColumn("shape", shape(F.col("path")))
     shapes = judged.groupBy("host", "shape").agg(F.count_if(F.col("ruled") == "block").alias("blocked"), F.count("ruled").alias("labelled"))
-    tree = template_tree(shapes, depth, max_children)
+    tree = template_tree(shapes, levels, max_children)
     known = tree.select("host", "shape", "template").join(template_purity(tree, smoothing), ["host", "template"])
     return judged.join(known, ["host", "shape"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", F.round("purity", 6).alias("purity"))

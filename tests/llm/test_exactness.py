@@ -161,6 +161,17 @@ def test_templates_with_blocked_labels_are_rejected(spark):
     assert got["http://h.org/ads/5"] == (None, "block", "/ads/*") and got["http://other.org/ads/5"][1] == "allow" and got["http://h.org/news/3"][1] == "allow"
 
 
+@pytest.mark.parametrize("levels", [1, 3])
+def test_deep_branches_have_their_own_templates(spark, levels):
+    rules = [urltree.UrlRule("block", "h.org", f"/a/b/c/bad/{i}") for i in range(10, 30)] + [urltree.UrlRule("allow", "h.org", f"/a/b/c/good/{i}") for i in range(10, 30)]
+    paths = [f"/a/b/c/{branch}/{i}" for branch in ("bad", "good") for i in range(1, 40)] + [f"/a/b/c/wide/x{i}x/end" for i in range(20)] + ["/a/b/c/d/e/f/g/h", "/a"]
+    pages = spark.createDataFrame([(i, f"http://h.org{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    got = {r.path: (r.rule, r.verdict, r.template) for r in urltree.url_filter(pages, rules, levels).collect()}
+    assert len(got) == len(paths)
+    assert got["/a/b/c/bad/5"] == (None, "block", "/a/b/c/bad/*") and got["/a/b/c/good/5"] == (None, "allow", "/a/b/c/good/*")
+    assert got["/a/b/c/wide/x7x/end"][2] == "/a/b/c/wide/*/end" and got["/a/b/c/d/e/f/g/h"][2] == "/a/b/c/d/e/f/g/h" and got["/a"][2] == "/a"
+
+
 # ---- near duplicates
 
 
