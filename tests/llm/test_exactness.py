@@ -339,34 +339,81 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r.score for r in toxicity.toxicity(d, labels.limit(0)).collect()} == {0.0}
 
 
-def test_gradients_match_differences():
-    import pyarrow as pa
+def test_toxicity_of_awkward_tables(spark):
+    labels = spark.createDataFrame([(1, 1, "t"), (2, 0, "t"), (3, 1, "t"), (4, 0, "t"), (None, 1, "t"), (5, None, "t")], "doc_id long, toxic int, text string")
+    d = frame(spark, ["a bad word", "a good word", "bad bad", None, "", "x" * 50_000], [1, 2, 3, 4, None, 2]).withColumn("toxic", d_lit()).withColumn("score", d_lit()).withColumn("__score_", d_lit())
+    got = toxicity.toxicity(d, labels).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 2, 2, 3, 4] and all(0 <= r.score <= 1 for r in got) and not [r for r in got if r.doc_id is None][0].held_out
+    kept = toxicity.clean_rows(d, labels)
+    assert kept.columns == d.columns
+    assert toxicity.toxicity(empty(spark), labels).count() == 0 and toxicity.clean_rows(empty(spark), labels).count() == 0
+    assert {r.score for r in toxicity.toxicity(d, labels.limit(0)).collect()} == {0.0}
 
-    rng = np.random.default_rng(0)
-    model = toxicity.fresh_model(rng)
-    first, which, spans = toxicity.encode(pa.array(["alpha beta gamma", "delta"]))
-    row, start, size = toxicity.windows(first)
-    padded = np.append(which, np.zeros(toxicity.WINDOW, np.int64))
-    index = padded[start[None, :] + np.arange(3)[:, None]]
-    y = np.array([1.0, 0.0], np.float32)
+
+def d_lit():
+    from pyspark.sql import functions as F
+
+    return F.lit(0)
+
+
+def test_decision_line():
+    logits, toxic = np.array([-3.0, -2, -1, 1, 2, 3]), np.array([False, False, False, True, True, True])
+    assert -1 < toxicity.decision_line(logits, toxic) < 1.2
+    assert toxicity.decision_line(logits, ~toxic & False) == 0.0
+    mixed = np.array([False, True, False, True, False, True])
+    assert toxicity.decision_line(logits, mixed, (1000.0, 1.0)) >= 2  # clean rows that stand for many
+
+
+def small_network(seed=0):
+    """A model in double precision, the inputs of 9 words, and windows over them."""
+    rng = np.random.default_rng(seed)
+    model = {k: v.astype(np.float64) for k, v in toxicity.fresh_model(rng).items() if k not in ("words", "grams")}
+    x = rng.normal(size=(9, toxicity.WORD_DIM + toxicity.GRAM_DIM))
+    size = np.array([5, 3, 1, 5, 0])
+    return model, x, rng.integers(0, 9, (5, len(size))), size, rng
+
+
+def plain_logit(model, x, words):
+    """One window, word by word."""
+    h, gate, squash = toxicity.HIDDEN, lambda v: np.minimum(np.maximum(0.5 + v / 4, 0), 1), lambda v: np.minimum(np.maximum(v, -1), 1)
+    states = {}
+    for way in "fb":
+        state = np.zeros(h)
+        for t in range(len(words)) if way == "f" else reversed(range(len(words))):
+            a = x[words[t]] @ model[f"W{way}"] + model[f"b{way}"]
+            u = model[f"U{way}"]
+            z, r = gate(a[:h] + state @ u[:, :h]), gate(a[h : 2 * h] + state @ u[:, h : 2 * h])
+            state = z * state + (1 - z) * squash(a[2 * h :] + (r * state) @ u[:, 2 * h :])
+            states[way, t] = state
+    both = [np.concatenate([states["f", t], states["b", t]]) for t in range(len(words))]
+    weight = np.exp([squash(s @ model["A"] + model["a"]) @ model["v"] for s in both])
+    return sum(w * s for w, s in zip(weight, both, strict=True)) @ model["w"] / weight.sum() + model["bias"][0] if both else model["bias"][0]
+
+
+def test_forward_matches_a_plain_loop():
+    model, x, index, size, _ = small_network()
+    got = toxicity.forward(model, toxicity.project(model, x), index, size)[0]
+    assert np.allclose(got, [plain_logit(model, x, index[:n, i]) for i, n in enumerate(size)], atol=1e-9)
+
+
+def test_gradients_match_differences():
+    model, x, index, size, rng = small_network(1)
+    y, weight = np.array([1.0, 0, 1, 0, 1]), np.array([1.0, 2, 1, 0.5, 1])
 
     def loss():
-        logit = toxicity.forward(model, toxicity.project(model, toxicity.features(spans, model)[0]), index, size)[0]
-        return float(np.mean(np.log1p(np.exp(-(2 * y - 1) * logit.astype(np.float64)))))
-
-    for name in ("Uf", "Wb", "A", "v", "w"):
-        model[name] = model[name].astype(np.float64)
-    before, weights = loss(), {k: v.copy() for k, v in model.items()}
-    toxicity.step(model, {"t": 0}, index, size, spans, y, np.ones(2, np.float32), 1e-3)
-    for name in ("Uf", "Ub", "Wf", "A", "v", "w"):
-        moved = model[name] - weights[name]
-        at = np.unravel_index(np.argmax(np.abs(moved)), moved.shape)
-        after = {k: v.copy() for k, v in model.items()}
-        model.update({k: v.copy() for k, v in weights.items()})
-        model[name] = model[name].astype(np.float64)
-        model[name][at] += 1e-2 * np.sign(moved[at])
-        assert loss() < before + 1e-9, name  # the step goes downhill in this weight
-        model.update(after)
+        logit = toxicity.forward(model, toxicity.project(model, x), index, size)[0]
+        return float((weight * np.log1p(np.exp(-(2 * y - 1) * logit))).sum() / weight.sum())
+
+    found, dx = toxicity.gradients(model, x, index, size, y, weight)
+    for values, grad in [(x, dx), *((model[k], g) for k, g in found.items())]:
+        for at in rng.integers(0, values.size, 12):
+            place = np.unravel_index(at, values.shape)
+            kept, eps, sides = values[place], 1e-6, []
+            for shift in (eps, -eps):
+                values[place] = kept + shift
+                sides.append(loss())
+            values[place] = kept
+            assert (sides[0] - sides[1]) / (2 * eps) == pytest.approx(grad[place], abs=1e-6)
 
 
 def test_every_window_start_is_scored():
