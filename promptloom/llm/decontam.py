@@ -1,15 +1,21 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations.
 
-Postings are (term, document, position). A test window of n words is found by its
-rarest term (by count over the whole corpus): every posting of that term, shifted
-back by the term's offset, is a candidate start, and the offset-adjusted lists of
-the other terms are intersected at it.
-
-Only the postings of anchor terms ever leave the scan. While the windows are few
-(``MAX_WINDOWS``, counted before), they are broadcast and a candidate is settled
-against the positions of its own document, which the posting still carries. More
-windows than that are joined by term in a shuffle, and the lists are intersected
-by joins on (document, position, term); both ways return the same rows.
+The index is written once: of every training text, the postings (term, document,
+position) of the terms that occur in test items, and one posting that ends the
+document and so tells its number of words. Texts are split into words in this pass
+only; everything below reads the index.
+
+A test window is looked up from its two rarest terms, by their counts in the index:
+each posting of the rarest is a place, and stays one if the other term has a posting
+within ``WITHIN`` words of it. Only then are the postings of all of the window's terms
+around the remaining places fetched. With each posting shifted back by its term's
+offset in the window, a place where all lists agree is an exact phrase match; one
+where every term is within ``WITHIN`` words of the rarest is a proximity match.
+
+Joins on a term are salted, so a term that makes up a third of all words is spread;
+joins around a place are cut into cells of positions, so neither a very long document
+nor one that repeats a line gives all pairs of its postings. Nothing is broadcast but
+what Spark knows to be small from the size of written files.
 """
 
 from __future__ import annotations
@@ -20,112 +26,128 @@ from pyspark.sql import functions as F
 from promptloom.llm.common import fold_ascii, stash, whole
 
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words counted in text that is not lower-cased yet.
-TERM_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LENGTH = 10
-#: Windows that may be broadcast: at ten words of some ten bytes, some 30 MB.
-MAX_WINDOWS = 100_000
+#: Words between a proximity match's rarest term and its others.
+WITHIN = 20
+#: Pieces that the postings of a term are spread over where they are joined in a shuffle.
+SALTS = 8
+#: A document's last posting has this mark, which no word has, and a number that spreads it.
+END = "\x00"
+DOC = ("doc_id", "print")
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(fold_ascii(text), F.lit(TERM), F.lit(0))
 
 
-def _addressed(docs: DataFrame) -> DataFrame:
-    """doc_id and a hash of the text, which together address a document even where an
-    id comes twice, and its words."""
-    return docs.select("doc_id", F.xxhash64(whole(F.col("text"))).alias("print"), terms(F.col("text")).alias("words"))
+def same_doc(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.print") == F.col(f"{b}.print"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """The positional index: term, doc_id, print, pos (from 0)."""
-    return _exploded(_addressed(docs)).select("term", "doc_id", "print", "pos")
-
-
-def _exploded(addressed: DataFrame) -> DataFrame:
-    """A row per word, and one with a null term for a document without words, which no
-    join on the term keeps. (For a plain explode the optimizer adds a filter that splits
-    the text into words once more.)"""
-    return addressed.select("*", F.posexplode_outer("words").alias("pos", "term"))
+def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The postings (term, doc_id, print, pos from 0) of the terms in ``vocabulary``, and of
+    each document's end. print is a hash of the text: with doc_id it addresses a document
+    even where an id comes twice. ``vocabulary`` is written, so that its size is known."""
+    addressed = docs.select("doc_id", F.xxhash64(whole(F.col("text"))).alias("print"), terms(F.col("text")).alias("words"))
+    end = F.concat(F.lit(END), F.pmod(F.col("print"), F.lit(1024)).cast("string"))
+    each = addressed.select(*DOC, F.posexplode(F.concat("words", F.array(end))).alias("pos", "term"))
+    known = vocabulary.select("term", F.lit(True).alias("known"))
+    kept = each.join(known, "term", "left").filter(F.col("known") | F.startswith("term", F.lit(END)))
+    return stash(kept.select("term", *DOC, "pos"), "index")
 
 
 def test_windows(items: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(windows: phrase, words, size) and (phrase, item_id) of all test items. An item
+    """(windows: code, words, size) and (code, item_id) of all test items, written. An item
     shorter than ``length`` is one window; one without words has none."""
     words = items.select("item_id", terms(F.col("text")).alias("words")).filter("size(words) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (length - 1)))
-    cut = words.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, length))).alias("words"))
-    cut = cut.select("item_id", "words", F.array_join("words", " ").alias("phrase")).distinct()
-    return cut.groupBy("phrase").agg(F.first("words").alias("words")).withColumn("size", F.size("words")), cut.select("phrase", "item_id")
-
-
-def _fits(windows: DataFrame, limit: int) -> bool:
-    return windows.limit(limit + 1).count() <= limit
-
-
-def anchors(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
-    """Each window with its rarest term and that term's offset; windows with a term that
-    no document has are gone."""
-    each = windows.select("phrase", "words", "size", F.posexplode("words").alias("offset", "term"))
-    vocabulary = each.select("term").distinct()
-    counts = postings(docs).join(F.broadcast(vocabulary) if small else vocabulary, "term").groupBy("term").count()
-    ranked = each.join(counts, "term", "left").groupBy("phrase").agg(F.first("words").alias("words"), F.first("size").alias("size"), F.min(F.struct("count", "offset", "term")).alias("rarest"), F.count_if(F.col("count").isNull()).alias("missing"))
-    return ranked.filter("missing = 0").select("phrase", "words", "size", "rarest.offset", "rarest.term")
-
-
-def phrase_matches(docs: DataFrame, windows: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Every exact occurrence: doc_id, print, start, size, phrase."""
-    small = _fits(windows, max_windows)
-    anchored = stash(anchors(windows, docs, small), "anchors")
-    if small:
-        found = _exploded(_addressed(docs))
-        tests = F.broadcast(anchored.withColumnRenamed("words", "wanted"))
-        found = found.join(tests, "term").withColumn("start", F.col("pos") - F.col("offset"))
-        return found.filter((F.col("start") >= 0) & (F.slice("words", F.greatest(F.col("start") + 1, F.lit(1)), F.col("size")) == F.col("wanted"))).select("doc_id", "print", "start", "size", "phrase").distinct()
-    lists = postings(docs)
-    candidates = lists.join(anchored, "term").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0").select("doc_id", "print", "start", "size", "phrase", "words").distinct()
-    wanted = candidates.select("doc_id", "print", "start", "size", "phrase", F.posexplode("words").alias("at", "term")).withColumn("pos", F.col("start") + F.col("at")).alias("w")
-    held = lists.join(windows.select(F.explode("words").alias("term")).distinct(), "term", "left_semi").distinct().alias("p")
-    both = wanted.join(held, F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.print") == F.col("p.print")) & (F.col("w.pos") == F.col("p.pos")) & (F.col("w.term") == F.col("p.term")))
-    return both.groupBy("w.doc_id", "w.print", "w.start", "w.size", "w.phrase").agg(F.count(F.lit(1)).alias("met")).filter("met = size").drop("met")
-
-
-def proximity_matches(docs: DataFrame, queries: DataFrame, within: int) -> DataFrame:
-    """Places where all terms of a query (query_id, terms) lie within ``within`` words of
-    an occurrence of its rarest term: query_id, doc_id, print, pos of that occurrence."""
-    each = queries.select("query_id", F.array_distinct("terms").alias("terms")).select("query_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    lists = postings(docs).join(each.select("term").distinct(), "term", "left_semi")
-    counts = lists.groupBy("term").count()
-    rarest = each.join(counts, "term").groupBy("query_id", "size").agg(F.min(F.struct("count", "term")).alias("r")).select("query_id", "size", F.col("r.term").alias("term"))
-    at = lists.join(rarest, "term").select("query_id", "size", "doc_id", "print", "pos").alias("a")
-    rest = lists.join(each.select("query_id", "term"), "term").alias("b")
-    near = at.join(rest, (F.col("a.query_id") == F.col("b.query_id")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.print") == F.col("b.print")) & (F.abs(F.col("a.pos") - F.col("b.pos")) <= within))
-    return near.groupBy("a.query_id", "a.size", "a.doc_id", "a.print", "a.pos").agg(F.count_distinct("b.term").alias("met")).filter("met = size").select("query_id", "doc_id", "print", "pos")
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """A row per document: doc_id, n_words, n_hit (words inside any occurrence of a test
-    window), n_items, items_sha256 (item ids sorted as strings, comma-joined),
-    contaminated. Null texts have no words; without items, or in an empty table,
-    nothing is hit. Rows that repeat with the same id and text have the same result;
-    other columns are not read."""
+    cut = words.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, length))).alias("words")).distinct()
+    windows = stash(cut.select("words").distinct().select(F.monotonically_increasing_id().alias("code"), "words", F.size("words").alias("size")), "windows")
+    return windows, stash(cut.join(windows, "words").select("code", "item_id"), "window-items")
+
+
+def rare_terms(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """code, and the (offset, term) of each window's rarest and second rarest term, written.
+    Windows with a term that no document has are gone."""
+    each = windows.select("code", "size", F.posexplode("words").alias("offset", "term"))
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+    ranked = each.join(counts, "term").groupBy("code", "size").agg(F.sort_array(F.collect_list(F.struct("count", "offset", "term"))).alias("ranks"))  # at most a window's terms
+    first, second = F.get("ranks", F.lit(0)), F.coalesce(F.get("ranks", F.lit(1)), F.get("ranks", F.lit(0)))
+    pair = lambda r: F.struct(r["offset"].alias("offset"), r["term"].alias("term"))
+    return stash(ranked.filter(F.size("ranks") == F.col("size")).select("code", pair(first).alias("first"), pair(second).alias("second")), "rare-terms")
+
+
+def term_lists(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The postings of the terms in ``wanted`` (code, term, …), with its columns."""
+    salted = wanted.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return index.withColumn("salt", F.pmod(F.col("print"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]).drop("salt")
+
+
+def cells(pos: Column, within: int) -> Column:
+    """The cell of positions that ``pos`` is in, and its neighbours."""
+    cell = F.floor(pos / (within + 1))
+    return F.explode(F.array(cell - 1, cell, cell + 1))
+
+
+def places(index: DataFrame, rare: DataFrame, within: int) -> DataFrame:
+    """code, doc_id, print, at: postings of rarest terms with the second rarest near, written."""
+    lists = lambda name: term_lists(index, rare.select("code", f"{name}.term")).select("code", *DOC, "pos")
+    a = lists("first").withColumn("cell", cells(F.col("pos"), within)).alias("a")
+    b = lists("second").withColumn("cell", F.floor(F.col("pos") / (within + 1))).alias("b")
+    near = (F.col("a.code") == F.col("b.code")) & same_doc("a", "b") & (F.col("a.cell") == F.col("b.cell")) & (F.abs(F.col("a.pos") - F.col("b.pos")) <= within)
+    return stash(a.join(b, near).select("a.code", "a.doc_id", "a.print", F.col("a.pos").alias("at")).distinct(), "places")
+
+
+def matches(index: DataFrame, windows: DataFrame, within: int = WITHIN) -> DataFrame:
+    """Every match of a window: doc_id, print, code, at (its rarest term), start, size, and
+    whether it is ``exact``; where a place is both, the exact match. Written."""
+    rare = rare_terms(windows, index)
+    found = places(index, rare, within)
+    of_docs = stash(found.select(*DOC).distinct(), "place-docs")
+    nearby = index.alias("i").join(of_docs.alias("d"), same_doc("i", "d"), "left_semi").distinct().withColumn("cell", F.floor(F.col("pos") / (within + 1))).alias("i")
+    placed = found.join(rare.select("code", F.col("first.offset").alias("from")), "code").join(windows, "code")
+    wanted = placed.select("code", *DOC, "at", "size", (F.col("at") - F.col("from")).alias("start"), F.size(F.array_distinct("words")).alias("different"), F.posexplode("words").alias("offset", "term")).withColumn("cell", cells(F.col("at"), within)).alias("w")
+    met = wanted.join(nearby, same_doc("w", "i") & (F.col("w.term") == F.col("i.term")) & (F.col("w.cell") == F.col("i.cell")) & (F.abs(F.col("i.pos") - F.col("w.at")) <= within))
+    on_place = F.when(F.col("i.pos") - F.col("w.offset") == F.col("w.start"), F.col("w.offset"))
+    judged = met.groupBy("w.doc_id", "w.print", "w.code", "w.at", "w.start", "w.size", "w.different").agg(F.count_distinct("w.term").alias("terms"), F.count_distinct(on_place).alias("agree"))
+    return stash(judged.filter("terms = different").select(*DOC, "code", "at", "start", "size", (F.col("agree") == F.col("size")).alias("exact")), "matches")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, within: int = WITHIN) -> DataFrame:
+    """A row per document: doc_id, n_words, n_hit (words inside any exact occurrence of a test
+    window), n_items and items_sha256 (items with such windows; ids sorted as strings,
+    comma-joined), contaminated (n_hit > 0), and n_near and near_sha256 (items with
+    proximity matches, exact ones among them).
+
+    Null texts have no words; without items, or in an empty table, nothing is hit. Rows
+    that repeat with the same id and text have the same result; null ids are ordinary
+    values; other columns are not read.
+    """
     windows, of_items = test_windows(items, length)
-    hits = stash(phrase_matches(docs, stash(windows, "windows"), max_windows), "hits")
-    spans = hits.groupBy("doc_id", "print", "start").agg(F.max("size").alias("size")).withColumn("end", F.col("start") + F.col("size"))
-    before = Window.partitionBy("doc_id", "print").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    index = build_index(docs, vocabulary_of(windows))
+    found = matches(index, windows, within)
+    spans = found.filter("exact").groupBy(*DOC, "start").agg(F.max("size").alias("size")).withColumn("end", F.col("start") + F.col("size"))
+    before = Window.partitionBy(*DOC).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = spans.withColumn("seen", F.coalesce(F.max("end").over(before), F.lit(0))).withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen")))
-    covered = fresh.groupBy("doc_id", "print").agg(F.sum("new").alias("n_hit"))
-    named = hits.select("doc_id", "print", "phrase").join(of_items, "phrase").groupBy("doc_id", "print").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    light = docs.select("doc_id", F.xxhash64(whole(F.col("text"))).alias("print"), F.regexp_count(whole(F.col("text")), F.lit(TERM_ANY_CASE)).cast("long").alias("n_words")).alias("d")
-    same = lambda other: F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("d.print") == F.col(f"{other}.print"))
-    joined = light.join(covered.alias("c"), same("c"), "left").join(named.alias("n"), same("n"), "left")
-    hit, items_hit = F.coalesce(F.col("c.n_hit"), F.lit(0)), F.coalesce(F.col("n.items"), F.array().cast("array<string>"))
-    return joined.select(F.col("d.doc_id").alias("doc_id"), F.col("d.n_words").alias("n_words"), hit.cast("long").alias("n_hit"), F.size(items_hit).cast("long").alias("n_items"), F.sha2(F.array_join(items_hit, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    covered = fresh.groupBy(*DOC).agg(F.sum("new").alias("n_hit"))
+    item = F.col("item_id").cast("string")
+    named = found.join(of_items, "code").groupBy(*DOC).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), item))).alias("items"), F.sort_array(F.collect_set(item)).alias("near"))
+    light = index.filter(F.startswith("term", F.lit(END))).select(*DOC, F.col("pos").cast("long").alias("n_words")).alias("d")
+    joined = light.join(covered.alias("c"), same_doc("d", "c"), "left").join(named.alias("n"), same_doc("d", "n"), "left")
+    hit, none = F.coalesce(F.col("c.n_hit"), F.lit(0)), F.array().cast("array<string>")
+    digest = lambda name: F.sha2(F.array_join(F.coalesce(F.col(name), none), ","), 256)
+    count = lambda name: F.size(F.coalesce(F.col(name), none)).cast("long")
+    return joined.select(F.col("d.doc_id").alias("doc_id"), F.col("d.n_words").alias("n_words"), hit.cast("long").alias("n_hit"), count("n.items").alias("n_items"), digest("n.items").alias("items_sha256"), (hit > 0).alias("contaminated"), count("n.near").alias("n_near"), digest("n.near").alias("near_sha256"))
+
+
+def vocabulary_of(windows: DataFrame) -> DataFrame:
+    return stash(windows.select(F.explode("words").alias("term")).distinct(), "vocabulary")
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of ``docs`` in which no test window occurs, with all their columns."""
+    """The rows of ``docs`` in which no test window occurs exactly, with all their columns."""
     windows, _ = test_windows(items, length)
+    found = matches(build_index(docs, vocabulary_of(windows)), windows)
     # written first, so that its size is known when the join is planned: few are broadcast
-    dirty = stash(phrase_matches(docs, stash(windows, "windows")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct(), "dirty")
+    dirty = stash(found.filter("exact").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct(), "dirty")
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__id"]) & (F.xxhash64(whole(docs["text"])) == dirty["__print"]), "left_anti")

@@ -91,7 +91,7 @@ OP2_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_TERM}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOW}, '{_TERM}') AS w FROM benchmark),
 item_windows AS (
-  SELECT DISTINCT item_id, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS phrase, least(10, len(w)) AS size
+  SELECT DISTINCT item_id, w[s:s + least(10, len(w)) - 1] AS words, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS phrase, least(10, len(w)) AS size
   FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM b WHERE len(w) > 0)
 ),
 doc_windows AS (
@@ -100,10 +100,25 @@ doc_windows AS (
 ),
 hits AS (SELECT doc_id, s, size, item_id FROM doc_windows JOIN item_windows USING (phrase, size)),
 words_hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY doc_id),
-items_hit AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+items_hit AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id),
+-- proximity: all terms of a window within 20 words of one posting of its rarest term
+tokens AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
+counts AS (SELECT term, count(*) AS n FROM tokens GROUP BY term),
+window_terms AS (SELECT phrase, unnest(words) AS term, unnest(range(size)) AS place FROM (SELECT DISTINCT phrase, words, size FROM item_windows)),
+rarest AS (
+  SELECT phrase, term FROM (SELECT phrase, term, row_number() OVER (PARTITION BY phrase ORDER BY coalesce(n, 0), place) AS r FROM window_terms LEFT JOIN counts USING (term)) WHERE r = 1
+),
+places AS (SELECT phrase, doc_id, pos AS at_pos FROM rarest JOIN tokens USING (term)),
+near AS (
+  SELECT p.phrase, p.doc_id FROM places p JOIN (SELECT DISTINCT phrase, term FROM window_terms) w ON p.phrase = w.phrase
+  JOIN tokens t ON t.doc_id = p.doc_id AND t.term = w.term AND abs(t.pos - p.at_pos) <= 20
+  GROUP BY p.phrase, p.doc_id, p.at_pos
+  HAVING count(DISTINCT w.term) = (SELECT len(list_distinct(string_split(p.phrase, ' '))))
+),
+items_near AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM near JOIN item_windows USING (phrase)) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(near_ids, '')) AS near_sha256
+FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id) LEFT JOIN items_near USING (doc_id)
 """
 
 _SHAPE = r"regexp_replace(x, '^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}-[0-9]{2})((\.[a-z]{2,5})?)$', '*\2')"

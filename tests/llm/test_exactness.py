@@ -110,12 +110,21 @@ def test_ledger_scans_only_what_is_new(spark):
 # ---- decontamination
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_decontamination(spark, limit):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_decontamination(spark, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)  # with and without broadcasts
+    try:
+        check_decontamination(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def check_decontamination(spark):
     item, short = prose(50, 24, 500), "Rare Pair"
     texts = ["a " + item.upper() + " b", prose(51, 40) + " " + " ".join(item.split()[:11]), "rare, PAIR rare pair", "rare x pair", "", None, item, " ".join(item.split()[:9])]
     items = spark.createDataFrame([(1, item, "q"), (2, short, "q"), (3, "", "q"), (4, None, "q"), (10, item, "q")], "item_id long, text string, phrase string")
-    got = {r.doc_id: r for r in decontam.decontaminate(frame(spark, texts), items, max_windows=limit).collect()}
+    got = {r.doc_id: r for r in decontam.decontaminate(frame(spark, texts), items).collect()}
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     for i, t in enumerate(texts, 1):
         w, hit, named = cut(t), set(), set()
@@ -127,6 +136,7 @@ def test_decontamination(spark, limit):
                         hit |= set(range(k, k + len(win)))
                         named.add(str(item_id))
         r = got[i]
+        assert r.n_near >= r.n_items
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(named), bool(hit))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
     d = frame(spark, texts)
@@ -135,10 +145,42 @@ def test_decontamination(spark, limit):
     assert decontam.decontaminate(d, items.limit(0)).filter("contaminated").count() == 0
 
 
+def near_items(texts, items, length=10, within=20):
+    """Per document, the items with a window whose terms are all near one posting of its rarest."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    docs = [cut(t) for t in texts]
+    counts = Counter(w for d in docs for w in d)
+    found = [set() for _ in docs]
+    for item_id, text in items:
+        words = cut(text)
+        for win in {tuple(words[k : k + length]) for k in range(max(1, len(words) - length + 1))} if words else ():
+            rare = min(range(len(win)), key=lambda k: (counts[win[k]], k))
+            for i, d in enumerate(docs):
+                for at, w in enumerate(d):
+                    if w == win[rare] and set(win) <= set(d[max(0, at - within) : at + within + 1]):
+                        found[i].add(str(item_id))
+    return found
+
+
 def test_proximity(spark):
-    d = frame(spark, ["a b c d e f", "a x x x x b", "b a"])
-    q = spark.createDataFrame([("q", ["a", "b"]), ("none", ["a", "zz"])], "query_id string, terms array<string>")
-    assert {r.doc_id for r in decontam.proximity_matches(d, q, 2).collect()} == {1, 3}
+    item = prose(60, 14, 5000).split()
+    spread = [w for x in item for w in (x, "filler")]
+    texts = ["a " + " ".join(item), " ".join(spread), " ".join(item[::-1]), " ".join(w for x in item for w in [x] + ["gap"] * 5), "b a", "a x b " * 2000, "a " + "x " * 19 + "b", "a " + "x " * 20 + "b", None, ""]
+    items = [(1, " ".join(item)), (2, "a b"), (3, "a zz")]
+    d = frame(spark, texts)
+    got = {r.doc_id: r for r in decontam.decontaminate(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, want in enumerate(near_items(texts, items), 1):
+        assert (got[i].n_near, got[i].near_sha256) == (len(want), hashlib.sha256(",".join(sorted(want)).encode()).hexdigest()), i
+    assert [got[i].n_near for i in (1, 2, 3, 4, 7, 8)] == [1, 1, 1, 0, 1, 0] and not got[2].contaminated
+
+
+def test_decontamination_of_repeated_rows_and_null_ids(spark):
+    item = prose(61, 12, 5000)
+    d = frame(spark, [item, item, item, item + " x", "none"], [7, 7, None, 7, None])
+    items = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontam.decontaminate(d, items).collect())
+    assert got == [(0, 1, 0, 0), (0, 12, 12, 1), (7, 12, 12, 1), (7, 12, 12, 1), (7, 13, 12, 1)]
+    assert decontam.clean_rows(d, items).count() == 1
 
 
 # ---- url tree
