@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -76,13 +78,32 @@ class CountingBackend:
         return self.inner.complete(prompts, choices, json_schema, **images)
 
 
+#: Replies that ``complete_once`` remembers.
+REMEMBERED = 100_000
+
+
+def complete_once(backend: Backend, prompts: Sequence[str | None], choices: Sequence[str] | None, json_schema: Mapping[str, Any] | None, known: dict[str, str]) -> list[str | None]:
+    """Replies to prompts that share their choices; each is asked once as long as ``known``
+    keeps its reply. Null prompts are not asked, failures are not remembered."""
+    new = list(dict.fromkeys(p for p in prompts if p is not None and p not in known))
+    replies = dict(zip(new, backend.complete(new, [choices] * len(new), json_schema), strict=True)) if new else {}
+    found = [None if p is None else replies.get(p, known.get(p)) for p in prompts]
+    if len(known) > REMEMBERED:
+        known.clear()
+    known.update((p, r) for p, r in replies.items() if r is not None)
+    return found
+
+
 class HttpBackend:
     """A chat-completions server. Requests of a batch run on at most ``threads`` threads,
-    or one after another with ``threads=1``; with ``chunk`` over 1 that many prompts go in
-    one completions request. A failed or malformed reply is None for its rows only."""
+    or one after another with ``threads=1``; with ``chunk`` over 1 that many prompts that
+    have the same choices and no image go in one completions request. Requests that the
+    server cannot take now are sent again up to ``retries`` times, after ``backoff`` seconds
+    and twice as many each time. A failed or malformed reply is None for its rows only."""
 
-    def __init__(self, base_url: str, model: str, temperature: float = 0.0, threads: int = 8, chunk: int = 1, timeout: float = 300.0) -> None:
+    def __init__(self, base_url: str, model: str, temperature: float = 0.0, threads: int = 8, chunk: int = 1, timeout: float = 300.0, retries: int = 2, backoff: float = 0.5) -> None:
         self.base_url, self.model, self.temperature, self.threads, self.chunk, self.timeout = base_url.rstrip("/"), model, temperature, threads, chunk, timeout
+        self.retries, self.backoff = retries, backoff
 
     def payload(self, prompt: str, choices: Sequence[str] | None = None, json_schema: Mapping[str, Any] | None = None, image_embeds: str | None = None) -> dict[str, Any]:
         content = [{"type": "text", "text": prompt}] + ([{"type": "image_embeds", "image_embeds": image_embeds}] if image_embeds else [])
@@ -98,6 +119,16 @@ class HttpBackend:
         with urllib.request.urlopen(request, timeout=self.timeout) as reply:
             return json.load(reply)
 
+    def _ask(self, path: str, body: Mapping[str, Any]) -> Any:
+        for again in range(self.retries + 1):
+            try:
+                return self._post(path, body)
+            except OSError as e:
+                refused = isinstance(e, urllib.error.HTTPError) and e.code != 429 and e.code < 500
+                if refused or again == self.retries:
+                    raise
+                time.sleep(self.backoff * 2**again)
+
     def alive(self) -> bool:
         """Whether the server lists its models."""
         try:
@@ -109,25 +140,39 @@ class HttpBackend:
         if prompt is None:
             return None
         try:
-            return self._post("/chat/completions", self.payload(prompt, choices, json_schema, image))["choices"][0]["message"]["content"] or None
+            return self._ask("/chat/completions", self.payload(prompt, choices, json_schema, image))["choices"][0]["message"]["content"] or None
         except (OSError, ValueError, KeyError, IndexError, TypeError):
             return None
 
     def _many(self, prompts: Sequence[str], choices: Sequence[str] | None, json_schema: Mapping[str, Any] | None) -> list[str | None]:
         body = {"model": self.model, "prompt": list(prompts), "temperature": self.temperature} | self._guides(choices, json_schema)
         try:
-            found = [c["text"] or None for c in self._post("/completions", body)["choices"]]
+            found = [c["text"] or None for c in self._ask("/completions", body)["choices"]]
         except (OSError, ValueError, KeyError, TypeError):
             found = []
         return found if len(found) == len(prompts) else [None] * len(prompts)
 
     def complete(self, prompts, choices, json_schema=None, images=None):
+        shown, alike, jobs = images or [None] * len(prompts), {}, []
+        for i, (p, c, image) in enumerate(zip(prompts, choices, shown, strict=True)):
+            if p is not None and (self.chunk == 1 or image):
+                jobs.append([i])
+            elif p is not None:
+                alike.setdefault(tuple(c or ()), []).append(i)
+        jobs += [rows[k : k + self.chunk] for rows in alike.values() for k in range(0, len(rows), self.chunk)]
+
+        def ask(rows: list[int]) -> list[str | None]:
+            first = rows[0]
+            if self.chunk == 1 or shown[first]:
+                return [self._one(prompts[first], choices[first], json_schema, shown[first])]
+            return self._many([prompts[i] for i in rows], choices[first], json_schema)
+
+        out: list[str | None] = [None] * len(prompts)
         with ThreadPoolExecutor(max(1, self.threads)) as pool:
-            if self.chunk == 1:
-                shown = images or [None] * len(prompts)
-                return list(pool.map(lambda x: self._one(x[0], x[1], json_schema, x[2]), zip(prompts, choices, shown, strict=True)))
-            parts = [slice(i, i + self.chunk) for i in range(0, len(prompts), self.chunk)]
-            return [r for part in pool.map(lambda s: self._many(prompts[s], choices[s.start], json_schema), parts) for r in part]
+            for rows, replies in zip(jobs, pool.map(ask, jobs), strict=True):
+                for i, reply in zip(rows, replies, strict=True):
+                    out[i] = reply
+        return out
 
 
 _backends: dict[str, Any] = {"hash": HashBackend, "recorded": RecordedBackend, "http": HttpBackend}

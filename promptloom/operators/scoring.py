@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.text import answer_index, json_answer, like_any
-from promptloom.shared import numbered
+from promptloom.shared import numbered, stash
 
 
 def _flag(c: Column) -> Column:
@@ -64,10 +64,37 @@ def mme(df: DataFrame, question_id: str = "question_id", answer: str = "answer",
     return total.select("images", "questions", "correct", "images_correct", "tp", "tn", "fp", "fn", (acc * 100).alias("accuracy"), (plus * 100).alias("accuracy_plus"), ((acc + plus) * 100).alias("score"), share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"))
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """``by`` and ``q``, the exact quantiles (interpolated) of ``value`` in each group. Values
+    are counted and numbered by range over the whole table, so that neither a large
+    group nor its distinct values have to fit one task's memory."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    placed = stash(numbered(counts, *by, value, out="__at", weight="__c"), "placed")
+    totals = placed.groupBy(*by).agg(F.min("__at").alias("__base"), F.sum("__c").alias("__n")).select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__base", "__n")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    rows = placed.join(totals, same) if by else placed.crossJoin(F.broadcast(totals))  # a single row
+    start = F.col("__at") - F.col("__base")
+    at = lambda p: F.max(F.when((start <= p) & (p < start + F.col("__c")), F.col(value)))
+    ends = []
+    for i, share in enumerate(shares):
+        place = (F.col("__n") - 1) * F.lit(float(share))
+        ends += [at(F.floor(place)).alias(f"__lo{i}"), at(F.ceil(place)).alias(f"__hi{i}"), F.max(place - F.floor(place)).alias(f"__part{i}")]
+    found = rows.groupBy(*by).agg(*ends)
+    between = lambda i: F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__part{i}")
+    return found.select(*by, F.array(*[between(i) for i in range(len(shares))]).alias("q"))
+
+
 def timing_summary(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """mean, median, min, max and sum of each metric, a row per group and metric."""
     long = df.select(*by, F.posexplode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("at", "s")).select(*by, "s.metric", "s.v")
-    return long.groupBy(*by, "metric").agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("v").alias("sum"))
+    sums = long.groupBy(*by, "metric").agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("v").alias("sum")).alias("s")
+    middle = quantiles(long, [*by, "metric"], "v", [0.5]).alias("m")
+    same = F.col("s.metric") == F.col("m.metric")
+    for c in by:
+        same = same & F.col(f"s.`{c}`").eqNullSafe(F.col(f"m.`{c}`"))
+    return sums.join(middle, same, "left").select(*[F.col(f"s.`{c}`") for c in by], "s.metric", "s.mean", F.col("m.q")[0].alias("median"), "s.min", "s.max", "s.sum")
 
 
 def best_run(df: DataFrame, run: str, score: str) -> DataFrame:
@@ -94,7 +121,8 @@ def cdf(df: DataFrame, value: str) -> DataFrame:
 
 def outlier_share(df: DataFrame, value: str) -> DataFrame:
     """Share of values over Q3 + 1.5 IQR, with exact percentiles."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select((F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
+    numbers = df.select(F.col(value).cast("double").alias("v"))
+    q = quantiles(numbers, [], "v", [0.25, 0.75]).select((F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
     return df.crossJoin(F.broadcast(q)).agg(F.avg(F.when(F.col(value) > F.col("fence"), 1.0).otherwise(0.0)).alias("ratio"))
 
 

@@ -17,15 +17,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.functions import templates as tp
-from promptloom.functions.backends import YES_NO, Backend
+from promptloom.functions.backends import YES_NO, Backend, complete_once
 from promptloom.operators.vectors import cosine
+from promptloom.shared import small, stash
 from promptloom.shipping import ship
 
 
-def infer(df: DataFrame, prompt: str, out: str, backend: Backend, choices: Sequence[str] | None = None, choices_col: str | None = None, json_schema: Mapping[str, Any] | None = None, dedup: bool = True, image_col: str | None = None) -> DataFrame:
+def infer(df: DataFrame, prompt: str, out: str, backend: Backend, choices: Sequence[str] | None = None, choices_col: str | None = None, json_schema: Mapping[str, Any] | None = None, dedup: bool = True, image_col: str | None = None, status: str | None = None) -> DataFrame:
     """``df`` with the reply to each prompt in ``out``. ``choices_col`` holds each row's own
     choices, ``image_col`` its encoded image (a cached embedding, joined by key) for backends
-    that take images. Null prompts, and failed requests, have null replies."""
+    that take images. Null prompts, and failed requests, have null replies; a column named
+    ``status`` tells them apart (ok, failed, no prompt).
+
+    With ``dedup`` the input is read twice, for its distinct prompts and for the join back.
+    An input that holds replies of a model itself is therefore written first: each of its
+    prompts is asked once, however many operators follow."""
+    if status:
+        asked = infer(df, prompt, out, backend, choices, choices_col, json_schema, dedup, image_col)
+        return asked.withColumn(status, F.when(F.col(out).isNotNull(), "ok").when(F.col(prompt).isNull(), "no prompt").otherwise("failed"))
     options = F.col(choices_col) if choices_col else F.array(*[F.lit(c) for c in choices]) if choices else None
     if hasattr(backend, "expression") and image_col is None:
         return df.withColumn(out, backend.expression(F.col(prompt), options, json_schema))
@@ -35,9 +44,10 @@ def infer(df: DataFrame, prompt: str, out: str, backend: Backend, choices: Seque
     image = F.col(image_col).cast("string") if image_col else F.lit(None).cast("string")
     if not dedup:
         return df.withColumn(out, reply(F.col(prompt), options, image))
-    keyed = df.withColumn("__prompt", F.col(prompt)).withColumn("__options", options).withColumn("__image", image)
+    keyed = settled(df).withColumn("__prompt", F.col(prompt)).withColumn("__options", options).withColumn("__image", image)
     asked = ["__prompt", "__options", "__image"]
-    once = keyed.select(*asked).distinct().withColumn(out, reply(*asked))
+    # dealt out anew: few bytes of prompts would otherwise be coalesced into one task
+    once = keyed.select(*asked).distinct().repartition(df.sparkSession.sparkContext.defaultParallelism, *asked).withColumn(out, reply(*asked))
     a, b = keyed.alias("a"), once.alias("b")
     same = F.lit(True)
     for c in asked:
@@ -45,22 +55,27 @@ def infer(df: DataFrame, prompt: str, out: str, backend: Backend, choices: Seque
     return a.join(b, same, "left").select(*[F.col(f"a.`{c}`") for c in df.columns if c != out], F.col(f"b.`{out}`"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written first if reading it would ask a model."""
+    return stash(df, "replied") if "model_reply(" in df._jdf.queryExecution().analyzed().toString() else df
+
+
 def _udf(backend: Backend, json_schema: Mapping[str, Any] | None):
     @F.pandas_udf("string")
-    def reply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def model_reply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for prompts, options, images in batches:
             lists = [None if o is None else list(o) for o in options]
             texts = [None if p is None or p != p else p for p in prompts]
             shown = {"images": images.tolist()} if images.notna().any() else {}
             yield pd.Series(backend.complete(texts, lists, json_schema, **shown), dtype=object)
 
-    return reply.asNondeterministic()
+    return model_reply.asNondeterministic()
 
 
-def sem_map(df: DataFrame, template: str, out: str, backend: Backend, bindings: tp.Bindings | None = None, choices: Sequence[str] | None = None, choices_col: str | None = None, json_schema: Mapping[str, Any] | None = None, system: str | None = None, null_text: str = tp.NULL_TEXT, dedup: bool = True) -> DataFrame:
+def sem_map(df: DataFrame, template: str, out: str, backend: Backend, bindings: tp.Bindings | None = None, choices: Sequence[str] | None = None, choices_col: str | None = None, json_schema: Mapping[str, Any] | None = None, system: str | None = None, null_text: str = tp.NULL_TEXT, dedup: bool = True, status: str | None = None) -> DataFrame:
     """A column of replies to a template over each row."""
     asked = df.withColumn("__asked", tp.render(df, template, bindings, null_text, system))
-    return infer(asked, "__asked", out, backend, choices, choices_col, json_schema, dedup).drop("__asked")
+    return infer(asked, "__asked", out, backend, choices, choices_col, json_schema, dedup, status=status).drop("__asked")
 
 
 def sem_filter(df: DataFrame, template: str, backend: Backend, equals: str = "Yes", bindings: tp.Bindings | None = None, choices: Sequence[str] = YES_NO, dedup: bool = True, **options: Any) -> DataFrame:
@@ -86,8 +101,8 @@ class Prefilter:
     least: float = 0.2
 
 
-#: Rows of the smaller side of a semantic join that may be sent to every executor.
-BROADCAST_ROWS = 100_000
+#: Bytes of the right side of a semantic join without condition that may be sent to every executor.
+BROADCAST_BYTES = 64 << 20
 
 
 def sem_join(left: DataFrame, right: DataFrame, template: str, backend: Backend, on: Column | None = None, how: str = "inner", prefilter: Prefilter | None = None, bindings: tp.Bindings | None = None, equals: str = "Yes", choices: Sequence[str] = YES_NO, dedup: bool = True) -> DataFrame:
@@ -95,17 +110,22 @@ def sem_join(left: DataFrame, right: DataFrame, template: str, backend: Backend,
 
     ``on`` and ``prefilter`` are built-in expressions and thin the pairs out before any
     prompt is rendered. Without ``on`` every pair is a candidate, as the operator is
-    defined; the right side is broadcast if it is counted to be small. The other kinds
+    defined; the right side is broadcast if it is measured to be small. The other kinds
     of join are the inner matches joined back by row key: Spark takes no Python
-    predicate in an outer join.
+    predicate in an outer join. Left rows that repeat are paired once, and each of them
+    gets the matches.
     """
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError(f"unknown kind of join: {how}")
     if clash := set(left.columns) & set(right.columns):
         raise ValueError(f"both sides have columns {sorted(clash)}; rename them")
-    keyed = left if how == "inner" else left.withColumn("__row", row_key(left))
-    other = F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right
-    pairs = keyed.crossJoin(other) if on is None else keyed.join(other, on)
+    keyed = left if how == "inner" else settled(left).withColumn("__row", row_key(left))
+    once = left if how == "inner" else keyed.dropDuplicates(["__row"])
+    if on is None:
+        right = settled(right)
+        pairs = once.crossJoin(F.broadcast(right) if small(right, BROADCAST_BYTES) else right)
+    else:
+        pairs = once.join(right, on)
     if prefilter:
         close = cosine(F.col(prefilter.left), F.col(prefilter.right))
         pairs = pairs.filter(F.col(prefilter.left).isNull() | F.col(prefilter.right).isNull() | (F.size(prefilter.left) == 0) | (F.size(prefilter.right) == 0) | (close >= prefilter.least))
@@ -168,7 +188,8 @@ def cascade(df: DataFrame, steps: Sequence[Step], backend: Backend, reorder: boo
 
 
 def register_llm(spark: SparkSession, backend: Backend, name: str = "LLM", choices: Sequence[str] | None = None, json_schema: Mapping[str, Any] | None = None, null_text: str = tp.NULL_TEXT) -> None:
-    """Make ``name`` a SQL function: LLM(template, …) -> STRING.
+    """Make ``name`` a SQL function: LLM(template, …) -> STRING. Equal prompts of one task are
+    asked once, in requests for whole batches; failed ones may be asked again.
 
     Fields are bound by name with named arguments (``question => c_name``) or one
     struct; plain arguments bind to the fields in template order, and their number must
@@ -178,10 +199,12 @@ def register_llm(spark: SparkSession, backend: Backend, name: str = "LLM", choic
     ship(spark)
     lists = list(choices) if choices else None
 
+    known: dict[str, str] = {}  # empty when it is sent: each task fills its own
+
     @F.pandas_udf("string")
     def llm(template: pd.Series, *args: pd.Series, **named: pd.Series) -> pd.Series:
         prompts = rendered_rows(template, args, named, null_text)
-        return pd.Series(backend.complete(prompts, [lists] * len(prompts), json_schema), dtype=object)
+        return pd.Series(complete_once(backend, prompts, lists, json_schema, known), dtype=object)
 
     spark.udf.register(name, llm.asNondeterministic())
 

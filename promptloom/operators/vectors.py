@@ -9,6 +9,7 @@ in float64 on vectors in the order of their ids and break ties by the smaller in
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from promptloom.shipping import ship
 
 EPS = 1e-6
+#: Bytes of stated query vectors that are sent to every executor at once.
+BLOCK_BYTES = 64 << 20
 
 
 def _doubles(v: Column) -> Column:
@@ -42,17 +45,32 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(_doubles(a), _doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, query_vec: str, row_vec: str, k: int, digits: int = 6) -> DataFrame:
+def in_blocks(queries: DataFrame, key: str, vec: str, limit: int = BLOCK_BYTES) -> list[DataFrame]:
+    """The query set in parts that each hold about ``limit`` bytes of vectors, by measure."""
+    size = queries.agg(F.sum(8 * F.size(vec) + 64)).first()[0] or 0
+    parts = -(-size // limit) or 1
+    if parts == 1:
+        return [queries]
+    return [queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+
+
+def all_pairs(rows: DataFrame, queries: DataFrame, key: str, vec: str, limit: int = BLOCK_BYTES) -> DataFrame:
+    """All rows with each of a stated query set, a block of queries at a time."""
+    return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(block)) for block in in_blocks(queries, key, vec, limit)])
+
+
+def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, query_vec: str, row_vec: str, k: int, digits: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The k most similar rows of each stated query vector; ties go to the smaller id. The
-    query set is broadcast and each task keeps its own best before the shuffle."""
-    scored = rows.crossJoin(F.broadcast(queries)).select(query_id, row_id, F.round(cosine(F.col(query_vec), F.col(row_vec)), digits).alias("similarity"))
+    query set is broadcast in blocks of ``block_bytes`` and each task keeps its own best
+    before the shuffle."""
+    scored = all_pairs(rows, queries, query_id, query_vec, block_bytes).select(query_id, row_id, F.round(cosine(F.col(query_vec), F.col(row_vec)), digits).alias("similarity"))
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), row_id)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def relevance(rows: DataFrame, texts: DataFrame, row_id: str, row_vec: str, text_vec: str) -> DataFrame:
     """Mean of the negative cosine to all text vectors per row, scaled to 0..1 over the table."""
-    raw = rows.crossJoin(F.broadcast(texts)).groupBy(row_id).agg(F.avg(-cosine(F.col(row_vec), F.col(text_vec))).alias("raw"))
+    raw = all_pairs(rows, texts, text_vec, text_vec).groupBy(row_id).agg(F.avg(-cosine(F.col(row_vec), F.col(text_vec))).alias("raw"))
     ends = raw.agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
     return raw.crossJoin(F.broadcast(ends)).select(row_id, ((F.col("raw") - F.col("low")) / (F.col("high") - F.col("low") + EPS)).alias("relevance"))
 

@@ -6,6 +6,7 @@ own, and the expected reply.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import templates as tp
 from promptloom.functions import text as tx
-from promptloom.functions.backends import HashBackend
+from promptloom.functions.backends import YES_NO, HashBackend, RecordedBackend
 from promptloom.operators import cachesim, embedding, grouping, layout, scoring, semantic, tokens, vectors
 from promptloom.plans import benchmarks, context
+from promptloom.shared import shared_dir
 from promptloom.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,8 +172,8 @@ def sem_cascade(spark, sf_dir):
 class _Plain:
     """The hash backend without its expression: replies come from Python workers."""
 
-    def __init__(self) -> None:
-        self.inner = HashBackend()
+    def __init__(self, choices: tuple[str, ...] = YES_NO) -> None:
+        self.inner = HashBackend(choices)
 
     def complete(self, prompts, choices, json_schema=None):
         return self.inner.complete(prompts, choices, json_schema)
@@ -182,6 +184,63 @@ def sem_dedup(spark, sf_dir):
     return semantic.sem_map(table(spark, sf_dir, "orders"), "Priority {o_orderpriority}, status {o_orderstatus}", "reply", _Plain()).select("o_orderkey", "reply")
 
 
+@query(f"SELECT c_custkey, n_name FROM {JOINED} WHERE {pick(COUNTRY_SQL, 'Yes', 'No')} = 'Yes'")
+def sem_filter_asked(spark, sf_dir):
+    return semantic.sem_filter(customers(spark, sf_dir), COUNTRY, _Plain()).select("c_custkey", "n_name")
+
+
+@query(f"SELECT c_custkey, {pick(COUNTRY_SQL, 'Yes', 'No')} AS first, {pick("'Segment ' || c_mktsegment || ', first ' || " + pick(COUNTRY_SQL, 'Yes', 'No'), 'A', 'B', 'C')} AS second FROM {JOINED}")
+def sem_multi_asked(spark, sf_dir):
+    one = semantic.sem_map(customers(spark, sf_dir), COUNTRY, "first", _Plain())
+    return semantic.sem_map(one, "Segment {c_mktsegment}, first {first}", "second", _Plain(("A", "B", "C"))).select("c_custkey", "first", "second")
+
+
+@query(f"""SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'
+ AND {pick("'Is ' || c_name || ' loyal?'", 'Yes', 'No')} = 'Yes' AND {pick("'Is order ' || o_orderkey || ' urgent?'", 'Yes', 'No')} = 'Yes'""")
+def sem_cascade_asked(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    steps = [semantic.Step(_TWO, cost=2.0), semantic.Step(_ONE), semantic.Step(condition=F.expr(_CHEAP))]
+    return semantic.cascade(o.join(c, o["o_custkey"] == c["c_custkey"]), steps, _Plain()).select("o_orderkey")
+
+
+_SEGMENT_MATCH = f"SELECT DISTINCT c_mktsegment, c_nationkey, n_name FROM {JOINED} WHERE {pick("'Is ' || c_mktsegment || ' large in ' || n_name || '?'", 'Yes', 'No')} = 'Yes'"
+
+
+def _segments_in(spark, sf_dir, how):
+    """Left rows that repeat: segments and nations of customers."""
+    c, n = table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey"), table(spark, sf_dir, "nation")
+    return semantic.sem_join(c, n, "Is {c_mktsegment} large in {n_name}?", _Plain(), on=F.col("c_nationkey") == F.col("n_nationkey"), how=how)
+
+
+@query(f"SELECT c.c_mktsegment, c.c_nationkey, m.n_name FROM customer c LEFT JOIN ({_SEGMENT_MATCH}) m USING (c_mktsegment, c_nationkey)")
+def sem_join_left_repeated(spark, sf_dir):
+    return _segments_in(spark, sf_dir, "left").select("c_mktsegment", "c_nationkey", "n_name")
+
+
+@query(f"SELECT c.c_mktsegment, c.c_nationkey FROM customer c SEMI JOIN ({_SEGMENT_MATCH}) m USING (c_mktsegment, c_nationkey)")
+def sem_join_semi_repeated(spark, sf_dir):
+    return _segments_in(spark, sf_dir, "semi").select("c_mktsegment", "c_nationkey")
+
+
+@query(f"SELECT s_suppkey, r_name FROM supplier, region WHERE {pick(SUPPLIER_REGION_SQL, 'Yes', 'No')} = 'Yes'")
+def sem_join_cross_asked(spark, sf_dir):
+    return semantic.sem_join(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "region"), SUPPLIER_REGION, _Plain()).select("s_suppkey", "r_name")
+
+
+@query(f"""SELECT p_brand, round(avg({pick("'Rate ' || p_brand || ', ' || p_size || ' from 0 to 5'", *SCORES)}::DOUBLE), 6) AS score FROM part GROUP BY p_brand""")
+def sem_avg_asked(spark, sf_dir):
+    return semantic.sem_agg(table(spark, sf_dir, "part"), ["p_brand"], "Rate {p_brand}, {p_size} from 0 to 5", _Plain(SCORES), "score", digits=6)
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 1 THEN 'yes ' || n_regionkey END AS reply,
+ CASE n_nationkey % 3 WHEN 0 THEN 'no prompt' WHEN 1 THEN 'ok' ELSE 'failed' END AS status FROM nation""")
+def sem_status(spark, sf_dir):
+    kind = F.col("n_nationkey") % 3
+    asked = table(spark, sf_dir, "nation").withColumn("prompt", F.when(kind == 1, F.concat(F.lit("region "), "n_regionkey")).when(kind == 2, "unknown"))
+    said = RecordedBackend({f"region {i}": f"yes {i}" for i in range(5)})
+    return semantic.infer(asked, "prompt", "reply", said, status="status").select("n_nationkey", "reply", "status")
+
+
 @query(f"""SELECT doc_id, {pick("'Lang of ' || coalesce(lang, 'None') || ' ' || doc_id", 'Yes', 'No')} AS answer FROM documents""")
 def sem_json_answer(spark, sf_dir):
     asked = semantic.sem_map(table(spark, sf_dir, "documents"), "Lang of {lang} {doc_id}", "reply", HashBackend(), json_schema=benchmarks.ANSWER_SCHEMA)
@@ -559,6 +618,61 @@ def explode_join_context(spark, sf_dir):
     return context.assemble(questions, texts, images, tables)
 
 
+# ---- files
+
+
+def _written(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/query-{kind}-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey, o_orderpriority || ' \", ' || o_orderstatus AS note, o_totalprice FROM orders")
+def csv_files(spark, sf_dir):
+    path = _written(spark, "csv")
+    io.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(' ", '), "o_orderstatus").alias("note"), "o_totalprice"), path, sep=";")
+    return io.read_csv(spark, path, "o_orderkey long, note string, o_totalprice double", sep=";")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def csv_inferred(spark, sf_dir):
+    path = _written(spark, "csv")
+    io.write_csv(table(spark, sf_dir, "region"), path, single_file=True)
+    return io.read_csv(spark, path)
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def json_lines(spark, sf_dir):
+    path = _written(spark, "json")
+    io.write_json(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    return io.read_json_lines(spark, path, "doc_id long, text string, lang string")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def json_array(spark, sf_dir):
+    path = _written(spark, "array")
+    rows = table(spark, sf_dir, "nation").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value"))  # 25 rows
+    rows.write.text(path)
+    return io.read_json_array(spark, path, "n_nationkey int, n_name string")
+
+
+@query("SELECT p_brand, count(*) AS parts FROM part GROUP BY p_brand")
+def parquet_by_column(spark, sf_dir):
+    path = _written(spark, "parquet")
+    io.write_parquet(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), path, ["p_brand"])
+    return io.read_parquet(spark, path).groupBy("p_brand").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query("SELECT r_regionkey, r_name AS said FROM region WHERE r_regionkey < 3 UNION ALL SELECT r_regionkey, NULL FROM region WHERE r_regionkey >= 3")
+def file_bytes(spark, sf_dir):
+    """Files of one name in a folder for each row; some rows name none."""
+    path, regions = _written(spark, "files"), table(spark, sf_dir, "region")
+    regions.filter("r_regionkey < 3").repartition(1).select(F.col("r_regionkey").alias("of"), "r_name").write.partitionBy("of").text(path)
+    files = io.read_files(spark, f"{path}/*", "*.txt").withColumn("path", F.concat(F.lit("/in/"), F.element_at(F.split("path", "/"), -2), F.lit("/x.txt")))
+    name = F.when(F.col("r_regionkey") < 3, "x.txt").otherwise("none.txt")
+    found = io.with_file_bytes(regions.withColumn("file", F.concat(F.lit("of="), "r_regionkey", F.lit("/"), name)), files, "file")
+    return found.select("r_regionkey", F.trim(F.regexp_replace(F.col("content").cast("string"), "\n", "")).alias("said"))
+
+
 # ---- benchmark plans
 
 

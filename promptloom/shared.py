@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,25 +15,51 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where that is unset (tests) a local temporary folder is set."""
+    session. Only where that is unset and everything runs in one process (tests) a local
+    temporary folder is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         found = f"file://{tempfile.mkdtemp(prefix='promptloom-')}"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def stash(df: DataFrame, label: str, outlive: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet under the shared folder and read
-    it back. Losing an executor loses nothing of it. Removed when the driver exits."""
+    it back. Losing an executor loses nothing of it. Removed at the end of the ``scratch``
+    around it (unless it is to ``outlive`` that), or when the driver exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes and not outlive:
+        _scopes[-1].append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end; what is needed later must outlive it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
+def small(df: DataFrame, limit: int) -> bool:
+    """Whether the rows of ``df``, as text, have at most ``limit`` bytes: measured, not estimated."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return (df.agg(F.sum(F.octet_length(row))).first()[0] or 0) <= limit
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return

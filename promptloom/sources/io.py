@@ -40,10 +40,24 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def with_file_bytes(df: DataFrame, files: DataFrame, path: str, out: str = "content") -> DataFrame:
-    """The bytes of the file each row names, matched by file name; null if there is none."""
-    tail = lambda c: F.substring_index(c, "/", -1)
-    named = files.select(tail(F.col("path")).alias("__file"), F.col("content").alias(out))
-    return df.withColumn("__file", tail(F.col(path))).join(named, "__file", "left").drop("__file")
+    """The bytes of the file each row names; null if there is none. Files are matched by
+    name; of several with that name the one that shares the most folders with the row's
+    path is taken, then the first by path. No row comes twice."""
+    names = path_ends(files.select("path"), "path").groupBy("__end").agg(F.min("path").alias("__path"))
+    paths = path_ends(df.select(F.col(path).alias("__named")).distinct(), "__named")
+    best = paths.join(names, "__end").groupBy("__named").agg(F.max_by("__path", "__steps").alias("__path"))
+    bytes_of = files.groupBy("path").agg(F.first("content").alias(out)).withColumnRenamed("path", "__path")
+    found = best.join(bytes_of, "__path").drop("__path")
+    return df.join(found, F.col(path) == F.col("__named"), "left").drop("__named")
+
+
+def path_ends(df: DataFrame, path: str) -> DataFrame:
+    """A row for each end of a path, from its file name alone to the whole of it without
+    its scheme: ``__end``, and ``__steps``, its number of steps."""
+    plain = F.regexp_replace(F.col(path), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    steps = F.filter(F.split(plain, "/"), lambda s: (s != "") & (s != "."))
+    ends = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.struct(k.alias("__steps"), F.array_join(F.slice(steps, -k, k), "/").alias("__end")))
+    return df.filter(F.size(steps) > 0).select(path, F.inline(ends))
 
 
 def from_pandas(spark: SparkSession, pdf: pd.DataFrame, schema: T.StructType | str | None = None) -> DataFrame:

@@ -71,6 +71,29 @@ def test_cascade_short_circuits_and_order_does_not_matter(spark):
     assert calls.value == 100 + passed
 
 
+@pytest.mark.parametrize("steps", [4, 6])
+def test_long_cascades_ask_each_prompt_once(spark, steps):
+    df = spark.range(60).select(F.col("id"))
+    b, calls = counting(spark, HashBackend())
+    assert sem.cascade(df, [sem.Step(f"step {k} of {{id}}", choices=("Yes",)) for k in range(steps)], b).count() == 60
+    assert calls.value == 60 * steps
+    b, calls = counting(spark, HashBackend())
+    left, due = df, 0
+    for k in range(steps):
+        due += left.count()
+        left = sem.sem_filter(left, f"step {k} of {{id}}", HashBackend())
+    got = sem.cascade(df, [sem.Step(f"step {k} of {{id}}") for k in range(steps)], b).collect()
+    assert {r.id for r in got} == {r.id for r in left.collect()} and calls.value == due
+
+
+def test_columns_of_replies_are_asked_once_each(spark):
+    b, calls = counting(spark, HashBackend())
+    df = spark.range(20)
+    for k in range(4):
+        df = sem.sem_map(df, f"column {k} of {{id}}", f"c{k}", b)
+    assert len(df.collect()) == 20 and calls.value == 80
+
+
 def test_plan_cascade_puts_cheap_selective_first(spark):
     df = spark.range(50)
     steps = [sem.Step("a {id}", cost=5, keeps=0.5, name="a"), sem.Step("b {id}", cost=1, keeps=0.1, name="b"), sem.Step(condition=F.col("id") > 3, name="c")]
@@ -88,6 +111,38 @@ def test_semantic_joins(spark, how, n):
     assert n <= expected
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "semi", "anti"])
+@pytest.mark.parametrize("conditional", [False, True])
+def test_semantic_joins_of_rows_that_repeat(spark, how, conditional):
+    left, right = ["p", "p", "q", None, None], ["s", "s", "t"]
+    a, b = spark.createDataFrame([(x, 1) for x in left], "x string, one int"), spark.createDataFrame([(y, 1) for y in right], "y string, uno int")
+    yes = {("p", "s"), ("p", "t"), ("None", "t")}
+    said = RecordedBackend({f"{x}-{y}": "Yes" for x, y in yes})
+    pairs = [(x, y) for x in left for y in right if (x or "None", y) in yes]
+    matched = {x for x, _ in pairs}
+    want = {"inner": pairs, "left": pairs + [(x, None) for x in left if x not in matched], "semi": [x for x in left if x in matched], "anti": [x for x in left if x not in matched]}[how]
+    backend_, calls = counting(spark, said)
+    got = sem.sem_join(a, b, "{x}-{y}", backend_, on=F.col("one") == F.col("uno") if conditional else None, how=how).collect()
+    key = lambda r: repr(r)
+    assert sorted([(r.x, r.y) if how in ("inner", "left") else r.x for r in got], key=key) == sorted(want, key=key)
+    assert calls.value == 6  # three different left rows and two right ones
+
+
+def test_reply_status(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "p string")
+    got = {r.p: (r.r, r.s) for r in sem.infer(df, "p", "r", RecordedBackend({"a": "1"}), status="s").collect()}
+    assert got == {"a": ("1", "ok"), "b": (None, "failed"), None: (None, "no prompt")}
+    assert sem.sem_map(df.limit(1), "{p}", "r", HashBackend(), status="s").first().s == "ok"
+
+
+def test_sql_function_asks_equal_prompts_once(spark):
+    rows(spark).union(rows(spark)).coalesce(1).createOrReplaceTempView("t_twice")
+    b, calls = counting(spark, RecordedBackend({"a": "1", "b": "2"}))
+    sem.register_llm(spark, b, "LLM_ONCE")
+    got = [r.r for r in spark.sql("SELECT LLM_ONCE('{t}', t) AS r FROM t_twice").collect()]
+    assert sorted(x or "" for x in got) == ["", "", "1", "1", "1", "1", "2", "2"] and calls.value == 3
+
+
 def test_prefilter_skips_far_pairs_and_asks_without_embedding(spark):
     a = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "x int, ex array<double>")
     b = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 1.0])], "y int, ey array<double>")
@@ -119,11 +174,20 @@ def test_rendered_rows_reads_the_template_per_row():
 
 
 class Stub(BaseHTTPRequestHandler):
+    bodies: list = []
+    busy = 0
+
     def do_GET(self):
         self._say({"data": []})
 
     def do_POST(self):
         body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Stub.bodies.append(body)
+        if Stub.busy:
+            Stub.busy -= 1
+            self.send_response(503)
+            self.end_headers()
+            return
         if self.path.endswith("/chat/completions"):
             text = body["messages"][0]["content"][0]["text"]
             self._say({"choices": [{"message": {"content": text.upper()}}]} if text != "bad" else {"oops": 1})
@@ -148,6 +212,15 @@ def test_http_backend_keeps_order_and_isolates_failures():
         assert b.alive()
         assert b.complete(["a", "bad", None, "c"], [None] * 4) == ["A", None, None, "C"]
         assert HttpBackend(url, "m", chunk=2).complete(["a", "b", "c"], [None] * 3) == ["a!", "b!", "c!"]
+        Stub.bodies.clear()
+        mixed = HttpBackend(url, "m", chunk=3).complete(["a", None, "b", "c", "d"], [["x"], None, ["y"], ["x"], ["x"]], images=[None, None, None, None, "e"])
+        assert mixed == ["a!", None, "b!", "c!", "D"]
+        assert {tuple(x["prompt"]): x["guided_choice"] for x in Stub.bodies if "prompt" in x} == {("a", "c"): ["x"], ("b",): ["y"]}
+        assert [x["messages"][0]["content"][1]["image_embeds"] for x in Stub.bodies if "messages" in x] == ["e"]
+        Stub.busy = 2
+        assert HttpBackend(url, "m", backoff=0.01).complete(["a"], [None]) == ["A"]
+        Stub.busy = 2
+        assert HttpBackend(url, "m", retries=1, backoff=0.01).complete(["a"], [None]) == [None]
     finally:
         server.shutdown()
     assert not HttpBackend("http://127.0.0.1:9/v1", "m").alive()

@@ -27,6 +27,14 @@ def test_sources_and_sinks_round_trip(spark, tmp_path):
     files = io.read_files(spark, f"{tmp_path}/images", "*.png")
     got = io.with_file_bytes(spark.createDataFrame([("d/im.png",), ("d/no.png",)], "path string"), files, "path").orderBy("path").collect()
     assert got[0].content is not None and got[1].content is None
+    for folder in ("u", "v"):
+        (tmp_path / "images" / folder).mkdir()
+        (tmp_path / "images" / folder / "x.png").write_bytes(folder.encode())
+    both = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{tmp_path}/images").select("path", "content")
+    named = spark.createDataFrame([("v/x.png",), (f"{tmp_path}/images/u/x.png",), (f"file:{tmp_path}/images/v/x.png",), ("x.png",), (None,), ("",)], "path string")
+    got = {r.path: r.content and bytes(r.content) for r in io.with_file_bytes(named, both, "path").collect()}
+    assert got == {"v/x.png": b"v", f"{tmp_path}/images/u/x.png": b"u", f"file:{tmp_path}/images/v/x.png": b"v", "x.png": b"u", None: None, "": None}
+    assert io.with_file_bytes(named, both, "path").count() == 6
     w, h = tokens.png_size(F.col("content"))
     assert files.select(w.alias("w"), h.alias("h")).first() == (640, 480)
 
@@ -69,6 +77,30 @@ def test_scores(spark):
     assert got == pytest.approx(1 / 21)
 
 
+def test_quantiles_by_group(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(None if g == 2 else g, float(v)) for g in range(3) for v in rnd.integers(0, 9, 1 + 10 * g)] + [(7, None)]
+    got = {r.g: r.q for r in scoring.quantiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", [0.25, 0.5, 1.0]).collect()}
+    for g in (None, 0, 1):
+        assert got[g] == pytest.approx(list(np.percentile([v for h, v in rows if h == g], [25, 50, 100])))
+    assert 7 not in got
+    summary = {r.g: r.median for r in scoring.timing_summary(spark.createDataFrame(rows, "g int, v double"), ["v"], ["g"]).collect()}
+    assert summary[7] is None and summary[1] == pytest.approx(np.median([v for h, v in rows if h == 1]))
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from promptloom import shared
+
+    with shared.scratch(spark):
+        inner = shared.stash(spark.range(3), "t")
+        kept = shared.stash(inner, "t", outlive=True)
+        path = inner.inputFiles()[0]
+    assert not os.path.exists(path.removeprefix("file://")) and kept.count() == 3
+    assert shared.small(spark.range(3), 100) and not shared.small(spark.range(1000), 100)
+
+
 class Model:
     """The cache's rules again, on one ordered dict."""
 
