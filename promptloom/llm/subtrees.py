@@ -1,22 +1,17 @@
 """Substring deduplication on prefix-partitioned suffix trees over words.
 
-A repeat of ``WINDOW`` words is an internal node of the corpus's suffix tree at that
-depth. The tree is never built as a whole:
-
-* It is sparse. Of every window, one suffix is indexed: that at the window's anchor,
-  the position among its first ``WINDOW - PREFIX + 1`` whose ``PREFIX``-word prefix has
-  the least hash. Equal windows have equal anchors, so no repeat is lost, and one
-  suffix in six is kept, with the run of windows that it anchors.
-* It is partitioned by prefix. Suffixes go to groups by the fingerprint of their
-  ``PREFIX``-word prefix, so each subtree is built in one place; a group that is still
-  too large is split by more bits of the prefix, one piece at a time.
-* A subtree's leaves are the windows, in the order of prefix and content; runs of
-  equal content are its nodes of depth ``WINDOW``. Of their leaves the first (smallest
-  doc_id, then start) stays. Neighbouring removed windows join up to maximal repeats.
-
-Windows that repeat inside one batch of rows are settled before the shuffle, so a
-passage that a third of the corpus shares sends one suffix per batch. Words are
-compared by 64-bit fingerprints, windows by 104 bits.
+A repeat of ``WINDOW`` words is found where the suffix tree of the corpus is at least so
+deep. The tree is never built as a whole:
+
+* It is sparse: runs of windows that cannot repeat are left out beforehand, and equal runs
+  are one (``runs``).
+* It is partitioned by prefixes. Suffixes start at anchors, and go to groups by the words
+  that follow there; a prefix that too many of them share is made longer, so that every
+  group fits a task's memory. All windows that are equal have the same prefix.
+* A group's subtree is built from its windows' words, compared word by word: the suffixes
+  are sorted, and the lengths of the prefixes that neighbours share give its internal
+  nodes. Of the leaves below a node of depth ``WINDOW`` or more the first (smallest doc_id,
+  then start) stays. Neighbouring removed windows join up to maximal repeats.
 """
 
 from __future__ import annotations
@@ -25,175 +20,107 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptloom.llm import runs as rn
 from promptloom.llm import textnum as tn
-from promptloom.shipping import ship
+from promptloom.llm.common import stash
+from promptloom.llm.packing import packed_texts, unpacked
 
 WINDOW, PREFIX = 20, 10
-#: Text worked on at once, and text per prefix group.
-BATCH, GROUP = 4 << 20, 12 << 20
-#: Windows of a group that are sorted at once.
-AT_ONCE = 4_000_000
-U = np.uint64
+#: Text per group of runs, and of contexts.
+GROUP, CONTEXTS = 12 << 20, 6 << 20
 
 
-def stand_in(doc_id: Column, text: Column) -> Column:
-    """The id, or for null a negative number made from the text, so that rows without ids
-    are documents of their own that come before all others."""
-    return F.coalesce(doc_id.cast("long"), -F.abs(F.shiftright(F.xxhash64(text), 2)) - F.lit(2**62))
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin, stop, first = tn.words(data, offsets)
+    return tn.word_hashes(data, begin, stop), first
+
+
+def word_units(window: int = WINDOW, prefix: int = PREFIX) -> rn.Units:
+    longer = sorted({prefix + (window - prefix) // 2, window - (window - prefix) // 4, window} - {prefix})
+    return rn.Units(_hashes, tn.words, window, prefix, tuple(longer), batch=4 << 20, every=False)
 
 
-def group_count(docs: DataFrame, group: int = GROUP) -> int:
-    """Groups of about ``group`` bytes of text, from the size of the files to be read, or if
-    Spark does not know that, from the lengths of the texts."""
-    size = 2 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 60:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(8, min(size // group, 1 << 20))
+def word_numbers(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A number for each word, the same for equal words only: all bytes are compared."""
+    size = stop - begin
+    ends = np.append(0, np.cumsum(size))
+    source = np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])
+    listed = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[source]))])
+    return listed.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
-def lowest(values: np.ndarray, span: int) -> np.ndarray:
-    """Minimum of each ``span`` neighbours, by doubling."""
-    done, out = 1, values
-    while done * 2 <= span:
-        out = np.minimum(out[: len(out) - done], out[done:])
+def sorted_suffixes(numbers: np.ndarray, first: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Order of the suffixes that begin at ``starts`` and go on to the end of their context
+    (numbers[first[i]:first[i + 1]]), by doubling the number of words compared. A suffix
+    that is the beginning of another comes before it."""
+    stop = np.repeat(first[1:], np.diff(first))
+    rank, done, place = numbers + 1, 1, np.arange(len(numbers))  # 0 stands for what lies behind an end
+    while done < np.diff(first).max():
+        behind = place + done
+        following = np.where(behind < stop, rank[np.minimum(behind, len(rank) - 1)], 0)
+        rank = np.unique(rank * (int(rank.max()) + 1) + following, return_inverse=True)[1] + 1
         done *= 2
-    if done < span and len(out) > span - done:
-        out = np.minimum(out[: len(out) - (span - done)], out[span - done :])
-    return out[: max(len(values) - span + 1, 0)]
+    return np.argsort(rank[starts], kind="stable")
 
 
-def anchors(grams: np.ndarray, span: int) -> np.ndarray:
-    """For each position the first of the ``span`` positions from it with the least gram."""
-    low = U((1 << 24) - 1)
-    at = np.arange(len(grams), dtype=U) & low
-    best = lowest((grams & ~low) | at, span) & low
-    start = np.arange(len(best))
-    return start + ((best.astype(np.int64) - start) & ((1 << 24) - 1))
+def shared_words(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words that each suffix shares with the one before it (0 for the first)."""
+    shared, going = np.zeros(len(starts), np.int64), np.arange(1, len(starts))
+    depth = 0
+    while len(going):
+        a, b = starts[going - 1] + depth, starts[going] + depth
+        fits = (a < ends[going - 1]) & (b < ends[going])
+        going, a, b = going[fits], a[fits], b[fits]
+        going = going[numbers[a] == numbers[b]]
+        shared[going] += 1
+        depth += 1
+    return shared
 
 
-def batch_suffixes(hashes: np.ndarray, first: np.ndarray, ids: np.ndarray, window: int, prefix: int) -> tuple[dict, tuple]:
-    """(windows, removed) of a batch. windows: key (prefix fingerprint), content, id, start
-    of one window of each content; removed: (id, start) of those that repeat here."""
-    n = np.diff(first)
-    sums = tn.prefix_sums(hashes)
-    if len(hashes) < window:
-        empty = np.zeros(0, np.int64)
-        return {"key": empty.view(U), "content": empty.view(U), "id": empty, "start": empty}, (empty, empty)
-    place = np.arange(len(hashes) - prefix + 1)
-    grams = tn.between(sums, place, place + prefix)
-    anchor = anchors(grams, window - prefix + 1)
-    row = np.repeat(np.arange(len(n)), np.maximum(n - window + 1, 0))
-    begin = np.repeat(np.cumsum(np.maximum(n - window + 1, 0)) - np.maximum(n - window + 1, 0), np.maximum(n - window + 1, 0))
-    at = np.arange(len(row)) - begin + first[:-1][row]
-    content = tn.between(sums, at, at + window)
-    doc, start = ids[row], at - first[:-1][row]
-    order = np.lexsort((start, doc, content))
-    c, d, s = content[order], doc[order], start[order]
-    head = np.ones(len(c), bool)
-    head[1:] = c[1:] != c[:-1]
-    top = np.maximum.accumulate(np.where(head, np.arange(len(c)), 0))
-    later = (d != d[top]) | (s != s[top])
-    stay = order[head]
-    return {"key": grams[anchor[at[stay]]], "content": content[stay], "id": doc[stay], "start": start[stay]}, (d[later], s[later])
-
-
-def pack(windows: dict, groups: int) -> tuple[np.ndarray, list[bytes]]:
-    """Windows by group, those of one suffix together: per suffix key, id, first start and
-    number of windows, then five bytes of content per window."""
-    order = np.lexsort((windows["start"], windows["id"], windows["key"], windows["key"] % U(groups)))
-    key, doc, start, content = (windows[k][order] for k in ("key", "id", "start", "content"))
-    if not len(key):
-        return np.zeros(0, np.int64), []
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
-    run = np.flatnonzero(fresh)
-    length = np.diff(np.append(run, len(key)))
-    short = np.ascontiguousarray(content).view(np.uint8).reshape(-1, 8)[:, :5]
-    group = (key[run] % U(groups)).astype(np.int64)
-    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    ends = np.append(edge[1:], len(run))
-    out = []
-    for a, b in zip(edge, ends, strict=True):
-        w = slice(run[a], run[b] if b < len(run) else len(key))
-        out.append(b"".join([np.int64(b - a).tobytes(), key[run[a:b]].tobytes(), doc[run[a:b]].tobytes(), start[run[a:b]].astype(np.int32).tobytes(), length[a:b].astype(np.int32).tobytes(), short[w].tobytes()]))
-    return group[edge], out
-
-
-def unpack(payload: bytes) -> tuple[np.ndarray, ...]:
-    """key, content, id, start of the windows in a payload."""
-    n = int(np.frombuffer(payload, np.int64, 1)[0])
-    key, doc = np.frombuffer(payload, U, n, 8), np.frombuffer(payload, np.int64, n, 8 + 8 * n)
-    start, length = np.frombuffer(payload, np.int32, n, 8 + 16 * n), np.frombuffer(payload, np.int32, n, 8 + 20 * n)
-    short = np.frombuffer(payload, np.uint8, -1, 8 + 24 * n).reshape(-1, 5)
-    content = np.zeros((len(short), 8), np.uint8)
-    content[:, :5] = short
-    own = np.repeat(np.arange(n), length)
-    inner = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
-    return key[own], content.view(U).ravel(), doc[own], start[own].astype(np.int64) + inner
-
-
-def later_leaves(key: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Build the subtree of a group: leaves in the order of prefix and content. Nodes of
-    full depth are runs of equal (prefix, content); all their leaves but the first, by
-    (doc, start), are returned."""
-    order = np.lexsort((start, doc, content, key))
-    key, content, doc, start = key[order], content[order], doc[order], start[order]
-    head = np.ones(len(key), bool)
-    head[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-    top = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-    later = (doc != doc[top]) | (start != start[top])
-    return doc[later], start[later]
-
-
-def spans(doc: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
-    """id, lo, hi: the words that the windows cover, neighbours joined."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    fresh = np.ones(len(doc), bool)
-    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
-    run = np.flatnonzero(fresh)
-    last = np.append(run[1:], len(doc)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[run]), pa.array(start[run]), pa.array(start[last] + window if len(run) else start[:0])], ["id", "lo", "hi"])
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, groups: int | None = None) -> DataFrame:
-    """Word spans (id, lo, hi) covered by windows that occur earlier. ``docs`` has id, text."""
-    ship(docs.sparkSession)
-    groups = groups or group_count(docs)
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in tn.chunks(batches, limit=BATCH):
-            begin, stop, first = tn.words(data, offsets)
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            windows, (doc, start) = batch_suffixes(tn.word_hashes(data, begin, stop), first, ids, window, prefix)
-            group, payload = pack(windows, groups)
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(payload, pa.binary()), pa.nulls(len(group), pa.int64()), pa.nulls(len(group), pa.int64()), pa.nulls(len(group), pa.int64())], ["prefix", "payload", "id", "lo", "hi"])
-            if len(doc):
-                known = spans(doc, start, window)
-                n = known.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(known.column(0).to_numpy() % groups, pa.int64()), pa.nulls(n, pa.binary()), *known.columns], ["prefix", "payload", "id", "lo", "hi"])
+def deep_nodes(shared: np.ndarray, depth: int) -> np.ndarray:
+    """The number of the topmost internal node of at least this depth above each leaf of a
+    tree, given its sorted leaves' shared lengths; a leaf alone has a number of its own."""
+    return np.cumsum(shared < depth)
 
-    def subtree(table: pa.Table) -> pa.Table:
-        known = table.filter(table["payload"].is_null()).select(["id", "lo", "hi"]) if table["payload"].null_count else None
-        payloads = [p for p in table["payload"].to_pylist() if p is not None]
-        out = [] if known is None else [known]
-        if payloads:
-            leaves = [np.concatenate(x) for x in zip(*[unpack(p) for p in payloads], strict=True)]
-            pieces = -(-len(leaves[0]) // AT_ONCE)
-            for piece in range(pieces):  # too many for one subtree: longer prefixes, one after another
-                own = slice(None) if pieces == 1 else tn.mix(leaves[0]) % U(pieces) == piece
-                found = later_leaves(*[x[own] for x in leaves])
-                out.append(pa.Table.from_batches([spans(*found, window)]))
-        return pa.concat_tables([t.cast(SPANS) for t in out])
 
-    sent = docs.select("id", "text").mapInArrow(suffixes, "prefix long, payload binary, id long, lo long, hi long")
-    return sent.groupBy("prefix").applyInArrow(subtree, "id long, lo long, hi long")
+def later_windows(heads: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Build the subtrees of a group of contexts. (id, start) of the leaves below deep nodes
+    but for each node's first."""
+    begin, stop, first = tn.words(data, offsets)
+    numbers = word_numbers(data, begin, stop)
+    count = heads[:, 4]
+    own = np.repeat(np.arange(len(heads)), count)
+    inner = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    starts, ends = first[:-1][own] + inner, first[1:][own]
+    doc, at = heads[own, 1], heads[own, 2] + inner
+    order = sorted_suffixes(numbers, first, starts)
+    node = deep_nodes(shared_words(numbers, starts[order], ends[order]), window)
+    doc, at = doc[order], at[order]
+    by = np.lexsort((at, doc, node))
+    doc, at, node = doc[by], at[by], node[by]
+    head = np.maximum.accumulate(np.where(np.append(True, node[1:] != node[:-1]), np.arange(len(node)), 0))
+    later = (doc != doc[head]) | (at != at[head])
+    return doc[later], at[later]
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, groups: int | None = None, **tuning: int) -> DataFrame:
+    """Word spans (id, lo, hi) covered by windows that occur earlier. ``docs`` has id, text."""
+    units, limit = word_units(window, prefix), tuning.pop("limit", rn.LIMIT)
+    settled = rn.repeated_runs(docs, units, groups or rn.group_count(docs, GROUP), **tuning)
+    found = stash(rn.contexts(docs, settled, units), "contexts")
+    together, alone = rn.dealt(found, units, limit)
 
+    def subtree(table: pa.Table) -> pa.Table:
+        doc, at = later_windows(*rn.unpack_group(table), window)
+        return rn.spans(doc, at, at + window)
 
-SPANS = pa.schema([("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+    sent = rn.packed_groups(together, groups or rn.group_count(found, CONTEXTS))
+    deep = sent.groupBy("group").applyInArrow(subtree, "id long, lo long, hi long")
+    known = settled.filter("key is null").select("id", "lo", "hi").union(deep)
+    return known.union(rn.single_windows(alone, units)) if alone.limit(1).count() else known
 
 
 def kept_words(data: np.ndarray, offsets: np.ndarray, cover: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -220,24 +147,24 @@ def kept_words(data: np.ndarray, offsets: np.ndarray, cover: list) -> tuple[np.n
     return n, n - kept, [raw[a : max(a, b - 1)] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, groups: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, groups: int | None = None, **tuning: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for every
-    row of ``docs``.
+    row of ``docs``. ``tuning``: limit, sample and crowd, as in ``runs``.
 
     A word goes if a window over it starts earlier too: in a smaller doc_id, or before in
     the same document. An id stands for one document, so rows that repeat are treated
     alike and not as copies of one another; rows with null ids are documents of their own
-    that come first. Texts without words (null ones too) keep the empty text. Other
-    columns are not read.
+    that come first. Texts without words (null ones too) keep the empty text; an empty
+    table gives an empty result. Other columns are not read.
     """
-    numbered = docs.select("doc_id", stand_in(F.col("doc_id"), F.col("text")).alias("id"), "text")
-    found = repeats(numbered, window, prefix, groups).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("cover"))
-    joined = numbered.join(found, "id", "left").select("doc_id", "text", "cover")
+    numbered = docs.select("doc_id", rn.stand_in(F.col("doc_id"), F.col("text")).alias("id"), "text")
+    found = repeats(numbered, window, prefix, groups, **tuning).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("cover"))
+    joined = packed_texts(numbered).join(found, "id", "left").select("id", "packed", "cover")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in tn.chunks(batches):
+        for part, data, offsets in unpacked(batches):
             n, removed, kept = kept_words(data, offsets, part.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            ids = [None if i < -(2**60) else i for i in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(rewrite, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(rewrite, "doc_id long, n_words long, n_removed long, kept string")

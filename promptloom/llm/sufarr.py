@@ -1,31 +1,26 @@
-"""Substring deduplication on suffixes sorted block by block, over bytes.
-
-Only suffixes that can begin a repeat of ``WINDOW`` bytes are sorted:
-
-1. Cover. Every window has an anchor: the position among its first WINDOW - GRAM + 1
-   whose GRAM bytes hash lowest. Equal windows have equal anchors at the same distance,
-   so comparing suffixes anchor by anchor loses nothing; one position in about a
-   hundred is an anchor. Consecutive windows with one anchor are a run.
-2. Buckets. Runs go to groups by their anchor's gram, a bucket of suffixes being all runs
-   of one gram. Runs whose whole context occurs twice are repeats entirely, and end
-   here; runs alone in a bucket are none. Only runs that share a gram with a different
-   context go on, with their bytes.
-3. Ranks. The contexts of a group are laid out so that all anchors stand at multiples of
-   ``STEP``. Suffixes that have to be compared then differ by multiples of STEP, for
-   which the positions 0 mod STEP are a difference cover. Ranks of the cover sample over
-   WINDOW - STEP bytes come from doubling. Each bucket's suffixes are sorted by their
-   first STEP bytes, the rank of the sample position in those, and their last STEP
-   bytes: a tie of any length costs one comparison of ranks, and no text is compared
-   beyond STEP bytes. Suffixes that compare equal are repeats.
-
-Groups are sized by the input, so one group's arrays bound the memory; a bucket with
-more than ``CROWD`` contexts is split by more of the text around its anchor. Anchors and
-whole contexts are told apart by 64-bit and 128-bit fingerprints, windows by content.
+"""Substring deduplication on suffixes sorted block by block with a difference cover.
+
+Bytes of a text go if a string of ``WINDOW`` bytes over them also starts elsewhere. The
+stages before (``runs``) leave the contexts of possible repeats, dealt to groups by
+prefixes. In a group:
+
+1. Cover. D = ``COVER`` is a difference cover modulo ``PERIOD``: each difference of two
+   numbers modulo PERIOD is one of two members of D. So of any two positions i, j
+   there is a shift under PERIOD that takes both to sample positions, those whose place
+   modulo PERIOD is in D.
+2. Ranks of the sample. Sample suffixes are ranked by their first PERIOD bytes, then by
+   twice as many: PERIOD bytes further lies a sample position again. Ranks stop at the
+   last power that a window holds.
+3. Blocks. The suffixes that can begin a repeat are taken one bucket (range of first
+   bytes) at a time, so that a block's arrays bound the memory. A block is sorted by the
+   first PERIOD bytes of its suffixes and the last of their windows; ties are resolved
+   by the ranks at the shifts of D: two windows are equal if and only if they tie and
+   have equal ranks at the shift that fits both, from where the ranks cover the rest of
+   the window. No text is compared beyond PERIOD bytes, however long the tie.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,253 +29,154 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm import textnum as tn
+from promptloom.llm import runs as rn
 from promptloom.llm.common import stash
 from promptloom.llm.packing import packed_texts
-from promptloom.llm.subtrees import anchors, group_count, stand_in
-from promptloom.shipping import ship
 
-WINDOW, GRAM, STEP = 400, 200, 8
-BATCH = 2 << 20
-#: Contexts of one bucket beyond which it is split by longer keys.
+WINDOW, GRAM = 400, 200
+#: The differences of the cover's members give every number modulo the period.
+PERIOD, COVER = 13, (0, 1, 3, 9)
+#: Text per group of runs, and of contexts; suffixes that are sorted at once.
+GROUP, CONTEXTS, BLOCK = 12 << 20, 6 << 20, 500_000
+#: Contexts of one prefix that are sorted together.
 CROWD = 2048
 U = np.uint64
-RUN = np.dtype([("key", "<u8"), ("print", "<u8"), ("id", "<i8"), ("start", "<i4"), ("count", "<i2"), ("off", "<i2"), ("many", "?")])
-CONTEXT = np.dtype([("key", "<u8"), ("id", "<i8"), ("start", "<i4"), ("off", "<i2"), ("count", "<i2")])
-
-
-def batch_runs(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """The runs of a batch of texts."""
-    n = np.diff(offsets)
-    count = np.maximum(n - window + 1, 0)
-    if not count.any():
-        return np.zeros(0, RUN)
-    sums = tn.prefix_sums(data.astype(U) + U(1))
-    place = np.arange(len(data) - gram + 1)
-    grams = tn.between(sums, place, place + gram)
-    anchor = anchors(grams, window - gram + 1)
-    row = np.repeat(np.arange(len(n)), count)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + offsets[:-1][row]
-    own = anchor[at]
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(fresh)
-    runs = np.zeros(len(first), RUN)
-    length = np.diff(np.append(first, len(at)))
-    begin, a = at[first], own[first]
-    runs["key"], runs["id"], runs["start"], runs["count"], runs["off"] = grams[a], ids[row[first]], begin - offsets[:-1][row[first]], length, a - begin
-    runs["print"] = tn.mix(tn.between(sums, begin, begin + length - 1 + window) ^ ((a - begin).astype(U) * U(4096) + length.astype(U)))
-    return runs
-
-
-def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group runs by (key, print). Returns (order, head of each group, whether the whole
-    context occurs more than once)."""
-    order = np.lexsort((runs["start"], runs["id"], runs["print"], runs["key"]))
-    r = runs[order]
-    head = np.ones(len(r), bool)
-    head[1:] = (r["key"][1:] != r["key"][:-1]) | (r["print"][1:] != r["print"][:-1])
-    group = np.cumsum(head) - 1
-    first = np.flatnonzero(head)
-    other = (r["id"] != r["id"][first][group]) | (r["start"] != r["start"][first][group])
-    twice = np.bincount(group, weights=other | r["many"], minlength=len(first)) > 0
-    return order, first, twice
-
-
-def dedup_ranks(words: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of words[i:i + length] for all i, by doubling (values past the end are 0)."""
-    base = np.unique(words, return_inverse=True)[1]
-    powers, done = {1: base}, 1
-    while done * 2 <= length:
-        powers[done * 2] = _join(powers[done], powers[done], done)
-        done *= 2
-    out, covered = powers[done], done
-    while covered < length:
-        part = 1 << ((length - covered).bit_length() - 1)
-        out = _join(out, powers[part], covered)
-        covered += part
+
+
+def _bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return data.astype(U) + U(1), offsets
+
+
+def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    place = np.arange(len(data))
+    return place, place + 1, offsets
+
+
+def byte_units(window: int = WINDOW, gram: int = GRAM) -> rn.Units:
+    longer = sorted({gram + (window - gram) // 2, window - (window - gram) // 4, window - (window - gram) // 8} - {gram})
+    return rn.Units(_bytes, _bounds, window, gram, tuple(longer), batch=2 << 20, every=True)
+
+
+def in_cover(place: np.ndarray) -> np.ndarray:
+    table = np.zeros(PERIOD, bool)
+    table[list(COVER)] = True
+    return table[place % PERIOD]
+
+
+def dense(*columns: np.ndarray) -> np.ndarray:
+    """Ranks from 0 of rows of numbers, equal for equal rows, in their order."""
+    order = np.lexsort(columns[::-1])
+    fresh = np.zeros(len(order), bool)
+    for c in columns:
+        fresh[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(fresh)
     return out
 
 
-def _join(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
-    moved = np.zeros_like(right)
-    moved[: max(len(right) - shift, 0)] = right[shift:]
-    return np.unique(left * (int(right.max(initial=0)) + 1) + moved, return_inverse=True)[1]
-
-
-def repeated_windows(contexts: np.ndarray, body: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(id, start) of the windows of these contexts that occur elsewhere among them."""
-    size = contexts["count"].astype(np.int64) - 1 + window
-    pad = -contexts["off"].astype(np.int64) % STEP
-    room = -(-(pad + size) // STEP) * STEP
-    base = np.cumsum(room) - room + pad
-    text = np.zeros(int(room.sum()) + STEP, np.uint8)
-    source = np.repeat(np.cumsum(size) - size, size)
-    inner = np.arange(size.sum()) - source
-    text[np.repeat(base, size) + inner] = np.frombuffer(body, np.uint8)
-    words = text.view(">u8").astype(U)
-    rank = dedup_ranks(words, (window - STEP) // STEP)
-    count = contexts["count"].astype(np.int64)
-    own = np.repeat(np.arange(len(contexts)), count)
-    delta = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = base[own] + delta
-    eight = lambda p: sum(text[p + k].astype(U) << U(8 * (7 - k)) for k in range(8))
-    key, back = contexts["key"][own], contexts["off"][own] - delta
-    head, tail, middle = eight(at), eight(at + window - 8), rank[-(-at // STEP)]
-    doc, start = contexts["id"][own], contexts["start"][own] + delta
-    order = np.lexsort((start, doc, tail, middle, head, back, key))
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for column in (key, back, head, middle, tail):
-        c = column[order]
-        same &= c[1:] == c[:-1]
-    first = np.flatnonzero(np.append(True, ~same)[: len(order)])
-    group = np.cumsum(np.append(True, ~same)[: len(order)]) - 1
-    d, s = doc[order], start[order]
-    other = (d != d[first][group]) | (s != s[first][group])
-    hit = np.bincount(group, weights=other, minlength=len(first))[group] > 0
-    return d[hit], s[hit]
-
-
-SPANS = pa.schema([("id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-SENT = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), *SPANS])
-SETTLED = pa.schema([*SPANS, ("key", pa.int64()), ("off", pa.int64()), ("crowd", pa.bool_())])
-
-
-def spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
-    """Union of byte spans per document."""
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order].astype(np.int64), lo[order].astype(np.int64), hi[order].astype(np.int64)
-    if not len(doc):
-        return SPANS.empty_table()
-    new_doc = np.append(True, doc[1:] != doc[:-1])
-    shift = np.cumsum(new_doc) * (int(hi.max()) + 1)  # documents one after another on one line
-    reach = np.maximum.accumulate(hi + shift)
-    fresh = new_doc | np.append(True, (lo + shift)[1:] > reach[:-1])
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(doc)) - 1
-    return pa.Table.from_arrays([pa.array(doc[first]), pa.array(lo[first]), pa.array(reach[last] - shift[last])], schema=SPANS)
-
-
-def _sent(bucket: np.ndarray, payload: list[bytes], known: pa.Table) -> Iterator[pa.RecordBatch]:
-    none = pa.nulls(len(payload), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(payload, pa.binary()), none, none, none], schema=SENT)
-    if known.num_rows:
-        for b in known.to_batches():
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy() % 1024), pa.nulls(b.num_rows, pa.binary()), *b.columns], schema=SENT)
-
-
-def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, groups: int | None = None) -> DataFrame:
-    """id, lo, hi: bytes covered by repeated windows; spans may overlap. ``docs`` has id, text."""
-    ship(docs.sparkSession)
-    groups = groups or group_count(docs)
-
-    def to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in tn.chunks(batches, limit=BATCH):
-            runs = batch_runs(data, offsets, part.column(0).to_numpy(zero_copy_only=False), window, gram)
-            if not len(runs):
-                continue
-            order, first, twice = settle(runs)
-            sorted_runs = runs[order]
-            member = np.repeat(twice, np.diff(np.append(first, len(runs))))
-            here = sorted_runs[member]
-            known = spans(here["id"], here["start"], here["start"] + here["count"] - 1 + window)
-            sent = sorted_runs[first]
-            sent["many"] = twice
-            bucket = (sent["key"] % U(groups)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            sent, bucket = sent[by], bucket[by]
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            payload = [sent[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(sent)), strict=True)]
-            yield from _sent(bucket[edge], payload, known)
-
-    def settle_bucket(table: pa.Table) -> pa.Table:
-        out = [_settled(table.filter(table["payload"].is_null()).select(["id", "lo", "hi"]))]
-        payload = b"".join(p for p in table["payload"].to_pylist() if p is not None)
-        runs = np.frombuffer(payload, RUN)
-        if len(runs):
-            order, first, twice = settle(runs)
-            runs = runs[order]
-            stop = runs["start"].astype(np.int64) + runs["count"] - 1 + window
-            member = np.repeat(twice, np.diff(np.append(first, len(runs))))
-            out.append(_settled(spans(runs["id"][member], runs["start"][member], stop[member])))
-            rep, stop = runs[first], stop[first]
-            edge = np.append(True, rep["key"][1:] != rep["key"][:-1])
-            bucket = np.cumsum(edge) - 1
-            contexts, open_runs = np.bincount(bucket), np.bincount(bucket, weights=~twice)
-            go = ((contexts > 1) & (open_runs > 0))[bucket]
-            left = rep[go]
-            out.append(pa.Table.from_arrays([pa.array(left["id"]), pa.array(left["start"].astype(np.int64)), pa.array(stop[go]), pa.array(np.ascontiguousarray(left["key"]).view(np.int64)), pa.array(left["off"].astype(np.int64)), pa.array((contexts > CROWD)[bucket][go])], schema=SETTLED))
-        return pa.concat_tables(out)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made: dict[int, list] = {}
-                for doc, packed, wanted in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    text = unpack.decompress(packed)
-                    for w in wanted:
-                        for key, lo, hi in split_crowded(text, w, window):
-                            off = w["lo"] + w["off"] - lo
-                            head = np.array([(key % 2**64, doc, lo, off, hi - lo - window + 1)], CONTEXT).tobytes()
-                            made.setdefault(key % groups, []).append((head, text[lo:hi]))
-                payload = [squeeze.compress(len(v).to_bytes(4, "little") + b"".join(h for h, _ in v) + b"".join(t for _, t in v)) for v in made.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(payload, pa.binary())], ["bucket", "payload"])
-
-    def sort_bucket(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
-        heads, bodies = [], []
-        for payload in table["payload"].to_pylist():
-            raw = unpack.decompress(payload)
-            end = 4 + int.from_bytes(raw[:4], "little") * CONTEXT.itemsize
-            heads.append(np.frombuffer(raw[4:end], CONTEXT))
-            bodies.append(raw[end:])
-        doc, start = repeated_windows(np.concatenate(heads), b"".join(bodies), window)
-        return spans(doc, start, start + window)
-
-    sent = docs.select("id", "text").mapInArrow(to_buckets, "bucket long, payload binary, id long, lo long, hi long")
-    settled = stash(sent.groupBy("bucket").applyInArrow(settle_bucket, "id long, lo long, hi long, key long, off long, crowd boolean"), "settled")
-    wanted = settled.filter("key is not null").groupBy("id").agg(F.collect_list(F.struct("lo", "hi", "key", "off", "crowd")).alias("wanted"))
-    contexts = packed_texts(docs).join(wanted, "id").select("id", "packed", "wanted").mapInArrow(cut, "bucket long, payload binary")
-    found = contexts.groupBy("bucket").applyInArrow(sort_bucket, "id long, lo long, hi long")
-    return settled.filter("key is null").select("id", "lo", "hi").union(found)
-
-
-def _settled(known: pa.Table) -> pa.Table:
-    n = known.num_rows
-    return pa.Table.from_arrays([*[c.cast(pa.int64()) for c in known.columns], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], schema=SETTLED)
-
-
-def split_crowded(text: bytes, w: dict, window: int) -> list[tuple[int, int, int]]:
-    """(key, lo, hi) of the pieces that a wanted context is sorted as: itself, or in a
-    crowded bucket two. Windows that begin up to a quarter before the anchor all hold the
-    three quarters after it; the others all hold the quarter before it."""
-    lo, hi, anchor = w["lo"], w["hi"], w["lo"] + w["off"]
-    if not w["crowd"]:
-        return [(w["key"], lo, hi)]
-    quarter = window // 4
-    part = lambda a, b: int.from_bytes(hashlib.blake2b(text[a:b], digest_size=8, salt=(w["key"] % 2**64).to_bytes(8, "little")).digest(), "little", signed=True)
-    turn, last = anchor - quarter, hi - window  # first window of the later piece; last window
+def first_bytes(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The PERIOD bytes from each place, as two numbers."""
+    eight, rest = np.zeros(len(at), U), np.zeros(len(at), U)
+    for k in range(8):
+        eight = (eight << U(8)) | text[at + k]
+    for k in range(8, PERIOD):
+        rest = (rest << U(8)) | text[at + k]
+    return eight, rest
+
+
+def cover_ranks(text: np.ndarray, window: int) -> tuple[np.ndarray, int]:
+    """(rank at each place, for sample positions, by the bytes from there; how many bytes).
+    ``text`` ends with two windows of zeros."""
+    sample = np.flatnonzero(in_cover(np.arange(len(text) - window)))
+    rank, depth = np.zeros(len(text), np.int64), PERIOD
+    rank[sample] = dense(*first_bytes(text, sample)) + 1
+    while 2 * depth + PERIOD <= window:
+        rank[sample] = dense(rank[sample], rank[sample + depth]) + 1
+        depth *= 2
+    return rank, depth
+
+
+def equal_windows(text: np.ndarray, starts: np.ndarray, rank: np.ndarray, depth: int, window: int) -> np.ndarray:
+    """A number for each of these suffixes, the same where their first ``window`` bytes are."""
+    tie = dense(*first_bytes(text, starts), *first_bytes(text, starts + window - PERIOD))
+    found = np.arange(len(starts))
+    for shift in range(PERIOD):
+        own = np.flatnonzero(in_cover(starts + shift))
+        at = starts[own] + shift
+        keys, place = [tie[own], rank[at]], shift
+        while place + depth < window - PERIOD:  # further on, a multiple of PERIOD each time, until the last bytes
+            place += min(depth, (window - depth - place) // PERIOD * PERIOD)
+            keys.append(rank[starts[own] + place])
+        group = dense(*keys)
+        least = np.full(int(group.max(initial=-1)) + 1, len(starts))
+        np.minimum.at(least, group, own)
+        found[own] = np.minimum(found[own], least[group])
+    return found
+
+
+def repeated_windows(heads: np.ndarray, data: np.ndarray, offsets: np.ndarray, window: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(id, start) of the windows of a group's contexts that occur elsewhere among them."""
+    text = np.append(data, np.zeros(2 * window, np.uint8))
+    rank, depth = cover_ranks(text, window)
+    count = heads[:, 4]
+    own = np.repeat(np.arange(len(heads)), count)
+    inner = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    starts, doc, at = offsets[:-1][own] + inner, heads[own, 1], heads[own, 2] + inner
+    first = first_bytes(text, starts)[0]
+    order = np.argsort(first, kind="stable")
+    edge = np.flatnonzero(np.append(True, first[order][1:] != first[order][:-1]))
     out = []
-    if last >= turn:
-        out.append((part(anchor, anchor + window - quarter), max(lo, turn), hi))
-    if lo < turn:
-        out.append((part(anchor - quarter, anchor), lo, min(last, turn - 1) + window))
-    return out
+    for lo, hi in blocks(edge, len(order), block):
+        part = order[lo:hi]
+        number = equal_windows(text, starts[part], rank, depth, window)
+        by = np.lexsort((at[part], doc[part], number))
+        n, d, s = number[by], doc[part][by], at[part][by]
+        head = np.maximum.accumulate(np.where(np.append(True, n[1:] != n[:-1]), np.arange(len(n)), 0))
+        other = (d != d[head]) | (s != s[head])
+        hit = np.bincount(n, weights=other, minlength=len(n))[n] > 0
+        out.append((d[hit], s[hit]))
+    return np.concatenate([d for d, _ in out]), np.concatenate([s for _, s in out])
+
+
+def blocks(edge: np.ndarray, total: int, block: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole buckets with about ``block`` suffixes; a larger bucket is one range."""
+    ends, lo = np.append(edge[1:], total), 0
+    while lo < total:
+        at = int(np.searchsorted(ends, lo + block, "right"))
+        hi = int(ends[at - 1]) if at and ends[at - 1] > lo else int(ends[at])
+        yield lo, hi
+        lo = hi
+
+
+def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, groups: int | None = None, **tuning: int) -> DataFrame:
+    """id, lo, hi: bytes covered by repeated windows; spans may overlap. ``docs`` has id, text."""
+    units, limit = byte_units(window, gram), tuning.pop("limit", CROWD)
+    settled = rn.repeated_runs(docs, units, groups or rn.group_count(docs, GROUP), **tuning)
+    found = stash(rn.contexts(docs, settled, units), "contexts")
+    together, alone = rn.dealt(found, units, limit)
+
+    def sort_group(table: pa.Table) -> pa.Table:
+        doc, at = repeated_windows(*rn.unpack_group(table), window)
+        return rn.spans(doc, at, at + window)
+
+    sent = rn.packed_groups(together, groups or rn.group_count(found, CONTEXTS))
+    equal = sent.groupBy("group").applyInArrow(sort_group, "id long, lo long, hi long")
+    known = settled.filter("key is null").select("id", "lo", "hi").union(equal)
+    return known.union(rn.single_windows(alone, units)) if alone.limit(1).count() else known
 
 
-def remove_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, groups: int | None = None) -> DataFrame:
+def remove_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, groups: int | None = None, **tuning: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row.
+    ``tuning``: limit, sample and crowd, as in ``runs``.
 
     A byte goes if a string of ``window`` bytes over it also starts anywhere else, in any
     document. Matches do not cross documents. An id stands for one document, so rows
     that repeat are treated alike and are not copies of one another; rows with null ids
-    are documents of their own. Null texts are empty; other columns are not read.
+    are documents of their own. Null texts are empty; an empty table gives an empty
+    result. Other columns are not read.
     """
-    numbered = docs.select("doc_id", stand_in(F.col("doc_id"), F.col("text")).alias("id"), "text")
-    cover = removed_spans(numbered, window, gram, groups).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("cover"))
+    numbered = docs.select("doc_id", rn.stand_in(F.col("doc_id"), F.col("text")).alias("id"), "text")
+    cover = removed_spans(numbered, window, gram, groups, **tuning).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("cover"))
     joined = packed_texts(numbered).join(cover, "id", "left").select("id", "packed", "cover")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from promptloom.llm import decontam, exact, graph, jaccard, mixing, secrets, subtrees, sufarr, toxicity, urltree
+from promptloom.llm import decontam, exact, graph, jaccard, mixing, runs, secrets, subtrees, sufarr, toxicity, urltree
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, id string, bucket int, size int, words string"
 WORD = re.compile(r"[^ \t-\r]+")
@@ -272,9 +272,23 @@ def test_components(spark):
 
 @pytest.mark.parametrize("groups", [1, 5])
 def test_word_repeats(spark, docs, groups):
-    got = {r.doc_id: r for r in subtrees.remove_repeats(docs, groups=groups).collect()}
+    check_word_repeats(AWKWARD, subtrees.remove_repeats(docs, groups=groups))
+    assert subtrees.remove_repeats(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [5_000, 3, 1])
+@pytest.mark.parametrize("crowd", [20_000, 0])
+def test_word_repeats_of_crowded_prefixes(spark, limit, crowd):
+    line = prose(70, 26, 4000).split()
+    texts = [f"{prose(200 + i, 15, 3000)} {' '.join(line[i % 4 : 26 - i % 3])} {prose(300 + i, 25, 3000)}" for i in range(40)]
+    texts += [texts[3], texts[7] + " " + texts[9], " ".join(line * 3), prose(1, 90, 2)]
+    check_word_repeats(texts, subtrees.remove_repeats(frame(spark, texts), groups=3, limit=limit, sample=1, crowd=crowd))
+
+
+def check_word_repeats(texts, found):
+    got = {r.doc_id: r for r in found.collect()}
     seen = set()
-    for i, t in enumerate(AWKWARD, 1):
+    for i, t in enumerate(texts, 1):
         w = WORD.findall(t or "")
         gone = set()
         for k in range(len(w) - 19):
@@ -283,7 +297,45 @@ def test_word_repeats(spark, docs, groups):
                 gone |= set(range(k, k + 20))
             seen.add(key)
         assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)), i
-    assert subtrees.remove_repeats(empty(spark)).count() == 0
+
+
+def test_suffixes_and_nodes_of_a_small_tree():
+    text = "b a n a n a x a n a n a".split()
+    numbers, first = np.unique(text, return_inverse=True)[1].astype(np.int64), np.array([0, 7, 12])
+    starts = np.array([1, 3, 5, 7, 9, 11])
+    ends = np.array([7, 7, 7, 12, 12, 12])
+    order = subtrees.sorted_suffixes(numbers, first, starts)
+    tails = [[int(x) for x in numbers[a:b]] for a, b in zip(starts, ends)]
+    assert [tails[i] for i in order] == sorted(tails)
+    shared = subtrees.shared_words(numbers, starts[order], ends[order])
+    common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    assert list(shared) == [0, *(common(tails[a], tails[b]) for a, b in zip(order, order[1:]))]
+    node = subtrees.deep_nodes(shared, 3)
+    assert len(set(node)) == len({tuple(t[:3]) if len(t) >= 3 else i for i, t in enumerate(tails)})
+
+
+def test_cover_holds_every_difference():
+    assert {(a - b) % sufarr.PERIOD for a in sufarr.COVER for b in sufarr.COVER} == set(range(sufarr.PERIOD))
+
+
+@pytest.mark.parametrize("window", [26, 40, 400])
+def test_windows_equal_by_cover_ranks(window):
+    rnd = np.random.default_rng(window)
+    piece = rnd.integers(97, 99, window + 60, np.uint8)
+    data = np.concatenate([piece, rnd.integers(97, 99, 50, np.uint8), piece[7:], np.full(window + 40, 97, np.uint8), piece[:-3]])
+    text = np.append(data, np.zeros(2 * window, np.uint8))
+    starts = np.arange(len(data) - window + 1)
+    rank, depth = sufarr.cover_ranks(text, window)
+    number = sufarr.equal_windows(text, starts, rank, depth, window)
+    raw = data.tobytes()
+    first = {}
+    assert [first.setdefault(raw[s : s + window], s) for s in starts] == list(number)
+
+
+def test_blocks_hold_whole_buckets():
+    edge = np.array([0, 3, 4, 20, 21])
+    got = list(sufarr.blocks(edge, 25, 5))
+    assert got[0][0] == 0 and got[-1][1] == 25 and all(a[1] == b[0] for a, b in zip(got, got[1:])) and {lo for lo, _ in got} <= set(edge.tolist())
 
 
 def test_word_repeats_order_and_null_ids(spark):
@@ -317,6 +369,17 @@ def test_byte_repeats(spark, groups, crowd, monkeypatch):
     assert sufarr.remove_strings(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("limit,crowd", [(2048, 0), (4, 0), (1, 20_000)])
+def test_byte_repeats_of_crowded_prefixes(spark, limit, crowd):
+    line = prose(71, 110, 4000)[:520]
+    texts = [f"{prose(400 + i, 12, 3000)} {line[i % 5 * 11 : 520 - i % 3 * 9]} {prose(500 + i, 14, 3000)}" for i in range(25)] + ["ab" * 700]
+    d = frame(spark, texts, [None if i == 4 else i + 1 for i in range(len(texts))])
+    got = {r.doc_id: r for r in sufarr.remove_strings(d, groups=3, limit=limit, sample=1, crowd=crowd).collect()}
+    for i, want in enumerate(bytes_removed(texts)):
+        r = got[None if i == 4 else i + 1]
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want, i
+
+
 # ---- mixing
 
 
