@@ -124,32 +124,34 @@ FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id) LEF
 _SHAPE = r"regexp_replace(x, '^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}-[0-9]{2})((\.[a-z]{2,5})?)$', '*\2')"
 
 
-def _level(at: int) -> str:
-    return f"""t{at} AS (
-  SELECT t.* EXCLUDE (template), CASE WHEN len(shape) < {at} THEN template ELSE template || '/' || CASE WHEN children > 16 THEN '*' ELSE shape[{at}] END END AS template
-  FROM t{at - 1} t JOIN (SELECT host, template, count(DISTINCT shape[{at}]) AS children FROM t{at - 1} GROUP BY ALL) USING (host, template)
-)"""
-
-
 OP3_SQL = rf"""
-WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS r(ruled, rhost, rpath)),
 fit AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(ruled, length(rhost || rpath)) AS ruled FROM hp JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
-j AS (SELECT hp.*, rule, ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> '')[1:3], lambda x: {_SHAPE}) || CASE WHEN len(list_filter(string_split(path, '/'), lambda x: x <> '')) > 3 THEN ['**'] ELSE [] END AS shape FROM hp LEFT JOIN fit USING (page_id)),
-t0 AS (SELECT host, shape, count(*) FILTER (ruled = 'block') AS blocked, count(ruled) AS labelled, '' AS template FROM j GROUP BY host, shape),
-{_level(1)},
-{_level(2)},
-{_level(3)},
-t AS (SELECT host, shape, blocked, labelled, template || CASE WHEN len(shape) > 3 THEN '/**' ELSE '' END AS template FROM t3),
-leaf AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, sum(blocked)::DOUBLE AS b, sum(labelled)::DOUBLE AS n FROM t GROUP BY host, template),
-p AS (SELECT *, sum(b) OVER (PARTITION BY host, parent) AS pb, sum(n) OVER (PARTITION BY host, parent) AS pn FROM leaf),
-m AS (SELECT *, CASE WHEN n > 0 AND pn > n THEN abs(b / n - (pb - b) / (pn - n)) <= 1.96 * sqrt(pb / pn * (1 - pb / pn) * (1 / n + 1 / (pn - n))) ELSE false END AS alike FROM p),
-q AS (SELECT *, sum(b) FILTER (alike) OVER (PARTITION BY host, parent) AS sb, sum(n) FILTER (alike) OVER (PARTITION BY host, parent) AS sn FROM m),
+j AS (SELECT hp.*, rule, ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {_SHAPE}) AS shape FROM hp LEFT JOIN fit USING (page_id)),
+t AS (
+  SELECT host, shape, count(*) FILTER (ruled = 'block') AS blocked, count(ruled) AS labelled, []::VARCHAR[] AS steps, 0 AS level FROM j GROUP BY host, shape
+  UNION ALL
+  SELECT host, shape, blocked, labelled, list_append(steps, CASE WHEN children > 16 THEN '*' ELSE shape[level + 1] END), level + 1
+  FROM (SELECT *, count(DISTINCT shape[level + 1]) OVER (PARTITION BY host, steps) AS children FROM t WHERE len(shape) > level)
+),
+tree AS (SELECT host, shape, steps, blocked, labelled FROM t WHERE level = len(shape)),
+leaf AS (SELECT host, steps, sum(blocked)::DOUBLE AS b, sum(labelled)::DOUBLE AS n FROM tree GROUP BY host, steps),
+above AS (SELECT host, steps, b, n, k AS level, list_append(steps, '')[1:k] AS node FROM (SELECT *, unnest(range(0, len(steps) + 2)) AS k FROM leaf)),
+nodes AS (SELECT host, level, node, sum(b) AS b, sum(n) AS n, CASE WHEN level > 0 THEN node[1:level - 1] END AS parent FROM above GROUP BY host, level, node),
+siblings AS (SELECT *, sum(b) OVER family AS pb, sum(n) OVER family AS pn, count(*) OVER family AS children FROM nodes WHERE level > 0 WINDOW family AS (PARTITION BY host, parent)),
+m AS (SELECT *, CASE WHEN n > 0 AND pn > n THEN abs(b / n - (pb - b) / (pn - n)) <= 1.96 * sqrt(pb / pn * (1 - pb / pn) * (1 / n + 1 / (pn - n))) ELSE false END AS alike FROM siblings WHERE children > 1),
+g AS (
+  SELECT host, node, CASE WHEN alike THEN sum(b) FILTER (alike) OVER (PARTITION BY host, parent) ELSE b END AS gb, CASE WHEN alike THEN sum(n) FILTER (alike) OVER (PARTITION BY host, parent) ELSE n END AS gn FROM m
+  UNION ALL SELECT host, node, b, n FROM nodes WHERE level = 0
+),
 prior AS (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) AS prior FROM leaf),
-purity AS (SELECT host, template, (CASE WHEN alike THEN sb ELSE b END + 4.0 * prior) / (CASE WHEN alike THEN sn ELSE n END + 4.0) AS purity FROM q CROSS JOIN prior)
-SELECT page_id, j.host AS host, path, rule, coalesce(ruled, CASE WHEN purity.purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, t.template AS template, round(purity.purity, 6) AS purity
-FROM j JOIN t ON j.host = t.host AND j.shape = t.shape JOIN purity ON purity.host = t.host AND purity.template = t.template
+chain AS (SELECT a.host, a.steps, list({{'b': gb, 'n': gn}} ORDER BY level) AS chain FROM above a JOIN g ON a.host = g.host AND a.node = g.node GROUP BY a.host, a.steps),
+purity AS (SELECT host, steps, list_reduce(list_prepend({{'b': prior, 'n': 0.0}}, chain), lambda p, x: {{'b': (x.b + 4.0 * p.b) / (x.n + 4.0), 'n': 0.0}}).b AS purity FROM chain CROSS JOIN prior)
+SELECT page_id, j.host AS host, path, rule, coalesce(ruled, CASE WHEN purity.purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN len(tree.steps) > 0 THEN '/' ELSE '' END || array_to_string(tree.steps, '/') AS template, round(purity.purity, 6) AS purity
+FROM j JOIN tree ON j.host = tree.host AND j.shape = tree.shape JOIN purity ON purity.host = tree.host AND purity.steps = tree.steps
 """
 
 OP7_SQL = """

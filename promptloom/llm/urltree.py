@@ -3,10 +3,14 @@
 Every url is judged first by host/path rules. The urls a rule settles are the
 labelled ones. Per host, paths become templates: segments that look like ids, and
 segments of a place in the tree with many different values, turn into wildcards.
-Sibling branches whose labelled block rates do not differ significantly are
-merged. A template is rejected if its labelled purity (block rate), smoothed
-towards the overall rate, reaches a threshold; templates without labels stand at
-the overall rate.
+
+Branches are merged at every level: of the children of a node, those whose subtrees'
+labelled block rate does not differ from their siblings' by ``Z`` standard errors share
+their counts. A node that is an only child is one with its parent. A template's purity
+(block rate) is read from the root down: each branch's rate, with the counts it shares,
+smoothed by that of the branch above, the root's by the overall rate. A template is
+rejected if its purity reaches a threshold; one without labels stands where the branch
+above it does.
 
 All tree work runs on one row per (host, shape of path), aggregated beforehand, so a
 host with a third of all pages is no larger than its number of path shapes.
@@ -76,12 +80,12 @@ def shape(path: Column) -> Column:
 
 
 def template_tree(shapes: DataFrame, levels: int = LEVELS, max_children: int = MAX_CHILDREN) -> DataFrame:
-    """``shapes`` (host, shape, blocked, labelled) with ``template``: level by level, places
-    with more than ``max_children`` different segments become wildcards. Goes on until no
-    shape has a segment left; a shape that is alone at its place has no siblings further
-    down and ends there with its own segments."""
-    columns = [*shapes.columns, "template"]
-    tree, level, done = stash(shapes.withColumn("template", F.lit("")), "urltree"), 0, []
+    """``shapes`` (host, shape, blocked, labelled) with ``path``, the segments of its template:
+    level by level, places with more than ``max_children`` different segments become
+    wildcards. Goes on until no shape has a segment left; a shape that is alone at its
+    place has no siblings further down and ends there, with the rest as one segment."""
+    columns = [*shapes.columns, "path"]
+    tree, level, done = stash(shapes.withColumn("path", F.array().cast("array<string>")), "urltree"), 0, []
     while True:
         done.append(tree.filter(F.size("shape") <= level).select(columns))
         tree = tree.filter(F.size("shape") > level)
@@ -89,34 +93,40 @@ def template_tree(shapes: DataFrame, levels: int = LEVELS, max_children: int = M
             return reduce(DataFrame.unionByName, done)
         for at in range(level, level + levels):
             segment = F.get("shape", F.lit(at))
-            children = tree.groupBy("host", "template").agg(F.count_distinct(segment).alias("children"))
-            tree = tree.join(children, ["host", "template"])
+            children = tree.groupBy("host", "path").agg(F.count_distinct(segment).alias("children"))
             step = F.when(F.col("children") > max_children, F.lit("*")).otherwise(segment)
-            tree = tree.withColumn("template", F.when(segment.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("children")
+            tree = tree.join(children, ["host", "path"]).withColumn("path", F.when(segment.isNull(), F.col("path")).otherwise(F.array_append("path", step))).drop("children")
         level += levels
-        alone = tree.filter(F.size("shape") > level).groupBy("host", "template").agg((F.count("*") == 1).alias("alone"))
-        rest = F.concat("template", F.lit("/"), F.array_join(F.slice("shape", level + 1, F.size("shape")), "/"))
-        tree = stash(tree.join(alone, ["host", "template"], "left").withColumn("alone", F.col("alone") & (F.size("shape") > level)).withColumn("template", F.when(F.col("alone"), rest).otherwise(F.col("template"))), "urltree")
+        alone = tree.filter(F.size("shape") > level).groupBy("host", "path").agg((F.count("*") == 1).alias("alone"))
+        rest = F.array_append("path", F.array_join(F.slice("shape", level + 1, F.size("shape")), "/"))
+        tree = stash(tree.join(alone, ["host", "path"], "left").withColumn("alone", F.col("alone") & (F.size("shape") > level)).withColumn("path", F.when(F.col("alone"), rest).otherwise(F.col("path"))), "urltree")
         done.append(tree.filter("alone").select(columns))
         tree = tree.filter(~F.coalesce("alone", F.lit(False))).select(columns)
 
 
 def template_purity(tree: DataFrame, smoothing: float = SMOOTHING, z: float = Z) -> DataFrame:
-    """host, template, purity. Branches under one parent whose block rate does not differ
-    from the rest of the parent's by ``z`` standard errors share their counts."""
-    leaves = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    parents = leaves.groupBy("host", "parent").agg(F.sum("b").alias("pb"), F.sum("n").alias("pn"))
-    joined = leaves.join(parents, ["host", "parent"])
+    """host, path, purity of the templates of a tree."""
+    leaves = stash(tree.groupBy("host", "path").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")), "templates")
+    total = leaves.agg(F.coalesce(F.sum("b") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("prior"))  # one row
+    # each leaf hangs by an end mark below its last segment, where longer paths may go on
+    steps = F.array_append("path", F.lit(""))
+    up = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(k.alias("level"), F.slice(steps, F.lit(1), k).alias("node")))
+    above = stash(leaves.select("host", "path", "b", "n", F.inline(up)), "branches")
+    nodes = above.groupBy("host", "level", "node").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    parent = F.when(F.col("level") > 0, F.slice("node", F.lit(1), F.greatest(F.col("level") - 1, F.lit(0))))
+    nodes = stash(nodes.withColumn("parent", parent), "nodes")
+    families = nodes.filter("level > 0").groupBy("host", "parent").agg(F.sum("b").alias("pb"), F.sum("n").alias("pn"), F.count(F.lit(1)).alias("children")).filter("children > 1")
     rate = F.col("pb") / F.col("pn")
     spread = F.sqrt(rate * (1 - rate) * (1 / F.col("n") + 1 / (F.col("pn") - F.col("n"))))
     apart = F.abs(F.col("b") / F.col("n") - (F.col("pb") - F.col("b")) / (F.col("pn") - F.col("n")))
     similar = F.when((F.col("n") > 0) & (F.col("pn") > F.col("n")), apart <= z * spread).otherwise(F.lit(False))
-    marked = joined.withColumn("similar", similar)
-    pooled = marked.filter("similar").groupBy("host", "parent").agg(F.sum("b").alias("sb"), F.sum("n").alias("sn"))
-    total = leaves.agg(F.coalesce(F.sum("b") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("prior"))
-    with_pool = marked.join(pooled, ["host", "parent"], "left").join(F.broadcast(total))
-    b, n = F.when(F.col("similar"), F.col("sb")).otherwise(F.col("b")), F.when(F.col("similar"), F.col("sn")).otherwise(F.col("n"))
-    return with_pool.select("host", "template", ((b + smoothing * F.col("prior")) / (n + smoothing)).alias("purity"))
+    marked = stash(nodes.join(families, ["host", "parent"]).withColumn("similar", similar), "siblings")
+    merged = marked.filter("similar").groupBy("host", "parent").agg(F.sum("b").alias("sb"), F.sum("n").alias("sn"))
+    shared = marked.join(merged, ["host", "parent"], "left").select("host", "node", F.when(F.col("similar"), F.col("sb")).otherwise(F.col("b")).alias("gb"), F.when(F.col("similar"), F.col("sn")).otherwise(F.col("n")).alias("gn"))
+    root = nodes.filter("level = 0").select("host", "node", F.col("b").alias("gb"), F.col("n").alias("gn"))
+    chain = above.select("host", "path", "level", "node").join(root.unionByName(shared), ["host", "node"]).groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("level", "gb", "gn"))).alias("chain"))  # as long as the path
+    down = F.aggregate("chain", F.col("prior"), lambda p, x: (x["gb"] + F.lit(smoothing) * p) / (x["gn"] + F.lit(smoothing)))
+    return chain.join(F.broadcast(total)).select("host", "path", down.alias("purity"))
 
 
 def url_filter(pages: DataFrame, rules: Sequence[UrlRule] = RULES, levels: int = LEVELS, max_children: int = MAX_CHILDREN, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
@@ -130,6 +140,7 @@ def url_filter(pages: DataFrame, rules: Sequence[UrlRule] = RULES, levels: int =
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     judged = parsed.withColumn("rule", by_rule(F.col("host"), F.col("path"), rules, lambda r: r.text)).withColumn("ruled", by_rule(F.col("host"), F.col("path"), rules, lambda r: r.verdict)).withColumn("shape", shape(F.col("path")))
     shapes = judged.groupBy("host", "shape").agg(F.count_if(F.col("ruled") == "block").alias("blocked"), F.count("ruled").alias("labelled"))
-    tree = template_tree(shapes, levels, max_children)
-    known = tree.select("host", "shape", "template").join(template_purity(tree, smoothing), ["host", "template"])
+    tree = stash(template_tree(shapes, levels, max_children), "templates")
+    known = tree.select("host", "shape", F.col("path").alias("steps")).join(template_purity(tree, smoothing).withColumnRenamed("path", "steps"), ["host", "steps"])
+    known = known.withColumn("template", F.concat(F.when(F.size("steps") > 0, "/").otherwise(F.lit("")), F.array_join("steps", "/")))
     return judged.join(known, ["host", "shape"]).select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
