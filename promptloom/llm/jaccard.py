@@ -3,8 +3,9 @@
 A document is the set of its word shingles. Documents with equal sets are one class
 of copies, represented by its smallest id; only representatives are compared. Their
 MinHash signature is cut into bands; representatives that share a band's hash meet
-in a bucket, and every pair of a bucket is verified on the full shingle sets. A
-pair that shares several bands is verified in the first of them only.
+in a bucket, and every pair of a bucket is verified on the full sets of 64-bit shingle
+hashes. A pair that shares several bands is verified in the first of them only, and a
+bucket whose members all share an earlier one is left out: so most sets move once.
 
 ``ROWS`` and ``BANDS`` follow from the target recall: at similarity s a pair is met
 with probability 1 - (1 - s**rows)**bands, which is 0.9998 at 0.8.
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +118,7 @@ def bucket_members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for i, buckets in enumerate(cols["buckets"]):
                 if p[i] != cols["p"][i] or q[i] != cols["q"][i]:
                     continue  # another text under the same id
-                packed, bands = squeeze(h[first[i] : first[i + 1]]), np.array(cols["bands"][i], np.int64).tobytes()
+                packed, bands = h[first[i] : first[i + 1]].tobytes(), np.array(cols["bands"][i], np.int64).tobytes()
                 for b in buckets:
                     own = int(tn.mix(np.array([cols["id"][i]], np.int64).view(U))[0] % U(b["blocks"]))
                     for other in range(b["blocks"]):
@@ -130,18 +133,6 @@ def bucket_members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, low int, high int, block int, band int, id long, copies long, bands binary, hashes binary")
 
 
-def squeeze(hashes: np.ndarray) -> bytes:
-    """The upper five bytes of each hash: two sets of a thousand shingles take a wrong one
-    for equal with a probability of 1e-6."""
-    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
-
-
-def widen(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return out.view(U).ravel()
-
-
 def _members(out: dict[str, list]) -> pa.RecordBatch:
     kinds = {"low": pa.int32(), "high": pa.int32(), "block": pa.int32(), "band": pa.int32(), "bands": pa.binary(), "hashes": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()], list(out))
@@ -178,7 +169,7 @@ def verify(members: list[tuple], threshold: float) -> list[tuple[int, int, int,
         return []
     block, copies = np.array([m[0] for m in members]), np.array([m[3] for m in members], np.int64)
     bands = np.stack([np.frombuffer(m[4], np.int64) for m in members])
-    sets = [widen(m[5]) for m in members]
+    sets = [np.frombuffer(m[5], U) for m in members]
     pair = ~np.eye(len(ids), dtype=bool)
     if block.min() != block.max():
         pair &= block[:, None] != block[None, :]
@@ -245,7 +236,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     tables = stash(own.join(reps, ["id", "p", "q"]), "band-tables")
     each = tables.select("id", "p", "q", F.posexplode("bands").alias("band", "bucket"))
     counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = each.join(counts, "bucket").select("id", "p", "q", F.struct("bucket", "band", F.ceil(F.col("n") / block).cast("int").alias("blocks")).alias("b"))
+    shared = each.join(counts, "bucket").join(tables.select("id", "p", "q", "bands"), ["id", "p", "q"])
+    ends = [f(F.get("bands", F.lit(k))).alias(f"{name}{k}") for k in range(bands) for name, f in (("min", F.min), ("max", F.max))]
+    earlier = reduce(or_, [(F.col("band") > k) & (F.col(f"min{k}") == F.col(f"max{k}")) for k in range(bands)])
+    needed = shared.groupBy("bucket", "band", "n").agg(*ends).filter(~earlier).select("bucket", "n")
+    met = each.join(needed, "bucket").select("id", "p", "q", F.struct("bucket", "band", F.ceil(F.col("n") / block).cast("int").alias("blocks")).alias("b"))
     wanted = met.groupBy("id", "p", "q").agg(F.collect_list("b").alias("buckets")).join(tables, ["id", "p", "q"])
     found = stash(links(bucket_members(docs, wanted, size), threshold), "links")
     grouped = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))

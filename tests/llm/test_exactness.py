@@ -214,6 +214,58 @@ def test_deep_branches_have_their_own_templates(spark, levels):
     assert got["/a/b/c/wide/x7x/end"][2] == "/a/b/c/wide/*/end" and got["/a/b/c/d/e/f/g/h"][2] == "/a/b/c/d/e/f/g/h" and got["/a"][2] == "/a"
 
 
+def test_branches_are_merged_at_inner_levels(spark):
+    """Purity of every template against the tree computed plainly."""
+    rnd = np.random.default_rng(3)
+    paths = [f"/{a}/{b}/{c}" for a in ("good", "bad", "mixed") for b in "uvw" for c in ("x", "y", "z")] + ["/good", "/bad/u", "/deep/1/2/k/l/m", "/"]
+    urls = [f"http://h{h}.org{p}?{k}" for h in range(2) for p in paths for k in range(1 + int(rnd.integers(0, 9)))]
+    rate, rules = {"good": 0.05, "bad": 0.9, "mixed": 0.4}, []
+    for h in range(2):
+        for p in paths[:27]:
+            if rnd.random() < 0.7:
+                rules.append(urltree.UrlRule("block" if rnd.random() < rate[p.split("/")[1]] else "allow", f"h{h}.org", p))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {(r.host, r.path): (r.template, r.purity) for r in urltree.url_filter(df, rules, levels=2).collect()}
+    # plainly
+    rows = []
+    for u in urls:
+        host, path = u.split("/")[2], "/" + u.split("/", 3)[3].split("?")[0]
+        fit = max((r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), key=lambda r: len(r.text), default=None)
+        segs = tuple("*" if x.isdigit() else x for x in path.split("/") if x)
+        rows.append((host, segs, fit and fit.verdict))
+    nodes = defaultdict(lambda: [0, 0])
+    for host, segs, v in rows:
+        for k in range(len(segs) + 2):
+            nodes[host, (*segs, "")[:k]][0] += v == "block"
+            nodes[host, (*segs, "")[:k]][1] += v is not None
+    prior = sum(v == "block" for *_, v in rows) / sum(v is not None for *_, v in rows)
+
+    def counts(host, node):
+        family = {k: v for k, v in nodes.items() if k[0] == host and len(k[1]) == len(node) and k[1][:-1] == node[:-1]}
+        pb, pn = sum(v[0] for v in family.values()), sum(v[1] for v in family.values())
+
+        def similar(b, n):
+            if not n or pn == n:
+                return False
+            return abs(b / n - (pb - b) / (pn - n)) <= 1.96 * (pb / pn * (1 - pb / pn) * (1 / n + 1 / (pn - n))) ** 0.5
+
+        if len(family) == 1:
+            return None
+        own = nodes[host, node]
+        alike = [v for v in family.values() if similar(*v)]
+        return [sum(v[0] for v in alike), sum(v[1] for v in alike)] if similar(*own) else own
+
+    for host, segs, _ in rows:
+        p = prior
+        for k in range(len(segs) + 2):
+            c = nodes[host, ()] if k == 0 else counts(host, (*segs, "")[:k])
+            if c:
+                p = (c[0] + 4 * p) / (c[1] + 4)
+        path = [q for (h, q) in got if h == host and tuple("*" if x.isdigit() else x for x in q.split("/") if x) == segs]
+        for q in path:
+            assert got[host, q][1] == pytest.approx(p, abs=2e-6), (host, q)
+
+
 # ---- near duplicates
 
 
@@ -254,6 +306,30 @@ def test_bands_meet_the_recall():
     assert 1 - (1 - 0.8**4) ** b >= 0.9995 > 1 - (1 - 0.8**4) ** (b - 1)
 
 
+def test_recall_of_pairs_near_the_threshold(spark):
+    rnd = np.random.default_rng(17)
+    texts = []
+    for i in range(150):  # pairs that share some 0.74 to 0.88 of their shingles
+        words = prose(600 + i, 240, 9000).split()
+        other = list(words)
+        for at in rnd.choice(48, int(rnd.integers(3, 8)), replace=False):
+            other[at * 5] = f"x{i}y{at}"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [shingles(t) for t in texts]
+    linked = [i for i in range(0, 300, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    got = {r.doc_id: r for r in jaccard.jaccard_join(frame(spark, texts)).collect()}
+    found = [i for i in linked if got[i + 1].class_id == got[i + 2].class_id]
+    assert 60 < len(linked) < 150 and len(found) >= 0.99 * len(linked)
+    assert all(got[i + 1].n_links == 0 for i in range(0, 300, 2) if i not in linked)
+
+
+def test_a_large_group_of_near_copies(spark):
+    base = prose(9, 150, 5000).split()
+    texts = [" ".join(base[:k] + [f"n{k}"] + base[k + 1 :]) for k in range(0, 150, 2)]
+    got = jaccard.jaccard_join(frame(spark, texts), block=10).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(1, 74)}
+
+
 def test_null_ids_and_repeated_rows_in_joins(spark):
     d = frame(spark, [prose(1, 40), prose(1, 40), prose(2, 40), prose(2, 40)], [None, 5, 6, 6])
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_links) for r in jaccard.jaccard_join(d).collect())
