@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.shared import stash
+from promptloom.shared import scratch, stash
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "DOCUMENT_COLUMNS", "WHITE", "WORD", "fold_ascii", "read", "stash", "whole"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "DOCUMENT_COLUMNS", "WHITE", "WORD", "fold_ascii", "read", "scratch", "stash", "whole"]
 
 WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"
