@@ -31,56 +31,64 @@ LENGTH = 10
 WITHIN = 20
 #: Pieces that the postings of a term are spread over where they are joined in a shuffle.
 SALTS = 8
-#: A document's last posting has this mark, which no word has, and a number that spreads it.
+#: The term of a document's last posting has this mark, which no word has, and a number
+#: that spreads it.
 END = "\x00"
-DOC = ("doc_id", "print")
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(fold_ascii(text), F.lit(TERM), F.lit(0))
 
 
-def same_doc(a: str, b: str) -> Column:
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.print") == F.col(f"{b}.print"))
-
-
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The postings (term, doc_id, print, pos from 0) of the terms in ``vocabulary``, and of
-    each document's end. print is a hash of the text: with doc_id it addresses a document
-    even where an id comes twice. ``vocabulary`` is written, so that its size is known."""
-    addressed = docs.select("doc_id", F.xxhash64(whole(F.col("text"))).alias("print"), terms(F.col("text")).alias("words"))
+    """The postings (code, doc, pos from 0) of the terms in ``vocabulary`` (code, term), and
+    of each document's end, which has no code but the doc_id and ``print``, a hash of the
+    text. doc is a number of the row, so rows that repeat are documents of their own.
+    Written; ``vocabulary`` is written, so that its size is known."""
+    addressed = docs.select(F.monotonically_increasing_id().alias("doc"), "doc_id", F.xxhash64(whole(F.col("text"))).alias("print"), terms(F.col("text")).alias("words"))
     end = F.concat(F.lit(END), F.pmod(F.col("print"), F.lit(1024)).cast("string"))
-    each = addressed.select(*DOC, F.posexplode(F.concat("words", F.array(end))).alias("pos", "term"))
-    known = vocabulary.select("term", F.lit(True).alias("known"))
-    kept = each.join(known, "term", "left").filter(F.col("known") | F.startswith("term", F.lit(END)))
-    return stash(kept.select("term", *DOC, "pos"), "index")
+    each = addressed.select("doc", "doc_id", "print", F.posexplode(F.concat("words", F.array(end))).alias("pos", "term"))
+    last = F.startswith("term", F.lit(END))
+    kept = each.join(vocabulary, "term", "left").filter(F.col("code").isNotNull() | last)
+    return stash(kept.select("code", "doc", "pos", *[F.when(last, F.col(c)).alias(c) for c in ("doc_id", "print")]), "index")
+
 
+def documents_of(index: DataFrame) -> DataFrame:
+    """doc, doc_id, print and n_words of every document."""
+    return index.filter("code is null").select("doc", "doc_id", "print", F.col("pos").cast("long").alias("n_words"))
 
-def test_windows(items: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(windows: code, words, size) and (code, item_id) of all test items, written. An item
-    shorter than ``length`` is one window; one without words has none."""
-    words = items.select("item_id", terms(F.col("text")).alias("words")).filter("size(words) > 0")
+
+def test_windows(items: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(windows: window, words, size; window and item_id; vocabulary: code, term) of all test
+    items, written. words are codes. An item shorter than ``length`` is one window; one
+    without words has none."""
+    split = stash(items.select("item_id", terms(F.col("text")).alias("words")).filter("size(words) > 0"), "items")
+    vocabulary = stash(split.select(F.explode("words").alias("term")).distinct().select(F.monotonically_increasing_id().alias("code"), "term"), "vocabulary")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (length - 1)))
-    cut = words.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, length))).alias("words")).distinct()
-    windows = stash(cut.select("words").distinct().select(F.monotonically_increasing_id().alias("code"), "words", F.size("words").alias("size")), "windows")
-    return windows, stash(cut.join(windows, "words").select("code", "item_id"), "window-items")
+    cut = split.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("words", s, length))).alias("words")).distinct()
+    named = stash(cut.select("words").distinct().select(F.monotonically_increasing_id().alias("window"), "words"), "phrases")
+    coded = named.select("window", F.posexplode("words").alias("offset", "term")).join(vocabulary, "term")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("offset", "code"))), lambda s: s["code"])
+    windows = stash(coded.groupBy("window").agg(words.alias("words")).withColumn("size", F.size("words")), "windows")
+    return windows, stash(cut.join(named, "words").select("window", "item_id"), "window-items"), vocabulary
 
 
 def rare_terms(windows: DataFrame, index: DataFrame) -> DataFrame:
-    """code, and the (offset, term) of each window's rarest and second rarest term, written.
-    Windows with a term that no document has are gone."""
-    each = windows.select("code", "size", F.posexplode("words").alias("offset", "term"))
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
-    ranked = each.join(counts, "term").groupBy("code", "size").agg(F.sort_array(F.collect_list(F.struct("count", "offset", "term"))).alias("ranks"))  # at most a window's terms
+    """window, and the (offset, code) of its rarest and second rarest term, written. Windows
+    with a term that no document has are gone."""
+    each = windows.select("window", "size", F.posexplode("words").alias("offset", "code"))
+    counts = index.filter("code is not null").groupBy("code").agg(F.count(F.lit(1)).alias("count"))
+    ranked = each.join(counts, "code").groupBy("window", "size").agg(F.array_sort(F.collect_list(F.struct("count", "offset", "code"))).alias("ranks"))  # at most a window's terms
     first, second = F.get("ranks", F.lit(0)), F.coalesce(F.get("ranks", F.lit(1)), F.get("ranks", F.lit(0)))
-    pair = lambda r: F.struct(r["offset"].alias("offset"), r["term"].alias("term"))
-    return stash(ranked.filter(F.size("ranks") == F.col("size")).select("code", pair(first).alias("first"), pair(second).alias("second")), "rare-terms")
+    pair = lambda r: F.struct(r["offset"].alias("offset"), r["code"].alias("code"))
+    return stash(ranked.filter(F.size("ranks") == F.col("size")).select("window", pair(first).alias("first"), pair(second).alias("second")), "rare-terms")
 
 
 def term_lists(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The postings of the terms in ``wanted`` (code, term, …), with its columns."""
+    """window, doc, pos of the postings of the terms in ``wanted`` (window, code)."""
     salted = wanted.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return index.withColumn("salt", F.pmod(F.col("print"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]).drop("salt")
+    postings = index.select("code", "doc", "pos", F.pmod(F.col("doc"), F.lit(SALTS)).cast("int").alias("salt"))
+    return postings.join(salted, ["code", "salt"]).select("window", "doc", "pos")
 
 
 def cells(pos: Column, within: int) -> Column:
@@ -90,27 +98,27 @@ def cells(pos: Column, within: int) -> Column:
 
 
 def places(index: DataFrame, rare: DataFrame, within: int) -> DataFrame:
-    """code, doc_id, print, at: postings of rarest terms with the second rarest near, written."""
-    lists = lambda name: term_lists(index, rare.select("code", f"{name}.term")).select("code", *DOC, "pos")
-    a = lists("first").withColumn("cell", cells(F.col("pos"), within)).alias("a")
-    b = lists("second").withColumn("cell", F.floor(F.col("pos") / (within + 1))).alias("b")
-    near = (F.col("a.code") == F.col("b.code")) & same_doc("a", "b") & (F.col("a.cell") == F.col("b.cell")) & (F.abs(F.col("a.pos") - F.col("b.pos")) <= within)
-    return stash(a.join(b, near).select("a.code", "a.doc_id", "a.print", F.col("a.pos").alias("at")).distinct(), "places")
+    """window, doc, at: postings of rarest terms with the second rarest near, written."""
+    a = term_lists(index, rare.select("window", "first.code")).withColumn("cell", cells(F.col("pos"), within)).alias("a")
+    b = term_lists(index, rare.select("window", "second.code")).withColumn("cell", F.floor(F.col("pos") / (within + 1))).alias("b")
+    near = (F.col("a.window") == F.col("b.window")) & (F.col("a.doc") == F.col("b.doc")) & (F.col("a.cell") == F.col("b.cell")) & (F.abs(F.col("a.pos") - F.col("b.pos")) <= within)
+    return stash(a.join(b, near).select("a.window", "a.doc", F.col("a.pos").alias("at")).distinct(), "places")
 
 
 def matches(index: DataFrame, windows: DataFrame, within: int = WITHIN) -> DataFrame:
-    """Every match of a window: doc_id, print, code, at (its rarest term), start, size, and
-    whether it is ``exact``; where a place is both, the exact match. Written."""
+    """Every match of a window: doc, window, at (its rarest term), start, size, and whether it
+    is ``exact``. Written."""
     rare = rare_terms(windows, index)
     found = places(index, rare, within)
-    of_docs = stash(found.select(*DOC).distinct(), "place-docs")
-    nearby = index.alias("i").join(of_docs.alias("d"), same_doc("i", "d"), "left_semi").distinct().withColumn("cell", F.floor(F.col("pos") / (within + 1))).alias("i")
-    placed = found.join(rare.select("code", F.col("first.offset").alias("from")), "code").join(windows, "code")
-    wanted = placed.select("code", *DOC, "at", "size", (F.col("at") - F.col("from")).alias("start"), F.size(F.array_distinct("words")).alias("different"), F.posexplode("words").alias("offset", "term")).withColumn("cell", cells(F.col("at"), within)).alias("w")
-    met = wanted.join(nearby, same_doc("w", "i") & (F.col("w.term") == F.col("i.term")) & (F.col("w.cell") == F.col("i.cell")) & (F.abs(F.col("i.pos") - F.col("w.at")) <= within))
+    # the postings of documents with places: these few documents are the side that is hashed
+    of_docs = found.select("doc").distinct().hint("shuffle_hash")
+    nearby = index.filter("code is not null").select("code", "doc", "pos").join(of_docs, "doc", "left_semi").withColumn("cell", F.floor(F.col("pos") / (within + 1))).alias("i")
+    placed = found.join(rare.select("window", F.col("first.offset").alias("from")), "window").join(windows, "window")
+    wanted = placed.select("window", "doc", "at", "size", (F.col("at") - F.col("from")).alias("start"), F.size(F.array_distinct("words")).alias("different"), F.posexplode("words").alias("offset", "code")).withColumn("cell", cells(F.col("at"), within)).alias("w")
+    met = wanted.join(nearby, (F.col("w.doc") == F.col("i.doc")) & (F.col("w.code") == F.col("i.code")) & (F.col("w.cell") == F.col("i.cell")) & (F.abs(F.col("i.pos") - F.col("w.at")) <= within))
     on_place = F.when(F.col("i.pos") - F.col("w.offset") == F.col("w.start"), F.col("w.offset"))
-    judged = met.groupBy("w.doc_id", "w.print", "w.code", "w.at", "w.start", "w.size", "w.different").agg(F.count_distinct("w.term").alias("terms"), F.count_distinct(on_place).alias("agree"))
-    return stash(judged.filter("terms = different").select(*DOC, "code", "at", "start", "size", (F.col("agree") == F.col("size")).alias("exact")), "matches")
+    judged = met.groupBy("w.doc", "w.window", "w.at", "w.start", "w.size", "w.different").agg(F.count_distinct("w.code").alias("codes"), F.count_distinct(on_place).alias("agree"))
+    return stash(judged.filter("codes = different").select("doc", "window", "at", "start", "size", (F.col("agree") == F.col("size")).alias("exact")), "matches")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, within: int = WITHIN) -> DataFrame:
@@ -120,34 +128,30 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = LENGTH, withi
     proximity matches, exact ones among them).
 
     Null texts have no words; without items, or in an empty table, nothing is hit. Rows
-    that repeat with the same id and text have the same result; null ids are ordinary
+    that repeat are documents of their own, with the same result; null ids are ordinary
     values; other columns are not read.
     """
-    windows, of_items = test_windows(items, length)
-    index = build_index(docs, vocabulary_of(windows))
+    windows, of_items, vocabulary = test_windows(items, length)
+    index = build_index(docs, vocabulary)
     found = matches(index, windows, within)
-    spans = found.filter("exact").groupBy(*DOC, "start").agg(F.max("size").alias("size")).withColumn("end", F.col("start") + F.col("size"))
-    before = Window.partitionBy(*DOC).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.filter("exact").groupBy("doc", "start").agg(F.max("size").alias("size")).withColumn("end", F.col("start") + F.col("size"))
+    before = Window.partitionBy("doc").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = spans.withColumn("seen", F.coalesce(F.max("end").over(before), F.lit(0))).withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen")))
-    covered = fresh.groupBy(*DOC).agg(F.sum("new").alias("n_hit"))
+    covered = fresh.groupBy("doc").agg(F.sum("new").alias("n_hit"))
     item = F.col("item_id").cast("string")
-    named = found.join(of_items, "code").groupBy(*DOC).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), item))).alias("items"), F.sort_array(F.collect_set(item)).alias("near"))
-    light = index.filter(F.startswith("term", F.lit(END))).select(*DOC, F.col("pos").cast("long").alias("n_words")).alias("d")
-    joined = light.join(covered.alias("c"), same_doc("d", "c"), "left").join(named.alias("n"), same_doc("d", "n"), "left")
-    hit, none = F.coalesce(F.col("c.n_hit"), F.lit(0)), F.array().cast("array<string>")
+    named = found.join(of_items, "window").groupBy("doc").agg(F.sort_array(F.collect_set(F.when(F.col("exact"), item))).alias("items"), F.sort_array(F.collect_set(item)).alias("near"))
+    joined = documents_of(index).join(covered, "doc", "left").join(named, "doc", "left")
+    hit, none = F.coalesce(F.col("n_hit"), F.lit(0)), F.array().cast("array<string>")
     digest = lambda name: F.sha2(F.array_join(F.coalesce(F.col(name), none), ","), 256)
     count = lambda name: F.size(F.coalesce(F.col(name), none)).cast("long")
-    return joined.select(F.col("d.doc_id").alias("doc_id"), F.col("d.n_words").alias("n_words"), hit.cast("long").alias("n_hit"), count("n.items").alias("n_items"), digest("n.items").alias("items_sha256"), (hit > 0).alias("contaminated"), count("n.near").alias("n_near"), digest("n.near").alias("near_sha256"))
-
-
-def vocabulary_of(windows: DataFrame) -> DataFrame:
-    return stash(windows.select(F.explode("words").alias("term")).distinct(), "vocabulary")
+    return joined.select("doc_id", "n_words", hit.cast("long").alias("n_hit"), count("items").alias("n_items"), digest("items").alias("items_sha256"), (hit > 0).alias("contaminated"), count("near").alias("n_near"), digest("near").alias("near_sha256"))
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs`` in which no test window occurs exactly, with all their columns."""
-    windows, _ = test_windows(items, length)
-    found = matches(build_index(docs, vocabulary_of(windows)), windows)
+    windows, _, vocabulary = test_windows(items, length)
+    index = build_index(docs, vocabulary)
+    hit = matches(index, windows).filter("exact").select("doc").distinct()
     # written first, so that its size is known when the join is planned: few are broadcast
-    dirty = stash(found.filter("exact").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct(), "dirty")
+    dirty = stash(documents_of(index).join(hit, "doc").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct(), "dirty")
     return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__id"]) & (F.xxhash64(whole(docs["text"])) == dirty["__print"]), "left_anti")
