@@ -81,6 +81,12 @@ def group_count(docs: DataFrame, group: int) -> int:
     return max(8, size // group)
 
 
+def body_groups(found: DataFrame, group: int) -> int:
+    """Groups of about ``group`` bytes of contexts, by their lengths: near copies compress so
+    well that file sizes tell little."""
+    return max(8, (found.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // group)
+
+
 def lowest(values: np.ndarray, span: int) -> np.ndarray:
     """Minimum of each ``span`` neighbours, by doubling."""
     done, out = 1, values
@@ -328,7 +334,8 @@ def single_windows(found: DataFrame, units: Units) -> DataFrame:
 
 
 def packed_groups(found: DataFrame, groups: int) -> DataFrame:
-    """Contexts by group of prefixes, those of a batch compressed together: group, payload."""
+    """Contexts by group of prefixes, those of a batch compressed together: group, payload.
+    Dealt to tasks of some groups each: their few bytes would be coalesced into few tasks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -345,7 +352,8 @@ def packed_groups(found: DataFrame, groups: int) -> DataFrame:
                 out.append(squeeze.compress(b"".join([len(sizes).to_bytes(8, "little"), heads.tobytes(), sizes.tobytes(), *bodies])))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], ["group", "payload"])
 
-    return found.select("prefix", "id", "lo", "off", "count", "body").mapInArrow(pack, "group long, payload binary")
+    packed = found.select("prefix", "id", "lo", "off", "count", "body").mapInArrow(pack, "group long, payload binary")
+    return packed.repartition(max(found.sparkSession.sparkContext.defaultParallelism, groups // 8), "group")
 
 
 def unpack_group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from promptloom.llm.packing import packed_texts, unpacked
 
 WINDOW, PREFIX = 20, 10
 #: Text per group of runs, and of contexts.
-GROUP, CONTEXTS = 12 << 20, 6 << 20
+GROUP, CONTEXTS = 12 << 20, 4 << 20
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, groups:
         doc, at = later_windows(*rn.unpack_group(table), window)
         return rn.spans(doc, at, at + window)
 
-    sent = rn.packed_groups(together, groups or rn.group_count(found, CONTEXTS))
+    sent = rn.packed_groups(together, groups or rn.body_groups(found, CONTEXTS))
     deep = sent.groupBy("group").applyInArrow(subtree, "id long, lo long, hi long")
     known = settled.filter("key is null").select("id", "lo", "hi").union(deep)
     return known.union(rn.single_windows(alone, units)) if alone.limit(1).count() else known

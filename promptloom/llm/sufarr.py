@@ -37,7 +37,7 @@ WINDOW, GRAM = 400, 200
 #: The differences of the cover's members give every number modulo the period.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Text per group of runs, and of contexts; suffixes that are sorted at once.
-GROUP, CONTEXTS, BLOCK = 12 << 20, 6 << 20, 500_000
+GROUP, CONTEXTS, BLOCK = 12 << 20, 4 << 20, 500_000
 #: Contexts of one prefix that are sorted together.
 CROWD = 2048
 U = np.uint64
@@ -159,7 +159,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group
         doc, at = repeated_windows(*rn.unpack_group(table), window)
         return rn.spans(doc, at, at + window)
 
-    sent = rn.packed_groups(together, groups or rn.group_count(found, CONTEXTS))
+    sent = rn.packed_groups(together, groups or rn.body_groups(found, CONTEXTS))
     equal = sent.groupBy("group").applyInArrow(sort_group, "id long, lo long, hi long")
     known = settled.filter("key is null").select("id", "lo", "hi").union(equal)
     return known.union(rn.single_windows(alone, units)) if alone.limit(1).count() else known
