@@ -293,6 +293,7 @@ KERNELS: dict[str, Kernel] = {
     "fps": text_farthest,
     "div": lambda x, _, k: max_min(x, k),
     "score_minus": lambda x, _, k: score_minus_similarity(x, np.ones(len(x)), k),
+    "score_minus_text": lambda x, t, k: score_minus_similarity(x, mean_cosine(x, t), k),
     "min_max": lambda x, _, k: least_max_similarity(x, k),
     "vis": lambda x, t, k: attention_and_diversity(x, t, k, -mean_cosine(x, t)),
 }

@@ -529,20 +529,102 @@ def trim_stage1(spark, sf_dir):
     return scored.withColumn("r", place).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("label"))).filter("r <= floor(0.8 * c)").select("label", "vec_id")
 
 
+_UNIT = "list_transform({0}, lambda v: list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))))"
+#: Per label: ids, number and vectors of the candidates, similarities to each other (s), mean
+#: similarity to the text vectors (r), and how many are to be kept (k).
+_GROUPS_SQL = f"""WITH RECURSIVE g AS (
+  SELECT label, list(vec_id ORDER BY vec_id) FILTER (vec_id % 10 <> 0) AS ids, list(embedding::DOUBLE[] ORDER BY vec_id) FILTER (vec_id % 10 <> 0) AS x,
+         coalesce(list(embedding::DOUBLE[] ORDER BY vec_id) FILTER (vec_id % 10 = 0), []) AS t FROM embeddings GROUP BY label),
+u AS (SELECT label, ids, len(ids) AS n, x, t, {_UNIT.format("x")} AS ux, {_UNIT.format("t")} AS ut FROM g WHERE ids IS NOT NULL),
+m AS (SELECT label, ids, n, floor(0.222 * n)::INT AS k, x, t, list_transform(ux, lambda a: list_transform(ux, lambda b: list_dot_product(a, b))) AS s,
+        list_transform(ux, lambda a: coalesce(list_avg(list_transform(ut, lambda b: list_dot_product(a, b))), 0)) AS r FROM u)"""
+_CHOSEN_SQL = "SELECT label, ids[c] AS vec_id, (row_number() OVER (PARTITION BY label ORDER BY c) - 1)::INT AS rank FROM (SELECT label, ids, unnest(chosen) AS c FROM walk WHERE len(chosen) = k)"
+_BEST = "list_position({0}, list_max({0}))"
+
+
+def _greedy_sql(first: str, score: str, table: str = "m", extra: str = "") -> str:
+    """SQL for a greedy choice: ``first`` are the scores of the first step, ``score`` that of
+    candidate i given the list ``chosen``. ``table`` has the columns of m."""
+    return f"""{_GROUPS_SQL}{extra},
+walk AS (
+  SELECT label, ids, n, k, s, r, [{_BEST.format("first")}] AS chosen FROM (SELECT *, {first} AS first FROM {table}) WHERE k > 0
+  UNION ALL
+  SELECT label, ids, n, k, s, r, list_append(chosen, {_BEST.format("scores")}) AS chosen
+  FROM (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN -1e300 ELSE {score} END) AS scores FROM walk WHERE len(chosen) < k)
+)
+{_CHOSEN_SQL}"""
+
+
+_SIMS = "list_transform(chosen, lambda c: s[c][i])"
+_FAR = f"1 - list_max({_SIMS})"
+_SIGMOID = "1 / (1 + exp(-2 * {0}))"
+_SPREAD = ("list_transform(s, lambda y: -list_avg(y))", f"-list_sum({_SIMS}) / len(chosen)")
+
+
+def _dpp_sql(kernel: str, quality: str = "r") -> str:
+    """SQL for the greedy set of a determinantal point process, ``kernel`` in i, j and w, the
+    list of qualities: what is left of the diagonal and the factor's rows go along."""
+    return f"""{_GROUPS_SQL},
+q AS (SELECT *, {quality} AS w FROM m),
+l AS (SELECT label, ids, n, k, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 1), lambda j: {kernel})) AS kernel FROM q),
+walk AS (
+  SELECT label, ids, n, k, kernel, list_transform(range(1, n + 1), lambda i: kernel[i][i]) AS rest, []::DOUBLE[][] AS factor, []::BIGINT[] AS chosen FROM l WHERE k > 0
+  UNION ALL
+  SELECT label, ids, n, k, kernel, list_transform(range(1, n + 1), lambda i: CASE WHEN i = j OR list_contains(chosen, i) THEN -1e300 ELSE rest[i] - fresh[i] * fresh[i] END) AS rest,
+         list_append(factor, fresh) AS factor, list_append(chosen, j) AS chosen
+  FROM (SELECT *, list_transform(range(1, n + 1), lambda i: (kernel[j][i] - coalesce(list_sum(list_transform(factor, lambda f: f[j] * f[i])), 0)) / sqrt(greatest(rest[j], 1e-12))) AS fresh
+        FROM (SELECT *, {_BEST.format("rest")} AS j FROM walk WHERE len(chosen) < k))
+)
+{_CHOSEN_SQL}"""
+
+
+_TRIM_EXTRA = """,
+far AS (SELECT *, list_transform(x, lambda a: coalesce(list_avg(list_transform(t, lambda b: list_sum(list_transform(list_zip(a, b), lambda z: (z[1] - z[2]) ** 2)))), -1)) AS d FROM m),
+near AS (SELECT *, list_sort(list_transform(list_sort(list_transform(range(1, n + 1), lambda i: {'d': d[i], 'i': i}))[1:floor(0.8 * n)::INT], lambda z: z.i)) AS kept FROM far),
+f AS (SELECT label, list_transform(kept, lambda i: ids[i]) AS ids, len(kept) AS n, least(k, len(kept)) AS k, list_transform(kept, lambda i: list_transform(kept, lambda j: s[i][j])) AS s, r FROM near)"""
+_VIS_SQL = f"""{_GROUPS_SQL},
+o AS (SELECT *, list_transform(list_sort(list_transform(range(1, n + 1), lambda i: {{'r': r[i], 'i': i}}))[1:floor(0.6 * k)::INT], lambda z: z.i) AS top FROM m),
+walk AS (
+  SELECT label, ids, n, k, s, top, []::BIGINT[] AS others, top AS chosen FROM o WHERE k > 0
+  UNION ALL
+  SELECT label, ids, n, k, s, top, list_append(others, j) AS others, list_append(chosen, j) AS chosen
+  FROM (SELECT *, {_BEST.format("scores")} AS j FROM (SELECT *, list_transform(range(1, n + 1), lambda i: CASE WHEN list_contains(chosen, i) THEN -1e300 ELSE 1 - 0.8 * coalesce(list_sum(list_transform(others, lambda c: s[c][i])), 0) END) AS scores FROM walk WHERE len(chosen) < k))
+)
+{_CHOSEN_SQL}"""
+_SCALED = "list_transform(r, lambda y: (-y - list_min(list_transform(r, lambda z: -z)) + 1e-6) / (list_max(list_transform(r, lambda z: -z)) - list_min(list_transform(r, lambda z: -z)) + 1e-6))"
+#: SQL of each selection kernel.
+KERNEL_SQL = {
+    "cd": _dpp_sql("w[i] * s[i][j] * w[j]", _SCALED),
+    "trim": _greedy_sql(*_SPREAD, table="f", extra=_TRIM_EXTRA),
+    "spread": _greedy_sql(*_SPREAD),
+    "text_div": _greedy_sql("r", f"0.6 * -(list_sum({_SIMS}) / len(chosen)) + 0.4 * r[i]"),
+    "dpp": _dpp_sql("s[i][j] * w[i] * w[j] + CASE WHEN i = j THEN 1e-6 ELSE 0 END", "list_transform(r, lambda y: sqrt(greatest(y, 0) + 0.1))"),
+    "fps": _greedy_sql(f"list_transform(r, lambda y: {_SIGMOID.format('y')})", f"({_FAR}) * ({_SIGMOID.format('r[i]')})"),
+    "div": _greedy_sql("list_transform(range(1, n + 1), lambda i: 1 - coalesce(list_max(list_transform(list_filter(range(1, n + 1), lambda j: j <> i), lambda j: s[i][j])), 0))", _FAR),
+    "score_minus": _greedy_sql("list_transform(r, lambda y: 1)", f"1 - 0.8 * list_sum({_SIMS})"),
+    "score_minus_text": _greedy_sql("r", f"r[i] - 0.8 * list_sum({_SIMS})"),
+    "min_max": _greedy_sql("list_transform(r, lambda y: 1)", f"-list_max({_SIMS})"),
+    "vis": _VIS_SQL,
+}
+
+
 def _select(kernel: str) -> None:
     def run(spark, sf_dir):
         marked = table(spark, sf_dir, "embeddings").withColumn("is_text", F.col("vec_id") % 10 == 0)
         return vectors.select_vectors(marked, "label", "vec_id", "embedding", kernel, 0.222, "is_text")
 
     run.__name__ = f"select_{kernel}"
-    QUERIES[run.__name__] = run
+    QUERIES[run.__name__], ORACLES[run.__name__] = run, KERNEL_SQL[kernel]
 
 
 for _name in vectors.KERNELS:
     _select(_name)
 
 
-@query()
+@query(f"""{_GROUPS_SQL},
+o AS (SELECT *, len(list_filter(r, lambda y: y > hi + 1.5 * (hi - lo))) / n AS share FROM (SELECT *, list_aggregate(r, 'quantile_cont', 0.25) AS lo, list_aggregate(r, 'quantile_cont', 0.75) AS hi FROM m WHERE k > 0)),
+walk AS (SELECT label, ids, greatest(1, floor(n * greatest(share, 1 / n))::INT) AS k, list_transform(list_sort(list_transform(range(1, n + 1), lambda i: {{'r': -r[i], 'i': i}}))[1:greatest(1, floor(n * greatest(share, 1 / n))::INT)], lambda z: z.i) AS chosen FROM o)
+{_CHOSEN_SQL}""")
 def prumerge(spark, sf_dir):
     merge = lambda x, texts, k: vectors.merge_tokens(x, vectors.mean_cosine(x, texts), 8)[0]
     marked = table(spark, sf_dir, "embeddings").withColumn("is_text", F.col("vec_id") % 10 == 0)
