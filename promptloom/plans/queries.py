@@ -413,7 +413,42 @@ def token_stats(spark, sf_dir):
     return tokens.token_counts(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), F.lit(336), F.lit(336))
 
 
-@query()
+#: A row per shard and request, with the cache after it: entries held and by which requests,
+#: free ones from the oldest on, and requests not yet freed.
+_CACHE_SQL = """WITH RECURSIVE e AS (SELECT user_id % 16 AS shard, event_id, user_id AS k, (user_id % 7 + 1) * 64 AS t, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS seq FROM events),
+w AS (
+  SELECT DISTINCT shard, 0::BIGINT AS seq, 0::BIGINT AS event_id, '' AS outcome, 0::BIGINT AS used,
+         []::STRUCT(k BIGINT, size BIGINT, users BIGINT[])[] AS held, []::STRUCT(k BIGINT, size BIGINT)[] AS frees, []::STRUCT(k BIGINT, seq BIGINT)[] AS recent FROM e
+  UNION ALL
+  SELECT shard, seq, event_id, outcome, used, left_held, CASE WHEN idle AND NOT list_contains(list_transform(frees, lambda f: f.k), gone.k) THEN list_append(frees, {'k': gone.k, 'size': list_filter(left_held, lambda h: h.k = gone.k)[1].size}) ELSE frees END, recent
+  FROM (
+    SELECT *, coalesce(len(list_filter(left_held, lambda h: h.k = gone.k AND len(h.users) = 0)) > 0, false) AS idle
+    FROM (
+      SELECT shard, seq, event_id, outcome, used, frees, gone, CASE WHEN gone IS NULL THEN recent ELSE recent[2:] END AS recent,
+             list_transform(held, lambda h: {'k': h.k, 'size': h.size, 'users': CASE WHEN h.k = gone.k THEN list_filter(h.users, lambda u: u <> gone.seq) ELSE h.users END}) AS left_held
+      FROM (
+        SELECT *, CASE WHEN len(recent) > 4 THEN recent[1] END AS gone
+        FROM (
+          SELECT shard, seq, event_id, outcome,
+                 CASE outcome WHEN 'miss' THEN used + t - coalesce(list_sum(list_transform(frees[1:evict], lambda f: f.size)), 0)::BIGINT ELSE used END AS used,
+                 CASE outcome WHEN 'hit' THEN list_transform(held, lambda h: {'k': h.k, 'size': h.size, 'users': CASE WHEN h.k = k THEN list_append(h.users, seq) ELSE h.users END})
+                              WHEN 'miss' THEN list_append(list_filter(held, lambda h: NOT list_contains(list_transform(frees[1:evict], lambda f: f.k), h.k)), {'k': k, 'size': t, 'users': [seq]}) ELSE held END AS held,
+                 CASE outcome WHEN 'hit' THEN list_filter(frees, lambda f: f.k <> k) WHEN 'miss' THEN frees[evict + 1:] ELSE frees END AS frees,
+                 CASE WHEN outcome = 'rejected' THEN recent ELSE list_append(recent, {'k': k, 'seq': seq}) END AS recent, t
+          FROM (
+            SELECT *, len(list_filter(range(1, len(frees) + 1), lambda i: coalesce(list_sum(list_transform(frees[1:i - 1], lambda f: f.size)), 0) < t - (4096 - used))) AS evict,
+                   CASE WHEN list_contains(list_transform(held, lambda h: h.k), k) THEN 'hit' WHEN t > 4096 - used + coalesce(list_sum(list_transform(frees, lambda f: f.size)), 0) THEN 'rejected' ELSE 'miss' END AS outcome
+            FROM (SELECT w.shard, e.seq, e.event_id, e.k, e.t, w.used, w.held, w.frees, w.recent FROM w JOIN e ON w.shard = e.shard AND e.seq = w.seq + 1)
+          )
+        )
+      )
+    )
+  )
+)
+SELECT shard, event_id, outcome, used FROM w WHERE seq > 0"""
+
+
+@query(_CACHE_SQL)
 def encoder_cache_sim(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("tokens", (F.col("user_id") % 7 + 1) * 64).withColumn("shard", F.pmod(F.col("user_id"), F.lit(16)))
     return cachesim.simulate(events, "shard", "event_id", "user_id", "tokens", capacity=4096, window=4)
