@@ -4,7 +4,8 @@ Targets: each source's share of the total is clamped at ``max_epochs`` times its
 size; the excess is shared again by weight until no source is above its clamp.
 That fixed point is one water level L with target = min(cap, weight * L). Sorted
 by cap / weight, the clamped sources are a prefix, so L follows from cumulative
-sums over one row per source, without a loop.
+sums over one row per source, without a loop. The sums run by ranges of sources, so
+that sources may be as many as web hosts.
 
 Sampling: target / size gives whole repetitions of every document and one
 fractional repetition. The fraction takes documents in a seeded hash order until
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import WORD, stash, whole
+from promptloom.llm.common import WORD, numbered, stash, whole
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hash buckets of a source: leading hexadecimal digits of the draw.
@@ -36,20 +37,23 @@ def sizes(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, max_epochs: float = 3.0) -> DataFrame:
     """One row per source: source, source_size, weight, target.
 
-    Weights are dealt to the sources in code point order, null last, repeating. The
-    windows here run over one row per source. A source without words gets target 0.
+    Weights are dealt to the sources in code point order, null last, repeating. A source
+    without words gets target 0. Written.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = sums.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("absent", F.col("source").isNull())
+    ranked = numbered(sums, "absent", "source", out="place")
     dealt = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranked.withColumn("weight", F.get(dealt, (F.col("place") % len(weights)).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before, whole_table = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    level = (F.sum("source_size").over(whole_table) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    leveled = ranked.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
+    ranked = ranked.withColumn("fill", F.col("cap") / F.col("weight"))
+    # of the sources before each one in the order of their caps: the sums of caps and of weights
+    capped = numbered(ranked, "fill", "place", out="capped", weight="cap")
+    leveled = stash(numbered(capped, "fill", "place", out="light", total="heavy", weight="weight"), "mix-levels")
+    level = (F.col("all") * F.lit(float(share)) - F.col("capped")) / (F.col("heavy") - F.col("light"))
+    total = leveled.agg(F.sum("source_size").alias("all"))  # one row
+    levels = leveled.join(F.broadcast(total)).withColumn("level", level)
     # the water level is that of the first source, in this order, that is not clamped
-    water = F.min_by(F.when(F.col("fits"), F.col("level")), F.when(F.col("fits"), F.col("cap") / F.col("weight"))).over(whole_table)
-    return leveled.withColumn("water", water).select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("water")), F.col("cap")).alias("target"))
+    water = levels.filter(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", F.struct("fill", "place")).alias("water"))  # one row
+    return stash(leveled.join(F.broadcast(water)).select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("water")), F.col("cap")).alias("target")), "mix-targets")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, max_epochs: float = 3.0, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:

@@ -489,6 +489,23 @@ def test_mix(spark):
     assert set(mixing.mixed_rows(d).columns) >= set(d.columns)
 
 
+def test_targets_of_many_sources(spark):
+    rnd = np.random.default_rng(8)
+    sizes = {f"host{i:03d}": int(v) for i, v in enumerate(rnd.pareto(1.0, 300) * 20)}
+    rows = [(i, v, s) for i, (s, v) in enumerate(sizes.items())]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "doc_id long, size long, source string")).collect()}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}
+    clamped, total = {s for s in sizes if not sizes[s]}, sum(sizes.values())
+    while True:
+        left = total - sum(3 * sizes[s] for s in clamped)
+        share = {s: left * weight[s] / sum(weight[x] for x in sizes if x not in clamped) for s in sizes if s not in clamped}
+        over = {s for s in share if share[s] > 3 * sizes[s]}
+        if not over:
+            break
+        clamped |= over
+    assert clamped and all(got[s] == pytest.approx(share.get(s, 3 * sizes[s])) for s in sizes)
+
+
 def test_mix_one_source_and_repeated_rows(spark):
     d = frame(spark, [prose(1, 10)] * 3 + ["x"], [4, 4, 4, None], ["s"] * 4)
     assert sum(r.taken for r in mixing.mix(d).collect()) == 31

@@ -28,6 +28,15 @@ def test_query_over_nulls_and_repeats(spark):
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted((r[0] or -1, len((r[1] or "").encode()), n, n > 100) for r, n in zip(rows, want, strict=True))
 
 
+def test_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8, 9, 1, "x")], "doc_id long, text string, n_bytes long, n_tokens long, limit long, over_limit int, rows string")
+    assert bpecount.token_counts(df.limit(0), PATH).count() == 0
+    got = bpecount.token_counts(df, PATH).first()
+    assert (got.doc_id, got.n_bytes, got.over_limit) == (1, 3, False) and got.n_tokens == expected(["a b"])[0]
+    long = spark.createDataFrame([(1, "word " * 50_000), (1, "word " * 50_000)], "doc_id long, text string")
+    assert {r.n_tokens for r in bpecount.token_counts(long, PATH).collect()} == {expected(["word " * 50_000])[0]}
+
+
 def test_merges_in_rank_order():
     # a b c with ranks: bc before ab, so "abc" ends as a + bc
     model = {"size": 8, "keys": None, "inner": None, "last": None}
