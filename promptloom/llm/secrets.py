@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptloom.llm.common import stash, whole
@@ -119,3 +119,26 @@ def secret_scan(versions: DataFrame, ledger: DataFrame | None = None, known: Dat
     if known is not None:
         findings = findings.unionByName(known.filter(F.col("rule_version") == rule_version))
     return report(versions, findings, rules)
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, or an empty one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def scan_into(versions: DataFrame, store: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """``report`` of ``versions``, with the ledger and the findings kept in the folder ``store``
+    from run to run: only blobs that no run with these rules has seen are scanned.
+
+    Findings are appended before the ledger, so a run that breaks off between the two
+    scans its blobs again; the findings that then come twice count once.
+    """
+    spark = versions.sparkSession
+    ledger, known = (stored(spark, f"{store}/{name}", schema) for name, schema in (("ledger", LEDGER), ("findings", FINDINGS)))
+    todo = stash(unseen(versions, ledger, rule_version), "unseen")
+    scan(todo, rules, rule_version).write.mode("append").parquet(f"{store}/findings")
+    todo.select("blob", F.lit(rule_version).alias("rule_version")).distinct().write.mode("append").parquet(f"{store}/ledger")
+    known = stored(spark, f"{store}/findings", FINDINGS).filter(F.col("rule_version") == rule_version).distinct()
+    return report(versions, known, rules)

@@ -107,6 +107,22 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {tuple(r) for r in secrets.secret_scan(new, ledger, found).collect()} == whole
 
 
+def test_ledger_on_disk(spark, tmp_path):
+    store, rows = f"file://{tmp_path}/store", lambda name: spark.read.parquet(f"{tmp_path}/store/{name}").count()
+    old, new = frame(spark, SECRETS[:5]), frame(spark, SECRETS)
+    want = lambda d: {tuple(r) for r in secrets.secret_scan(d).collect()}
+    assert {tuple(r) for r in secrets.scan_into(old, store).collect()} == want(old)
+    assert rows("ledger") == len({t or "" for t in SECRETS[:5]})
+    found = rows("findings")
+    # a run that broke off after its findings were written
+    secrets.scan(secrets.unseen(new, secrets.stored(spark, f"{store}/ledger", secrets.LEDGER))).write.mode("append").parquet(f"{store}/findings")
+    assert {tuple(r) for r in secrets.scan_into(new, store).collect()} == want(new)
+    assert rows("ledger") == len({t or "" for t in SECRETS}) and rows("findings") > found
+    before = rows("findings")
+    assert {tuple(r) for r in secrets.scan_into(new, store).collect()} == want(new) and rows("findings") == before
+    assert {tuple(r) for r in secrets.scan_into(old, store, rule_version="2").collect()} == want(old) and rows("findings") > before
+
+
 # ---- decontamination
 
 
