@@ -78,6 +78,17 @@ class CountingBackend:
         return self.inner.complete(prompts, choices, json_schema, **images)
 
 
+class DelayedBackend:
+    """Another backend that takes a fixed time for each prompt, to measure plans with."""
+
+    def __init__(self, inner: Backend, seconds: float) -> None:
+        self.inner, self.seconds = inner, seconds
+
+    def complete(self, prompts, choices, json_schema=None, **images):
+        time.sleep(self.seconds * len(prompts))
+        return self.inner.complete(prompts, choices, json_schema, **images)
+
+
 #: Replies that ``complete_once`` remembers.
 REMEMBERED = 100_000
 

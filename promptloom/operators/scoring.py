@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.text import answer_index, json_answer, like_any
-from promptloom.shared import numbered, stash
+from promptloom.shared import numbered
 
 
 def _flag(c: Column) -> Column:
@@ -69,7 +69,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[flo
     are counted and numbered by range over the whole table, so that neither a large
     group nor its distinct values have to fit one task's memory."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    placed = stash(numbered(counts, *by, value, out="__at", weight="__c"), "placed")
+    placed = numbered(counts, *by, value, out="__at", weight="__c")
     totals = placed.groupBy(*by).agg(F.min("__at").alias("__base"), F.sum("__c").alias("__n")).select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__base", "__n")
     same = F.lit(True)
     for i, c in enumerate(by):

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,15 +74,25 @@ def ranged(df: DataFrame, *order: str, label: str = "ranged", part: str = "__par
     return stash(df.repartitionByRange(*[F.col(c) for c in order]).withColumn(part, F.spark_partition_id()), label)
 
 
+def sums_before(df: DataFrame, *order: str, totals: bool = False, **weights: Column | str) -> DataFrame:
+    """For each named weight the sum over all rows before a row in the order of ``order``,
+    without one task that sees all rows; with ``totals`` also ``<name>_total``."""
+    cut = ranged(df, *order)
+    amount = {name: F.col(w) if isinstance(w, str) else w for name, w in weights.items()}
+    sums = cut.groupBy("__part").agg(*[F.sum(w).alias(f"__sum_{n}") for n, w in amount.items()])
+    upto, everything = Window.orderBy("__part"), Window.partitionBy()
+    before = sums.select("__part", *[(F.sum(f"__sum_{n}").over(upto) - F.col(f"__sum_{n}")).alias(f"__before_{n}") for n in amount], *[F.sum(f"__sum_{n}").over(everything).alias(f"{n}_total") for n in amount])
+    if not totals:
+        before = before.drop(*[f"{n}_total" for n in amount])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = cut.select("*", *[(F.sum(w).over(inside) - w).alias(f"__inside_{n}") for n, w in amount.items()]).join(F.broadcast(before), "__part")  # a row per range
+    named = {n: F.col(f"__inside_{n}") + F.col(f"__before_{n}") for n in amount}
+    return found.withColumns(named).drop("__part", *[f"__{k}_{n}" for n in amount for k in ("inside", "before")])
+
+
 def numbered(df: DataFrame, *order: str, out: str, total: str | None = None, weight: str | None = None) -> DataFrame:
     """Consecutive numbers from 0 in the order of ``order`` (with ``weight``, the sum of that
     column over all rows before), without one task that sees all rows. ``total`` names a
     column for the overall number."""
-    cut = ranged(df, *order)
-    amount = F.lit(1).cast("long") if weight is None else F.col(weight)
-    sums = cut.groupBy("__part").agg(F.sum(amount).alias("__sum"))
-    before = sums.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__before"), F.sum("__sum").over(Window.partitionBy()).alias("__total"))
-    inside = F.sum(amount).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - amount
-    rows = cut.join(F.broadcast(before), "__part")  # a row per range
-    found = rows.withColumn(out, inside + F.col("__before"))
-    return (found.withColumn(total, F.col("__total")) if total else found).drop("__part", "__before", "__total")
+    found = sums_before(df, *order, totals=total is not None, **{out: weight or F.lit(1).cast("long")})
+    return found.withColumnRenamed(f"{out}_total", total) if total else found
