@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.shared import numbered, scratch, stash
+from promptloom.shared import numbered, scratch, stash, sums_before
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "DOCUMENT_COLUMNS", "WHITE", "WORD", "fold_ascii", "numbered", "read", "scratch", "stash", "whole"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "DOCUMENT_COLUMNS", "WHITE", "WORD", "fold_ascii", "numbered", "read", "scratch", "stash", "sums_before", "whole"]
 
 WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import WORD, numbered, stash, whole
+from promptloom.llm.common import WORD, numbered, stash, sums_before, whole
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Hash buckets of a source: leading hexadecimal digits of the draw.
@@ -38,7 +38,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     """One row per source: source, source_size, weight, target.
 
     Weights are dealt to the sources in code point order, null last, repeating. A source
-    without words gets target 0. Written.
+    without words gets target 0.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("absent", F.col("source").isNull())
     ranked = numbered(sums, "absent", "source", out="place")
@@ -46,14 +46,13 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     ranked = ranked.withColumn("weight", F.get(dealt, (F.col("place") % len(weights)).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
     ranked = ranked.withColumn("fill", F.col("cap") / F.col("weight"))
     # of the sources before each one in the order of their caps: the sums of caps and of weights
-    capped = numbered(ranked, "fill", "place", out="capped", weight="cap")
-    leveled = stash(numbered(capped, "fill", "place", out="light", total="heavy", weight="weight"), "mix-levels")
-    level = (F.col("all") * F.lit(float(share)) - F.col("capped")) / (F.col("heavy") - F.col("light"))
+    leveled = stash(sums_before(ranked, "fill", "place", totals=True, capped="cap", light="weight"), "mix-levels")
+    level = (F.col("all") * F.lit(float(share)) - F.col("capped")) / (F.col("light_total") - F.col("light"))
     total = leveled.agg(F.sum("source_size").alias("all"))  # one row
     levels = leveled.join(F.broadcast(total)).withColumn("level", level)
     # the water level is that of the first source, in this order, that is not clamped
     water = levels.filter(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min_by("level", F.struct("fill", "place")).alias("water"))  # one row
-    return stash(leveled.join(F.broadcast(water)).select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("water")), F.col("cap")).alias("target")), "mix-targets")
+    return leveled.join(F.broadcast(water)).select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("water")), F.col("cap")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, max_epochs: float = 3.0, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
