@@ -24,6 +24,55 @@ def test_greedy_is_a_permutation_of_each_rows_cells(table):
     assert all(sorted(c) == sorted(dict(rows)[p]) for p, c in out)
 
 
+def plain_greedy(rows, least=0):
+    """The greedy rule as a recursion: rows are (position, cells)."""
+    if not rows:
+        return []
+    values = {v for _, cs in rows for _, v in cs}
+    gain = {v: len(v) ** 2 * (sum(any(x == v for _, x in cs) for _, cs in rows) - 1) for v in values}
+    value = min(values, key=lambda v: (-gain[v], v), default=None)
+    if value is None or gain[value] <= least:
+        width = len(rows[0][1])
+        score = [sum(len(cs[j][1]) ** 2 for _, cs in rows) / len(rows) * (len(rows) / len({cs[j][1] for _, cs in rows}) - 1) for j in range(width)]
+        order = sorted(range(width), key=lambda j: (-score[j], j))
+        return sorted(((p, [cs[j] for j in order]) for p, cs in rows), key=lambda r: ([v for _, v in r[1]], r[0]))
+    parts = {}
+    for p, cs in rows:
+        front = [c for c in cs if c[1] == value]
+        if front:
+            parts.setdefault(len(front), []).append((p, front, [c for c in cs if c[1] != value]))
+    out = []
+    for n in sorted(parts):
+        fronts = {p: front for p, front, _ in parts[n]}
+        out += [(p, fronts[p] + cs) for p, cs in plain_greedy([(p, rest) for p, _, rest in parts[n]], least)]
+    return out + plain_greedy([(p, cs) for p, cs in rows if all(v != value for _, v in cs)], least)
+
+
+@settings(max_examples=150, deadline=None)
+@given(tables, st.sampled_from([0, 3, 9]))
+def test_greedy_equals_a_plain_recursion(table, least):
+    assert L.greedy(cells(table), least) == plain_greedy(cells(table), least)
+
+
+def test_registered_layout_equals_a_plain_recursion(spark):
+    from promptloom.plans import queries as q
+
+    sf = "/root/testdata/sf0.001"
+    got = q.QUERIES["ggr_layout"](spark, sf).collect()
+    part = q.table(spark, sf, "part")
+    stats = {r["column"]: r for r in L.column_stats(part, "p_brand", "p_type", "p_size", "p_name").collect()}
+    order = sorted(stats, key=lambda c: (-stats[c]["score"], stats[c]["place"]))
+    kept = [c for c in order if stats[c]["n_distinct"] <= 0.8 * stats[c]["n_rows"]]
+    text = {r.p_partkey: {c: str(r[c]) for c in order} for r in part.collect()}
+    for chunk in {r.chunk for r in got}:
+        mine = sorted((r for r in got if r.chunk == chunk), key=lambda r: r.pos)
+        keys = sorted((r.p_partkey for r in mine), key=lambda k: ([text[k][c] for c in kept], k))
+        want = plain_greedy([(i, [(c, text[k][c]) for c in kept]) for i, k in enumerate(keys)], 100)
+        rest = [c for c in order if c not in kept]
+        assert [(r.p_partkey, [(x.name, x.value) for x in r.cells]) for r in mine] == [(keys[i], cs + [(c, text[keys[i]][c]) for c in rest]) for i, cs in want]
+    assert sorted(r.p_partkey for r in got) == sorted(text)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["a", "bb", "ccc"]), min_size=2, max_size=2), min_size=1, max_size=5))
 def test_exhaustive_is_no_worse_than_any_single_column_sort(table):
