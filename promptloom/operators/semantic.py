@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from promptloom.functions import templates as tp
 from promptloom.functions.backends import YES_NO, Backend, complete_once
 from promptloom.operators.vectors import cosine
-from promptloom.shared import small, stash
+from promptloom.shared import in_blocks, stash
 from promptloom.shipping import ship
 
 
@@ -101,7 +102,7 @@ class Prefilter:
     least: float = 0.2
 
 
-#: Bytes of the right side of a semantic join without condition that may be sent to every executor.
+#: Bytes of the right side of a semantic join without condition that are sent to every executor at once.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -110,7 +111,7 @@ def sem_join(left: DataFrame, right: DataFrame, template: str, backend: Backend,
 
     ``on`` and ``prefilter`` are built-in expressions and thin the pairs out before any
     prompt is rendered. Without ``on`` every pair is a candidate, as the operator is
-    defined; the right side is broadcast if it is measured to be small. The other kinds
+    defined; the right side is broadcast in blocks of measured size. The other kinds
     of join are the inner matches joined back by row key: Spark takes no Python
     predicate in an outer join. Left rows that repeat are paired once, and each of them
     gets the matches.
@@ -123,7 +124,7 @@ def sem_join(left: DataFrame, right: DataFrame, template: str, backend: Backend,
     once = left if how == "inner" else keyed.dropDuplicates(["__row"])
     if on is None:
         right = settled(right)
-        pairs = once.crossJoin(F.broadcast(right) if small(right, BROADCAST_BYTES) else right)
+        pairs = reduce(DataFrame.unionByName, [once.crossJoin(F.broadcast(block)) for block in in_blocks(right, BROADCAST_BYTES)])
     else:
         pairs = once.join(right, on)
     if prefilter:

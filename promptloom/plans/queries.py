@@ -143,13 +143,14 @@ def sem_join_anti(spark, sf_dir):
 _COS = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[])))"
 
 
-@query(f"""SELECT a.vec_id AS query_id, b.vec_id AS vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0
- WHERE {_COS.format('a.embedding', 'b.embedding')} >= 0.2 AND {pick("'Same as ' || a.vec_id || ': ' || b.vec_id", 'Yes', 'No')} = 'Yes'""")
+@query(f"""SELECT a.vec_id AS query_id, b.vec_id AS vec_id FROM embeddings a CROSS JOIN embeddings b
+ WHERE a.vec_id % 100 = 0 AND {_COS.format('a.embedding', 'b.embedding')} >= 0.2 AND {pick("'Same as ' || a.vec_id || ': ' || b.vec_id", 'Yes', 'No')} = 'Yes'""")
 def sem_join_prefilter(spark, sf_dir):
+    """A search: the stated query set against all rows."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("label").alias("query_label"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     close = semantic.Prefilter("query_embedding", "embedding", 0.2)
-    found = semantic.sem_join(e, q, "Same as {query_id}: {vec_id}", HashBackend(), on=F.col("label") == F.col("query_label"), prefilter=close)
+    found = semantic.sem_join(e, q, "Same as {query_id}: {vec_id}", HashBackend(), prefilter=close)
     return found.select("query_id", "vec_id")
 
 

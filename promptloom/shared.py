@@ -54,10 +54,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _remove(spark, path)
 
 
-def small(df: DataFrame, limit: int) -> bool:
-    """Whether the rows of ``df``, as text, have at most ``limit`` bytes: measured, not estimated."""
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all rows, as text: measured, not estimated."""
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    return (df.agg(F.sum(F.octet_length(row))).first()[0] or 0) <= limit
+    return df.agg(F.sum(F.octet_length(row))).first()[0] or 0
+
+
+def small(df: DataFrame, limit: int) -> bool:
+    """Whether the rows of ``df`` have at most ``limit`` bytes, by measure."""
+    return text_bytes(df) <= limit
+
+
+def in_blocks(df: DataFrame, limit: int) -> list[DataFrame]:
+    """``df`` in parts of about ``limit`` bytes, by measure; rows that repeat share a part."""
+    parts = -(-text_bytes(df) // limit) or 1
+    if parts == 1:
+        return [df]
+    return [df.filter(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(parts)) == i) for i in range(parts)]
 
 
 def _remove(spark: SparkSession, path: str) -> None:

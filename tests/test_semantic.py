@@ -128,6 +128,14 @@ def test_semantic_joins_of_rows_that_repeat(spark, how, conditional):
     assert calls.value == 6  # three different left rows and two right ones
 
 
+def test_a_large_right_side_is_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sem, "BROADCAST_BYTES", 40)
+    a, b = spark.range(5).select(F.col("id").alias("x")), spark.range(9).select(F.col("id").alias("y"))
+    said = RecordedBackend({f"{x}-{y}": "Yes" for x in range(5) for y in range(x)})
+    got = sem.sem_join(a, b, "{x}-{y}", said)
+    assert {(r.x, r.y) for r in got.collect()} == {(x, y) for x in range(5) for y in range(x)}
+
+
 def test_reply_status(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "p string")
     got = {r.p: (r.r, r.s) for r in sem.infer(df, "p", "r", RecordedBackend({"a": "1"}), status="s").collect()}
