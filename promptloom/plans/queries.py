@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from promptloom.functions import anyres
 from promptloom.functions import templates as tp
 from promptloom.functions import text as tx
 from promptloom.functions.backends import YES_NO, HashBackend, RecordedBackend
@@ -455,6 +456,22 @@ def encoder_cache_sim(spark, sf_dir):
     return cachesim.simulate(events, "shard", "event_id", "user_id", "tokens", capacity=4096, window=4)
 
 
+_TILES = ((336, 672), (672, 336), (672, 672), (1008, 336), (336, 1008))
+
+
+@query(f"""WITH i AS (SELECT p_partkey, (p_size * 53 + 40)::BIGINT AS w, (p_partkey % 1300 + 30)::BIGINT AS h FROM part),
+c AS (SELECT *, unnest([{", ".join(f"{{'place': {n}, 'tw': {w}, 'th': {h}}}" for n, (w, h) in enumerate(_TILES))}], recursive := true) FROM i),
+f AS (SELECT *, least((floor(w * least(tw / w, th / h)) * floor(h * least(tw / w, th / h)))::BIGINT, w * h) AS kept FROM c),
+b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY kept DESC, tw * th - kept, place) = 1),
+m AS (SELECT *, tw // 336 AS columns, th // 336 AS rows, tw // 336 * 24 AS c, th // 336 * 24 AS r FROM b),
+u AS (SELECT *, CASE WHEN w * r > h * c THEN c ELSE c - 2 * floor((c - floor(w * r / h)) / 2) END AS uc, CASE WHEN w * r > h * c THEN r - 2 * floor((r - floor(h * c / w)) / 2) ELSE r END AS ur FROM m)
+SELECT p_partkey, columns::INT AS columns, rows::INT AS rows, (576 + (uc + 1) * ur)::BIGINT AS tokens FROM u""")
+def anyres_tokens(spark, sf_dir):
+    width, height = (F.col("p_size") * 53 + 40).cast("long"), F.col("p_partkey") % 1300 + 30
+    shape = anyres.grid_shape(width, height, _TILES, 336)
+    return table(spark, sf_dir, "part").select("p_partkey", shape["columns"].alias("columns"), shape["rows"].alias("rows"), anyres.token_count(width, height, _TILES, 336, 14).alias("tokens"))
+
+
 # ---- layout
 
 _PARTS = ("p_brand", "p_type", "p_size")

@@ -101,6 +101,35 @@ def test_scratch_tables_go(spark):
     assert shared.small(spark.range(3), 100) and not shared.small(spark.range(1000), 100)
 
 
+def test_any_resolution(spark):
+    from promptloom.functions import anyres
+
+    tiles = [(336, 672), (672, 336), (672, 672)]
+    sizes = [(100, 100), (336, 672), (2000, 300), (301, 2999), (672, 672), (5, 900), (0, 10), (None, 4)]
+    df = spark.createDataFrame(sizes, "w long, h long")
+    w, h = F.col("w"), F.col("h")
+    got = {(r.w, r.h): r for r in df.select("w", "h", anyres.best_resolution(w, h, tiles).alias("best"), anyres.token_count(w, h, tiles, 336, 14).alias("n")).collect()}
+    for x, y in sizes[:-2]:
+        def rated(t, x=x, y=y):
+            scale = min(t[0] / x, t[1] / y)
+            kept = min(int(x * scale) * int(y * scale), x * y)
+            return kept, kept - t[0] * t[1]
+
+        best = max(tiles, key=rated)
+        assert tuple(got[x, y].best) == best
+        mask = np.zeros((best[1] // 14, best[0] // 14), bool)  # which cells of the map are no margin
+        if x * mask.shape[0] > y * mask.shape[1]:
+            margin = (mask.shape[0] - y * mask.shape[1] // x) // 2
+            mask[margin : mask.shape[0] - margin] = True
+            rows = mask.shape[0] - 2 * margin
+        else:
+            margin = (mask.shape[1] - x * mask.shape[0] // y) // 2
+            mask[:, margin : mask.shape[1] - margin] = True
+            rows = mask.shape[0]
+        assert got[x, y].n == 576 + mask.sum() + rows
+    assert got[0, 10].best is None and got[None, 4].n is None
+
+
 class Model:
     """The cache's rules again, on one ordered dict."""
 
