@@ -58,7 +58,14 @@ def infer(df: DataFrame, prompt: str, out: str, backend: Backend, choices: Seque
 
 def settled(df: DataFrame) -> DataFrame:
     """``df``, written first if reading it would ask a model."""
-    return stash(df, "replied") if "model_reply(" in df._jdf.queryExecution().analyzed().toString() else df
+    conf, key = df.sparkSession.conf, "spark.sql.debug.maxToStringFields"
+    before = conf.get(key)
+    conf.set(key, str(1 << 20))  # else only the first columns are shown
+    try:
+        plan = df._jdf.queryExecution().analyzed().toString()
+    finally:
+        conf.set(key, before)
+    return stash(df, "replied") if "model_reply(" in plan else df
 
 
 def _udf(backend: Backend, json_schema: Mapping[str, Any] | None):

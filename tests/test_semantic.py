@@ -94,6 +94,14 @@ def test_columns_of_replies_are_asked_once_each(spark):
     assert len(df.collect()) == 20 and calls.value == 80
 
 
+def test_wide_tables_of_replies_are_asked_once(spark):
+    b, calls = counting(spark, HashBackend())
+    df = spark.range(4).select("id", *[F.lit(k).alias(f"x{k}") for k in range(60)])
+    for k in range(4):
+        df = sem.sem_map(df, f"column {k} of {{id}}", f"c{k}", b)
+    assert len(df.collect()) == 4 and calls.value == 16
+
+
 def test_plan_cascade_puts_cheap_selective_first(spark):
     df = spark.range(50)
     steps = [sem.Step("a {id}", cost=5, keeps=0.5, name="a"), sem.Step("b {id}", cost=1, keeps=0.1, name="b"), sem.Step(condition=F.col("id") > 3, name="c")]
