@@ -13,7 +13,8 @@ are a run; the text under a run is its context.
 
 Groups go by the anchor's gram and are sized by the input. Grams with very many
 contexts are found in a sample beforehand, and are dealt out by context instead: all
-their contexts go on. The sample decides only where rows go.
+their contexts go on, and a task sends each of them once or twice, not once a batch. The
+sample decides only where rows go.
 
 Contexts are then dealt to groups by prefixes of variable length (``dealt``): a prefix
 with more contexts than a task should hold is made longer, and longer again, until only
@@ -189,6 +190,7 @@ def repeated_runs(docs: DataFrame, units: Units, groups: int, sample: int = SAMP
     hot = docs.sparkSession.sparkContext.broadcast(crowded_grams(docs, units, sample, crowd))
 
     def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent_before: dict[tuple[int, int], tuple[int, int]] = {}
         for part, data, offsets in tn.chunks(batches, limit=units.batch):
             hashes, unit = units.cut(data, offsets)
             runs = runs_of(hashes, unit, part.column(0).to_numpy(zero_copy_only=False), window, units.gram)
@@ -198,15 +200,20 @@ def repeated_runs(docs: DataFrame, units: Units, groups: int, sample: int = SAMP
             sent = r[first]
             if units.every:
                 sent["many"] = gone[first]
-            spread = np.where(one_of(sent["key"], hot.value), tn.mix(sent["key"] ^ sent["print"]), sent["key"])
+            crowded = one_of(sent["key"], hot.value)
+            known = r[gone]
+            if crowded.any():
+                again = sent_already(sent, np.flatnonzero(crowded), sent_before, units.every)
+                known, sent, crowded = np.concatenate([known, sent[again]]), sent[~again], crowded[~again]
+            spread = np.where(crowded, tn.mix(sent["key"] ^ sent["print"]), sent["key"])
             bucket = (spread % U(groups)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             sent, bucket = sent[by], bucket[by]
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            payload = [sent[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(sent)), strict=True)]
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+            payload = [sent[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(sent)), strict=True)] if len(sent) else []
             none = pa.nulls(len(payload), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(payload, pa.binary()), none, none, none], schema=SENT)
-            for b in spans(r["id"][gone], r["start"][gone], _stop(r, window)[gone]).to_batches():
+            for b in spans(known["id"], known["start"], _stop(known, window)).to_batches():
                 yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy() % groups), pa.nulls(b.num_rows, pa.binary()), *b.columns], schema=SENT)
 
     def settle_group(table: pa.Table) -> pa.Table:
@@ -229,6 +236,26 @@ def repeated_runs(docs: DataFrame, units: Units, groups: int, sample: int = SAMP
     return stash(sent.groupBy("bucket").applyInArrow(settle_group, "id long, lo long, hi long, key long, off long"), "settled")
 
 
+def sent_already(sent: np.ndarray, looked_at: np.ndarray, before: dict[tuple[int, int], tuple[int, int]], every: bool) -> np.ndarray:
+    """Which of a batch's runs the task need not send, as it has sent their contexts: they
+    are repeats entirely. With ``every`` a context is sent twice, the second time as
+    ``many``; else again only from a place before the one sent."""
+    out = np.zeros(len(sent), bool)
+    for i, context, place in zip(looked_at.tolist(), zip(sent["key"][looked_at].tolist(), sent["print"][looked_at].tolist(), strict=True), zip(sent["id"][looked_at].tolist(), sent["start"][looked_at].tolist(), strict=True), strict=True):
+        known = before.get(context)
+        if known is None:
+            before[context] = (0, bool(sent["many"][i])) if every else place
+        elif every:
+            out[i] = known[1]
+            sent["many"][i] = True
+            before[context] = (0, True)
+        elif known < place:
+            out[i] = True
+        else:
+            before[context] = place
+    return out
+
+
 def _stop(runs: np.ndarray, window: int) -> np.ndarray:
     return runs["start"].astype(np.int64) + runs["count"] - 1 + window
 
@@ -353,7 +380,7 @@ def packed_groups(found: DataFrame, groups: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], ["group", "payload"])
 
     packed = found.select("prefix", "id", "lo", "off", "count", "body").mapInArrow(pack, "group long, payload binary")
-    return packed.repartition(max(found.sparkSession.sparkContext.defaultParallelism, groups // 8), "group")
+    return packed.repartition(max(found.sparkSession.sparkContext.defaultParallelism, groups // 4), "group")
 
 
 def unpack_group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

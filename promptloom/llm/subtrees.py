@@ -17,6 +17,7 @@ deep. The tree is never built as a whole:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,7 @@ def later_windows(heads: np.ndarray, data: np.ndarray, offsets: np.ndarray, wind
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, groups: int | None = None, **tuning: int) -> DataFrame:
     """Word spans (id, lo, hi) covered by windows that occur earlier. ``docs`` has id, text."""
     units, limit = word_units(window, prefix), tuning.pop("limit", rn.LIMIT)
+    units = replace(units, batch=tuning.pop("batch", units.batch))
     settled = rn.repeated_runs(docs, units, groups or rn.group_count(docs, GROUP), **tuning)
     found = stash(rn.contexts(docs, settled, units), "contexts")
     together, alone = rn.dealt(found, units, limit)
@@ -149,7 +151,7 @@ def kept_words(data: np.ndarray, offsets: np.ndarray, cover: list) -> tuple[np.n
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, groups: int | None = None, **tuning: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for every
-    row of ``docs``. ``tuning``: limit, sample and crowd, as in ``runs``.
+    row of ``docs``. ``tuning``: limit, batch, sample and crowd, as in ``runs``.
 
     A word goes if a window over it starts earlier too: in a smaller doc_id, or before in
     the same document. An id stands for one document, so rows that repeat are treated

@@ -22,6 +22,7 @@ prefixes. In a group:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +152,7 @@ def blocks(edge: np.ndarray, total: int, block: int) -> Iterator[tuple[int, int]
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, groups: int | None = None, **tuning: int) -> DataFrame:
     """id, lo, hi: bytes covered by repeated windows; spans may overlap. ``docs`` has id, text."""
     units, limit = byte_units(window, gram), tuning.pop("limit", CROWD)
+    units = replace(units, batch=tuning.pop("batch", units.batch))
     settled = rn.repeated_runs(docs, units, groups or rn.group_count(docs, GROUP), **tuning)
     found = stash(rn.contexts(docs, settled, units), "contexts")
     together, alone = rn.dealt(found, units, limit)
@@ -167,7 +169,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group
 
 def remove_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, groups: int | None = None, **tuning: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row.
-    ``tuning``: limit, sample and crowd, as in ``runs``.
+    ``tuning``: limit, batch, sample and crowd, as in ``runs``.
 
     A byte goes if a string of ``window`` bytes over it also starts anywhere else, in any
     document. Matches do not cross documents. An id stands for one document, so rows

@@ -391,6 +391,20 @@ def check_word_repeats(texts, found):
         assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)), i
 
 
+@pytest.mark.parametrize("batch", [300, 4 << 20])
+def test_repeats_that_come_in_many_batches(spark, batch):
+    """Equal contexts in every batch of a task, in no order of ids."""
+    line = prose(72, 90, 4000)
+    texts = [f"{prose(700 + i, 8, 3000)} {line} {prose(800 + i, 8, 3000)}" for i in range(18)] + [line] * 6
+    ids = [int(i) for i in np.random.default_rng(1).permutation(len(texts)) + 1]
+    by_id = [t for _, t in sorted(zip(ids, texts))]
+    d = frame(spark, texts, ids)
+    check_word_repeats(by_id, subtrees.remove_repeats(d, groups=3, sample=1, crowd=0, batch=batch))
+    got = {r.doc_id: r for r in sufarr.remove_strings(d, groups=3, sample=1, crowd=0, batch=batch).collect()}
+    for i, want in enumerate(bytes_removed(by_id), 1):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == want, i
+
+
 def test_suffixes_and_nodes_of_a_small_tree():
     text = "b a n a n a x a n a n a".split()
     numbers, first = np.unique(text, return_inverse=True)[1].astype(np.int64), np.array([0, 7, 12])
