@@ -6,7 +6,6 @@ own, and the expected reply.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +17,7 @@ from promptloom.functions import text as tx
 from promptloom.functions.backends import YES_NO, HashBackend, RecordedBackend
 from promptloom.operators import cachesim, embedding, grouping, layout, scoring, semantic, tokens, vectors
 from promptloom.plans import benchmarks, context
-from promptloom.shared import shared_dir
+from promptloom.shared import temporary_path
 from promptloom.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -756,35 +755,30 @@ def explode_join_context(spark, sf_dir):
 # ---- files
 
 
-def _written(spark: SparkSession, kind: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/query-{kind}-{uuid.uuid4().hex}"
-
-
 @query("SELECT o_orderkey, o_orderpriority || ' \", ' || o_orderstatus AS note, o_totalprice FROM orders")
 def csv_files(spark, sf_dir):
-    path = _written(spark, "csv")
+    path = temporary_path(spark, "csv")
     io.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(' ", '), "o_orderstatus").alias("note"), "o_totalprice"), path, sep=";")
     return io.read_csv(spark, path, "o_orderkey long, note string, o_totalprice double", sep=";")
 
 
 @query("SELECT r_regionkey, r_name FROM region")
 def csv_inferred(spark, sf_dir):
-    path = _written(spark, "csv")
+    path = temporary_path(spark, "csv")
     io.write_csv(table(spark, sf_dir, "region"), path, single_file=True)
     return io.read_csv(spark, path)
 
 
 @query("SELECT doc_id, text, lang FROM documents")
 def json_lines(spark, sf_dir):
-    path = _written(spark, "json")
+    path = temporary_path(spark, "json")
     io.write_json(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
     return io.read_json_lines(spark, path, "doc_id long, text string, lang string")
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def json_array(spark, sf_dir):
-    path = _written(spark, "array")
+    path = temporary_path(spark, "array")
     rows = table(spark, sf_dir, "nation").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value"))  # 25 rows
     rows.write.text(path)
     return io.read_json_array(spark, path, "n_nationkey int, n_name string")
@@ -792,7 +786,7 @@ def json_array(spark, sf_dir):
 
 @query("SELECT p_brand, count(*) AS parts FROM part GROUP BY p_brand")
 def parquet_by_column(spark, sf_dir):
-    path = _written(spark, "parquet")
+    path = temporary_path(spark, "parquet")
     io.write_parquet(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), path, ["p_brand"])
     return io.read_parquet(spark, path).groupBy("p_brand").agg(F.count(F.lit(1)).alias("parts"))
 
@@ -800,7 +794,7 @@ def parquet_by_column(spark, sf_dir):
 @query("SELECT r_regionkey, r_name AS said FROM region WHERE r_regionkey < 3 UNION ALL SELECT r_regionkey, NULL FROM region WHERE r_regionkey >= 3")
 def file_bytes(spark, sf_dir):
     """Files of one name in a folder for each row; some rows name none."""
-    path, regions = _written(spark, "files"), table(spark, sf_dir, "region")
+    path, regions = temporary_path(spark, "files"), table(spark, sf_dir, "region")
     regions.filter("r_regionkey < 3").repartition(1).select(F.col("r_regionkey").alias("of"), "r_name").write.partitionBy("of").text(path)
     files = io.read_files(spark, f"{path}/*", "*.txt").withColumn("path", F.concat(F.lit("/in/"), F.element_at(F.split("path", "/"), -2), F.lit("/x.txt")))
     name = F.when(F.col("r_regionkey") < 3, "x.txt").otherwise("none.txt")

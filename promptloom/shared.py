@@ -30,16 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
+def temporary_path(spark: SparkSession, label: str, outlive: bool = False) -> str:
+    """A path of its own in the shared folder, removed like a stash."""
+    path = f"{shared_dir(spark)}/stash-{label}-{uuid.uuid4().hex}"
+    if _scopes and not outlive:
+        _scopes[-1].append(path)
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def stash(df: DataFrame, label: str, outlive: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet under the shared folder and read
     it back. Losing an executor loses nothing of it. Removed at the end of the ``scratch``
     around it (unless it is to ``outlive`` that), or when the driver exits."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{label}-{uuid.uuid4().hex}"
+    path = temporary_path(spark, label, outlive)
     df.write.parquet(path)
-    if _scopes and not outlive:
-        _scopes[-1].append(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
