@@ -1,8 +1,12 @@
+import tracemalloc
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from promptloom.operators import vectors as V
+from promptloom.plans import queries as q
 
 rng = np.random.default_rng(5)
 X, T = rng.normal(size=(24, 6)), rng.normal(size=(3, 6))
@@ -75,3 +79,35 @@ def test_expressions_and_selection(spark):
     assert V.select_vectors(df, "g", "id", "v", "cd", 1.0).count() == 24
     zero = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert zero.select(V.cosine(F.col("a"), F.col("b")).alias("c")).first().c == 0.0
+
+
+MERGE = {"merge": lambda x, t, k: V.merge_tokens(x, V.mean_cosine(x, t), 8)[0]}
+
+
+@pytest.mark.parametrize("name", sorted(V.KERNELS | MERGE))
+def test_kernels_hold_no_pairs_of_all_vectors(name):
+    n, some = 3000, np.random.default_rng(1)
+    x, t = some.normal(size=(n, 8)), some.normal(size=(300, 8))
+    tracemalloc.start()
+    got = (V.KERNELS | MERGE)[name](x, t, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) and peak < n * n * 8 / 8
+
+
+def rows_by_sql(sql, rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    return sorted(con.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(V.KERNELS))
+def test_more_choices_than_dimensions_and_copies_match_sql(spark, name):
+    some = np.random.default_rng(7)
+    x = some.normal(size=(120, 6)).astype(np.float32)
+    x[40:60] = x[39]
+    rows = [(i, [float(v) for v in x[i]], i // 119) for i in range(120)]
+    marked = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("is_text", F.col("vec_id") % 10 == 0)
+    got = V.select_vectors(marked, "label", "vec_id", "embedding", name, 0.222, "is_text").collect()
+    assert sorted(map(tuple, got)) == rows_by_sql(q.KERNEL_SQL[name], rows)
