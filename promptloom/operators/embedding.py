@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any, Protocol
 
 import numpy as np
@@ -37,13 +37,20 @@ class HashEncoder:
         return [[b - 127.5 for b in hashlib.md5(v).digest()] for v in raw]
 
     def expression(self, value: Column) -> Column:
-        digits = F.md5(value.cast("binary"))
-        return F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5)
+        places = F.sequence(F.lit(0), F.lit(self.dims - 1))
+        return once(F.md5(value.cast("binary")), lambda digits: F.transform(places, lambda i: F.conv(F.substr(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once for a row, also where ``use`` has it in a
+    function that is called for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def unit_array(v: Column) -> Column:
-    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+    scaled = lambda v, size: F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return once(v, lambda v: once(size(v), lambda n: scaled(v, n)))
 
 
 def embed(df: DataFrame, column: str, encoder: Encoder, out: str | None = None) -> DataFrame:
