@@ -111,3 +111,51 @@ def test_more_choices_than_dimensions_and_copies_match_sql(spark, name):
     marked = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("is_text", F.col("vec_id") % 10 == 0)
     got = V.select_vectors(marked, "label", "vec_id", "embedding", name, 0.222, "is_text").collect()
     assert sorted(map(tuple, got)) == rows_by_sql(q.KERNEL_SQL[name], rows)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def searched(spark):
+    some = np.random.default_rng(9)
+    x = np.round(some.normal(size=(300, 5)), 1)
+    x[50:70] = x[0]  # copies: ties go to the smaller id
+    x[7] = 0
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]] if i != 9 else None, i % 3) for i in range(300)], "id int, v array<double>, g int")
+    return x, rows, rows.filter("id % 10 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+
+
+def test_nearest_meets_blocks_by_products(spark):
+    x, rows, queries = searched(spark)
+    u = V.unit(x)
+    for limit in (V.BLOCK_BYTES, 500):  # whole, and in blocks
+        df = V.nearest(queries, rows.filter("id <> 9").repartition(5), "q", "id", "qv", "v", 4, block_bytes=limit)
+        assert "MapInArrow" in plan_of(df) and "NestedLoop" not in plan_of(df)
+        got = sorted((r.q, r["rank"], r.id) for r in df.collect())
+        want = [(q, n + 1, i) for q in range(0, 300, 10) for n, i in enumerate(sorted((i for i in range(300) if i != 9), key=lambda i: (-round(float(u[q] @ u[i]), 6), i))[:4])]
+        assert got == want
+    lone = V.nearest(queries.filter("q = 0"), rows.filter("id in (3, 9)"), "q", "id", "qv", "v", 4).collect()
+    assert [(r.id, r.similarity is None) for r in sorted(lone, key=lambda r: r["rank"])] == [(3, False), (9, True)]
+
+
+def test_relevance_and_distances_pair_no_rows(spark):
+    x, rows, queries = searched(spark)
+    u = V.unit(x)
+    raw = -(u @ u[::10].T).mean(1)
+    raw = np.delete(raw, 9)
+    df = V.relevance(rows, queries, "id", "v", "qv")
+    assert "posexplode" in plan_of(df)
+    got = {r.id: r.relevance for r in df.collect()}
+    assert got.pop(9) is None
+    assert np.allclose([got[i] for i in sorted(got)], (raw - raw.min()) / (raw.max() - raw.min() + V.EPS))
+    far = {r.id: r.distance for r in V.mean_squared_distance(rows, rows.filter("id % 10 = 0"), "g", "id", "v").collect()}
+    for i in (0, 7, 55, 299):
+        texts = [t for t in range(0, 300, 10) if t % 3 == i % 3]
+        assert np.isclose(far[i], ((x[i] - x[texts]) ** 2).sum(1).mean())
+
+
+def test_hash_vectors_hash_once():
+    from promptloom.operators import embedding as e
+
+    assert str(e.unit_array(e.HashEncoder().expression(F.col("x")))).count("md5") == 1
