@@ -159,3 +159,20 @@ def test_hash_vectors_hash_once():
     from promptloom.operators import embedding as e
 
     assert str(e.unit_array(e.HashEncoder().expression(F.col("x")))).count("md5") == 1
+
+
+def test_prefilter_meets_blocks_by_products(spark, monkeypatch):
+    from promptloom.functions.backends import HashBackend
+    from promptloom.operators import semantic
+
+    _, rows, queries = searched(spark)
+    plain = rows.crossJoin(queries).filter(F.col("v").isNull() | F.col("qv").isNull() | (V.cosine(F.col("qv"), F.col("v")) >= 0.2))
+    want = sorted((r.q, r.id) for r in plain.select("q", "id").collect())
+    for limit in (semantic.BROADCAST_BYTES, 500):  # whole, and in blocks
+        monkeypatch.setattr(semantic, "BROADCAST_BYTES", limit)
+        close = semantic.Prefilter("qv", "v", 0.2, keep=False)
+        df = semantic.sem_join(rows, queries, "{q} {id}", HashBackend(), choices=("Yes",), prefilter=close)
+        assert "MapInArrow" in plan_of(df) and not {"v", "qv"} & set(df.columns)
+        assert sorted((r.q, r.id) for r in df.collect()) == want
+    kept = semantic.sem_join(rows, queries, "{q} {id}", HashBackend(), choices=("Yes",), prefilter=semantic.Prefilter("v", "qv", 0.2))
+    assert kept.columns == ["id", "v", "g", "q", "qv"] and kept.count() == len(want)
