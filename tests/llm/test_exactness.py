@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from promptloom.llm import decontam, exact, graph, jaccard, mixing, runs, secrets, subtrees, sufarr, toxicity, urltree
@@ -578,6 +579,36 @@ def test_toxicity_of_awkward_tables(spark):
     assert {r.score for r in toxicity.toxicity(d, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    # toxic rows of over 20,000 characters only, dealt into several pieces
+    long = lambda i, bad: f"{prose(7000 + i, 3000, 300)} {bad} {prose(8000 + i, 2000, 300)}"
+    texts = [long(i, "gnarx blorvish") if i % 4 == 0 else prose(7000 + i, 30, 300) for i in range(120)]
+    assert min(map(len, texts[::4])) > 20_000
+    d = frame(spark, texts)
+    labels = spark.createDataFrame([(i + 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    rows = toxicity.labelled_rows(d, labels)
+    known = {r.doc_id: r for r in rows.collect()}
+    assert all(r.text == texts[i - 1] for i, r in known.items()) and set(known) == {i for i in range(1, 121) if zlib.crc32(str(i).encode()) % 3 != 1}
+    monkeypatch.setattr(toxicity, "PIECE_ROWS", 10)
+    part = rows.filter("not aside")
+    n = part.count()
+    turns = [[(r.doc_id, r.piece) for r in toxicity.in_turn(part, t, n).select("doc_id", "piece").collect()] for t in range(toxicity.ROUNDS)]
+    assert sorted(i for turn in turns for i, _ in turn) == sorted(r.doc_id for r in known.values() if not r.aside)
+    counted = toxicity.odds(part)["words"]
+    sums = toxicity.slot_counts(*(pa.array([r.text for r in part.collect()]), np.array([r.toxic for r in part.collect()])))["words"]
+    assert (counted == sums).all() and counted[0].max() == sum(r.toxic for r in known.values() if not r.aside)
+    model = toxicity.fit(d, labels)
+    again = toxicity.fit(d.repartition(5), labels.repartition(3))
+    assert model is not None and np.allclose(model["grams"], again["grams"], atol=1e-5) and abs(model["line"] - again["line"]) < 0.01
+
+
+def test_quantile_of_counted_values():
+    rng = np.random.default_rng(4)
+    values, count = rng.normal(size=30), rng.integers(1, 9, 30)
+    for share in (0.05, 0.5, 0.998):
+        assert abs(toxicity.quantile(values, count, share) - np.quantile(np.repeat(values, count), share)) < 1e-12
+
+
 def d_lit():
     from pyspark.sql import functions as F
 
