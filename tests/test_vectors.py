@@ -176,3 +176,12 @@ def test_prefilter_meets_blocks_by_products(spark, monkeypatch):
         assert sorted((r.q, r.id) for r in df.collect()) == want
     kept = semantic.sem_join(rows, queries, "{q} {id}", HashBackend(), choices=("Yes",), prefilter=semantic.Prefilter("v", "qv", 0.2))
     assert kept.columns == ["id", "v", "g", "q", "qv"] and kept.count() == len(want)
+
+
+def test_loneliest_compares_equal_vectors_once(monkeypatch):
+    x = np.tile(np.random.default_rng(6).normal(size=(5, 8)), (40, 1))
+    columns = V.columns_of(V.unit(x))
+    plain = int(np.argmin([np.delete(V.row_dots(columns, columns[:, i]), i).max() for i in range(len(x))]))
+    calls, dots = [], V.row_dots
+    monkeypatch.setattr(V, "row_dots", lambda c, v: calls.append(1) or dots(c, v))
+    assert V.loneliest(columns) == plain and len(calls) <= 5
