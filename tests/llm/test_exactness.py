@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from promptloom.llm import decontam, exact, graph, jaccard, mixing, runs, secrets, subtrees, sufarr, toxicity, urltree
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, id string, bucket int, size int, words string"
@@ -602,6 +603,24 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     assert model is not None and np.allclose(model["grams"], again["grams"], atol=1e-5) and abs(model["line"] - again["line"]) < 0.01
 
 
+def test_pipeline_learns_from_all_labelled_rows(spark, monkeypatch, tmp_path):
+    d = frame(spark, [prose(9000 + i, 15, 300) for i in range(400)])
+    spark.createDataFrame([(i + 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    trained, lines = [], []
+
+    def train(rows, toxic, clean):
+        trained.extend(r.doc_id for r in rows.collect())
+        assert toxic + clean == len(trained)
+        return toxicity.fresh_model(np.random.default_rng(0)) | {"line": 0.0}
+
+    monkeypatch.setattr(toxicity, "train", train)
+    monkeypatch.setattr(toxicity, "decision_line", lambda best, toxic, count: lines.append(int(count.sum())) or 0.0)
+    corpus_pipeline.toxic_documents(spark, d, str(tmp_path))
+    learned = [i for i in range(1, 401) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(set(trained)) == len(trained) and set(trained) <= set(learned)
+    assert 0.6 * len(learned) < len(trained) and lines == [len(learned) - len(trained) + toxicity.EMPTY]
+
+
 def test_quantile_of_counted_values():
     rng = np.random.default_rng(4)
     values, count = rng.normal(size=30), rng.integers(1, 9, 30)
