@@ -60,6 +60,9 @@ LINE = 0.7
 BLOCK = 2048
 #: Texts, their characters, distinct words and windows that training looks at together, to bound memory.
 TEXT_BLOCK, TEXT_CHARS, WORD_BLOCK, WINDOW_BLOCK = 100, 1 << 20, 20_000, 1 << 16
+#: Distinct words whose inputs a scoring task keeps from one batch of texts to the next, and grams of
+#: a word up to which words are summed side by side.
+KNOWN_WORDS, MANY_GRAMS = 1 << 17, 64
 #: Parts of the model with a row for each slot.
 TABLES = {"words": WORDS, "grams": GRAMS}
 
@@ -67,6 +70,17 @@ TABLES = {"words": WORDS, "grams": GRAMS}
 SEPARATORS = tn.byte_class(bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122)))
 
 
+def distinct_words(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``np.unique`` with index and inverse, sorting each value only once."""
+    coded = pa.array(hashes).dictionary_encode()
+    values, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    at, order = np.empty(len(values), np.int64), np.argsort(values)
+    at[which[::-1]] = np.arange(len(hashes))[::-1]  # the first place is written last
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    return values[order], at[order], rank[which]
+
+
 def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, words, spans): per row the number of its first word; per word the number of
     its distinct word; and the bytes of the distinct words, marked at both ends, as
@@ -75,7 +89,7 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.frombuffer(lowered.buffers()[1], np.int64)[lowered.offset : lowered.offset + len(lowered) + 1]
     data = np.frombuffer(lowered.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     starts, stops, first = tn.words(data, ends - ends[0], SEPARATORS)
-    hashes, at, which = np.unique(tn.word_hashes(data, starts, stops), return_index=True, return_inverse=True)
+    hashes, at, which = distinct_words(tn.word_hashes(data, starts, stops))
     sizes = stops[at] - starts[at] + 2
     offsets = np.append(0, np.cumsum(sizes))
     buffer = np.full(offsets[-1], 1, np.uint8)
@@ -104,19 +118,41 @@ def gram_ids(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return ids[order], owners[order]
 
 
-def features(spans: tuple, model: dict) -> tuple[np.ndarray, tuple]:
-    """Input vectors of distinct words, and what their gradient needs."""
+def features(spans: tuple, model: dict, side_by_side: bool = False) -> tuple[np.ndarray, tuple]:
+    """Input vectors of distinct words, and what their gradient needs. Grams summed
+    ``side_by_side`` take half the time, but round otherwise; over its many steps training
+    would make a visible difference of that."""
     hashes, buffer, offsets = spans
     word = (hashes % np.uint64(WORDS)).astype(np.int64)
     grams, owner = gram_ids(buffer, offsets)
     count = np.bincount(owner, minlength=len(word))
     scale = (1 / np.sqrt(np.maximum(count, 1))).astype(np.float32)
-    first = np.minimum(np.cumsum(count) - count, max(len(grams) - 1, 0))
-    summed = np.add.reduceat(model["grams"][grams], first, axis=0) if len(grams) else np.zeros((len(word), GRAM_DIM), np.float32)
-    summed[count == 0] = 0
+    if side_by_side:
+        summed = sum_grams(model["grams"], grams, count)
+    else:
+        first = np.minimum(np.cumsum(count) - count, max(len(grams) - 1, 0))
+        summed = np.add.reduceat(model["grams"][grams], first, axis=0) if len(grams) else np.zeros((len(word), GRAM_DIM), np.float32)
+        summed[count == 0] = 0
     return np.hstack([model["words"][word], summed * scale[:, None]]), (word, grams, owner, scale)
 
 
+def sum_grams(table: np.ndarray, grams: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Per word the sum of its ``count`` rows of ``table``: first all words' first ones, then
+    all second ones; the few words with over MANY_GRAMS are summed one by one."""
+    first = np.cumsum(count) - count
+    summed = np.zeros((len(count), GRAM_DIM), np.float32)
+    usual = np.flatnonzero(count <= MANY_GRAMS)
+    usual = usual[np.argsort(-count[usual], kind="stable")]
+    upto = np.searchsorted(-count[usual], -np.arange(count[usual].max(initial=0)), "left")
+    made = np.zeros((len(usual), GRAM_DIM), np.float32)
+    for k, n in enumerate(upto):
+        made[:n] += table.take(grams[first[usual[:n]] + k], axis=0)
+    summed[usual] = made
+    for at in np.flatnonzero(count > MANY_GRAMS):
+        summed[at] = np.add.reduceat(table[grams[first[at] : first[at] + count[at]]], [0], axis=0)[0]  # rounds as in training
+    return summed
+
+
 def windows(first: np.ndarray, stride: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, size) of the windows, one every ``stride`` words: words start .. start +
     size of the batch. The last one of a row ends with it; a row without words has one
@@ -259,7 +295,7 @@ def window_logits(model: dict, texts: pa.Array, stride: int = 1) -> tuple[np.nda
     """(row, logit) of the windows of all texts."""
     first, which, spans = encode(texts)
     row, start, size = windows(first, stride)
-    per_word = np.vstack([project(model, features(spans, model)[0]), np.zeros((1, 6 * HIDDEN), np.float32)]).astype(np.float32)
+    per_word = word_inputs(model, spans)
     padded = np.append(which, np.full(WINDOW, len(per_word) - 1))
     out = np.empty(len(row), np.float32)
     for at in range(0, len(row), BLOCK):
@@ -269,48 +305,89 @@ def window_logits(model: dict, texts: pa.Array, stride: int = 1) -> tuple[np.nda
     return row, out
 
 
+def word_inputs(model: dict, spans: tuple, known: dict | None = None) -> np.ndarray:
+    """Projected inputs of distinct words (6h), and a last row of zeros. ``known`` keeps them from
+    call to call, for the same model: up to KNOWN_WORDS words, then it starts anew."""
+    hashes, made = spans[0], np.zeros((len(spans[0]) + 1, 6 * HIDDEN), np.float32)
+    if known is None or len(hashes) > KNOWN_WORDS:
+        made[:-1] = project(model, features(spans, model, known is not None)[0])
+        return made
+    if not known:
+        known |= {"hashes": np.empty(0, np.uint64), "place": np.empty(0, np.int64), "rows": np.empty((KNOWN_WORDS, 6 * HIDDEN), np.float32)}
+    at = np.searchsorted(known["hashes"], hashes)
+    old = np.append(known["hashes"], np.uint64(0))[at] == hashes
+    old &= at < len(known["hashes"])
+    made[:-1][old] = known["rows"].take(known["place"][at[old]], axis=0)
+    new = np.flatnonzero(~old)
+    if len(new):
+        made[new] = project(model, features(pick(spans, new), model, True)[0])
+    if len(known["hashes"]) + len(new) > KNOWN_WORDS:
+        known |= {"hashes": np.empty(0, np.uint64), "place": np.empty(0, np.int64)}
+        at, new = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
+    n = len(known["hashes"])
+    known["rows"][n : n + len(new)] = made[new]
+    known["place"] = np.insert(known["place"], at[new], n + np.arange(len(new)))
+    known["hashes"] = np.insert(known["hashes"], at[new], hashes[new])
+    return made
+
+
+def aligned(shape: tuple[int, ...]) -> np.ndarray:
+    """An array whose first number begins a cache line: unaligned, sums and products take up to half as long again."""
+    buffer = np.empty(4 * int(np.prod(shape)) + 64, np.uint8)
+    begin = -buffer.ctypes.data % 64
+    return buffer[begin : begin + 4 * int(np.prod(shape))].view(np.float32).reshape(shape)
+
+
 def sweep_logits(model: dict, per_word: np.ndarray, words: np.ndarray) -> np.ndarray:
     """``forward`` of the windows of WINDOW words at every place of ``words``. Neighbours
     start one word apart, so a step's inputs are a slice of the words' inputs. Of the
-    states only their part in the next gates, the attention and the logit is kept."""
+    states only their part in the next gates, the attention and the logit is kept. All
+    steps write to the same few arrays."""
     h, out = HIDDEN, np.empty(max(len(words) - WINDOW + 1, 0), np.float32)
     scale, shift = np.repeat(np.array([[0.25, 1], [0.5, 0]], np.float32), (2 * h, h), axis=1)  # the hard sigmoid's
     tight = lambda a: np.ascontiguousarray(a, np.float32)
     kept, ways = np.hstack([model["A"], model["w"][:, None]]), []
     for at, way in enumerate("fb"):
-        part, U = slice(3 * h * at, 3 * h * (at + 1)), model[f"U{way}"] * scale
-        ways.append((tight((per_word[:, part] * scale + shift).T), tight(U[:, 2 * h :].T), tight(np.hstack([U[:, : 2 * h], kept[h * at : h * (at + 1)]]).T)))
+        part, U, told = slice(3 * h * at, 3 * h * (at + 1)), model[f"U{way}"] * scale, kept[h * at : h * (at + 1)].T
+        ways.append((tight(per_word[:, part] * scale + shift), tight(U[:, 2 * h :].T), tight(np.vstack([U[:, : 2 * h].T, told])), tight(told)))
     a = tight(model["a"])[:, None]
+    space = lambda n: [aligned(shape) for shape in ((2 * h, n), (h, n), (h, n), (2 * h + ATTEND + 1, n), (WINDOW, ATTEND + 1, n), (3 * h, n + WINDOW - 1))]
+    room = space(min(BLOCK, len(out)))
     for begin in range(0, len(out), BLOCK):
         n = min(BLOCK, len(out) - begin)
-        seen = np.empty((WINDOW, ATTEND + 1, n), np.float32)
-        for at, (inputs, candidate, used) in enumerate(ways):
-            x, state, told = inputs.take(words[begin : begin + n + WINDOW - 1], axis=1), np.zeros((h, n), np.float32), 0
-            for t in reversed(range(WINDOW)) if at else range(WINDOW):
-                g = x[: 2 * h, t : t + n] + told
-                np.clip(g, 0, 1, out=g)
-                g[h:] *= state
-                c = candidate @ g[h:]
-                c += x[2 * h :, t : t + n]
-                np.clip(c, -1, 1, out=c)
-                state -= c
-                state *= g[:h]
-                state += c
-                made = used @ state
-                told = made[: 2 * h]
-                seen[t] = made[2 * h :] + seen[t] if at else made[2 * h :]
-        e = seen[:, :ATTEND] + a
+        g, c, state, made, seen, x = room if n == room[0].shape[1] else space(n)
+        z, r, told, shown = g[:h], g[h:], made[: 2 * h], made[2 * h :]
+        for at, (inputs, candidate, used, last) in enumerate(ways):
+            np.copyto(x, inputs.take(words[begin : begin + n + WINDOW - 1], axis=0).T)
+            for i, t in enumerate(reversed(range(WINDOW)) if at else range(WINDOW)):
+                if i:
+                    np.clip(np.add(x[: 2 * h, t : t + n], told, out=g), 0, 1, out=g)
+                    np.matmul(candidate, np.multiply(r, state, out=r), out=c)
+                    np.clip(np.add(c, x[2 * h :, t : t + n], out=c), -1, 1, out=c)
+                    np.subtract(state, c, out=state)
+                    np.add(np.multiply(state, z, out=state), c, out=state)
+                else:  # from a state of zeros
+                    np.clip(x[:h, t : t + n], 0, 1, out=z)
+                    np.clip(x[2 * h :, t : t + n], -1, 1, out=c)
+                    np.subtract(c, np.multiply(c, z, out=z), out=state)
+                if i < WINDOW - 1:
+                    np.matmul(used, state, out=made)
+                else:  # no gates follow
+                    np.matmul(last, state, out=shown)
+                np.add(seen[t], shown, out=seen[t]) if at else np.copyto(seen[t], shown)
+        e = np.add(seen[:, :ATTEND], a, out=seen[:, :ATTEND])
         score = np.matmul(model["v"], np.clip(e, -1, 1, out=e))
-        alpha = np.exp(score - score.max(0))
+        alpha = np.exp(np.subtract(score, score.max(0), out=score), out=score)
         out[begin : begin + n] = (alpha * seen[:, ATTEND]).sum(0) / alpha.sum(0) + model["bias"][0]
     return out
 
 
-def row_logits(model: dict, texts: pa.Array) -> np.ndarray:
-    """The largest logit of all windows of each text: every start is looked at."""
+def row_logits(model: dict, texts: pa.Array, known: dict | None = None) -> np.ndarray:
+    """The largest logit of all windows of each text: every start is looked at. ``known``
+    as for ``word_inputs``."""
     first, which, spans = encode(texts)
     size = np.diff(first)
-    per_word = np.vstack([project(model, features(spans, model)[0]), np.zeros((1, 6 * HIDDEN), np.float32)]).astype(np.float32)
+    per_word = word_inputs(model, spans, known)
     best = np.empty(len(size), np.float32)
     short, long = np.flatnonzero(size < WINDOW), np.flatnonzero(size >= WINDOW)
     padded = np.append(which, np.full(WINDOW, len(per_word) - 1))
@@ -357,12 +434,18 @@ def encode_blocks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple]:
     return np.append(0, np.cumsum(np.concatenate([np.diff(f) for f, _, _ in parts]))), which, spans
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """``np.unique`` by sorting, which takes a fraction of the time of its hash table."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def slot_counts(texts: pa.Array, toxic: np.ndarray) -> dict:
     """For each word and gram slot the toxic documents and all documents that have it."""
     first, which, spans = encode(texts)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     # distinct (document, word)
-    doc, word = np.divmod(np.unique(doc * len(spans[0]) + which), max(len(spans[0]), 1))
+    doc, word = np.divmod(distinct(doc * len(spans[0]) + which), max(len(spans[0]), 1))
     grams, owner = gram_ids(spans[1], spans[2])
     count = np.bincount(owner, minlength=len(spans[0]))
     many = count[word]
@@ -371,7 +454,7 @@ def slot_counts(texts: pa.Array, toxic: np.ndarray) -> dict:
     slot = (spans[0] % np.uint64(WORDS)).astype(np.int64)[word]
     found = {}
     for k, d, ids in (("words", doc, slot), ("grams", np.repeat(doc, many), gram)):
-        pair = np.unique(d * TABLES[k] + ids)
+        pair = distinct(d * TABLES[k] + ids)
         hit = toxic[pair // TABLES[k]]
         found[k] = np.stack([np.bincount(pair[hit] % TABLES[k], minlength=TABLES[k]), np.bincount(pair % TABLES[k], minlength=TABLES[k])])
     return found
@@ -539,10 +622,10 @@ def decision_line(best: np.ndarray, toxic: np.ndarray, rows: tuple[float, float]
     return float((order[at] + order[min(at + 1, len(order) - 1)]) / 2)
 
 
-def scores(model: dict | None, texts: pa.Array) -> np.ndarray:
+def scores(model: dict | None, texts: pa.Array, known: dict | None = None) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
-    return sigmoid(row_logits(model, texts).astype(np.float64) - model["line"] + np.log(LINE / (1 - LINE)))
+    return sigmoid(row_logits(model, texts, known).astype(np.float64) - model["line"] + np.log(LINE / (1 - LINE)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -588,8 +671,9 @@ def score_rows(docs: DataFrame, model: dict | None, raw: bool = False) -> DataFr
     text = f"c{names.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for rows, _, _ in tn.chunks(batches, text):
-            found = (row_logits if raw else scores)(shared.value, rows.column(rows.schema.get_field_index(text)))
+            found = (row_logits if raw else scores)(shared.value, rows.column(rows.schema.get_field_index(text)), known)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.float64())], [*rows.schema.names, "score"])
 
     schema = StructType([*numbered.schema.fields]).add("score", DoubleType())

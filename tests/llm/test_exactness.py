@@ -621,6 +621,37 @@ def test_pipeline_learns_from_all_labelled_rows(spark, monkeypatch, tmp_path):
     assert 0.6 * len(learned) < len(trained) and lines == [len(learned) - len(trained) + toxicity.EMPTY]
 
 
+def test_scoring_makes_the_inputs_of_a_word_once(monkeypatch):
+    model = toxicity.fresh_model(np.random.default_rng(3))
+    batches = [pa.array([prose(i, 40, 60), "", prose(i + 50, 200, 60), "x" * 500]) for i in range(4)]
+    plain = [toxicity.row_logits(model, b) for b in batches]
+    features, made = toxicity.features, []
+    monkeypatch.setattr(toxicity, "features", lambda spans, *rest: made.extend(spans[0].tolist()) or features(spans, *rest))
+    words = {h for b in batches for h in toxicity.encode(b)[2][0].tolist()}
+    known = {}
+    assert all(np.allclose(toxicity.row_logits(model, b, known), p, atol=1e-6) for b, p in zip(batches, plain, strict=True))
+    assert len(made) == len(words) and set(made) == words  # before: every batch's own
+    for limit in (len(words) - 1, 1):  # starts anew where full; too many words at once are not kept
+        monkeypatch.setattr(toxicity, "KNOWN_WORDS", limit)
+        known = {}
+        assert all(np.allclose(toxicity.row_logits(model, b, known), p, atol=1e-6) for b, p in zip(batches * 2, plain * 2, strict=True))
+        assert len(known.get("hashes", ())) <= limit
+
+
+def test_distinct_words_and_sums_of_grams():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2000):
+        hashes = rng.integers(0, 2**64, 300, dtype=np.uint64)[rng.integers(0, 300, n)]
+        want = np.unique(hashes, return_index=True, return_inverse=True)
+        assert all((a == b).all() for a, b in zip(toxicity.distinct_words(hashes), want, strict=True))
+        assert (toxicity.distinct(hashes) == want[0]).all()
+    table, count = rng.normal(size=(50, toxicity.GRAM_DIM)).astype(np.float32), np.array([3, 0, 64, 65, 1, 400, 0])
+    grams = rng.integers(0, 50, count.sum())
+    want = np.array([table[part].sum(0, dtype=np.float64) for part in np.split(grams, np.cumsum(count)[:-1])])
+    assert np.allclose(toxicity.sum_grams(table, grams, count), want, atol=1e-4)
+    assert toxicity.sum_grams(table, grams[:0], count[:0]).shape == (0, toxicity.GRAM_DIM)
+
+
 def test_quantile_of_counted_values():
     rng = np.random.default_rng(4)
     values, count = rng.normal(size=30), rng.integers(1, 9, 30)
