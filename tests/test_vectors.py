@@ -1,4 +1,5 @@
 import tracemalloc
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -113,6 +114,79 @@ def test_more_choices_than_dimensions_and_copies_match_sql(spark, name):
     assert sorted(map(tuple, got)) == rows_by_sql(q.KERNEL_SQL[name], rows)
 
 
+def dpp_by_whole_factor(x, weight, k):
+    columns = V.columns_of(V.unit(x))
+    left = weight * V.own_dots(columns) * weight
+    factor, chosen = np.zeros((k, len(weight))), []
+    for t in range(k):
+        j = int(np.argmax(left))
+        chosen.append(j)
+        known = V.in_order(factor[s] * factor[s, j] for s in range(t))
+        factor[t] = (weight[j] * V.fused_dots(columns, columns[:, j]) * weight - known) / np.sqrt(max(left[j], 1e-12))
+        left -= factor[t] ** 2
+        left[chosen] = -np.inf
+    return sorted(chosen)
+
+
+def vectors_to_choose_among(kind):
+    some = np.random.default_rng(11)
+    if kind == "copies":
+        return np.tile(some.normal(size=(40, 6)), (20, 1))
+    if kind == "orthogonal":  # differences that do not fit four bytes
+        return some.choice([-1.0, 1.0], size=(500, 16))
+    return some.normal(size=(900, 6)).astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize("many_wide", [0, 10_000])
+@pytest.mark.parametrize("kind", ["any", "copies", "orthogonal"])
+def test_dpp_beyond_its_rank_equals_the_whole_factor(monkeypatch, kind, many_wide):
+    for name, value in {"SLOTS": 16, "SUM_SLOTS": 3, "SUM_STEPS": 7, "PAIR_ROWS": 5, "MANY_WIDE": many_wide}.items():
+        monkeypatch.setattr(V, name, value)
+    x = vectors_to_choose_among(kind)
+    weight = V.scaled(np.random.default_rng(12).normal(size=len(x)))
+    assert list(V.greedy_dpp(x, weight, 250)) == dpp_by_whole_factor(x, weight, 250)
+
+
+def test_dpp_beyond_its_rank_holds_no_whole_factor():
+    n, k = 4000, 880
+    x = np.random.default_rng(13).normal(size=(n, 8))
+    tracemalloc.start()
+    got = V.greedy_dpp(x, np.ones(n), k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == k and peak < n * k * 8 / 2
+
+
+def test_fused_dots_round_once():
+    def chain(a, b):
+        total = 0.0
+        for x, y in zip(a.tolist(), b.tolist()):
+            total = float(Fraction(x) * Fraction(y) + Fraction(total))
+        return total
+
+    some = np.random.default_rng(14)
+    for n in (0, 1, 2, 3, 17):
+        a, b = some.normal(size=(9, n)), some.normal(size=9)
+        assert V.fused_dots(a, b).tolist() == V._by_parts(a, b, (n,)).tolist() == [chain(c, b) for c in a.T]
+        assert V.own_dots(a).tolist() == [chain(c, c) for c in a.T]
+        pairs = V.fused_dots(a[:, None, :], a[:, :, None])
+        assert pairs.tolist() == [[chain(c, d) for d in a.T] for c in a.T]
+
+
+def test_cd_takes_no_products_of_matrices(monkeypatch):
+    """Their order and rounding differ from processor to processor."""
+    monkeypatch.setattr(V, "row_dots", lambda columns, v: V.in_order(columns * v[:, None]))
+    some = np.random.default_rng(7)
+    x = some.normal(size=(120, 6)).astype(np.float32)
+    x[40:60] = x[39]
+    rows = [(i, [float(v) for v in x[i]], 0) for i in range(120)]
+    text = np.arange(120) % 10 == 0
+    for fused in {V._complex_is_fused(), False}:
+        monkeypatch.setattr(V, "_complex_is_fused", lambda fused=fused: fused)
+        chosen = np.flatnonzero(~text)[V.conditional_dpp(x[~text].astype(float), x[text].astype(float), 23)]
+        assert [(0, int(i), n) for n, i in enumerate(chosen)] == rows_by_sql(q.KERNEL_SQL["cd"], rows)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
