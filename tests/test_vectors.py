@@ -187,6 +187,20 @@ def test_cd_takes_no_products_of_matrices(monkeypatch):
         assert [(0, int(i), n) for n, i in enumerate(chosen)] == rows_by_sql(q.KERNEL_SQL["cd"], rows)
 
 
+def test_each_group_has_a_task_of_its_own(spark):
+    df = spark.createDataFrame([(i, i % 10, [float(i), 1.0]) for i in range(400)], "id int, g int, v array<double>").repartition(5)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        tasks = V.select_vectors(df, "g", "id", "v", "div", 0.1).select(F.spark_partition_id().alias("task"))
+        assert tasks.distinct().count() == 10
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
